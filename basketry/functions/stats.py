@@ -7,9 +7,9 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_STEPS = 2000  # Simpson intervals, even
+_STEPS = 1000  # Simpson intervals, even
 _NEWTON_STEPS = 16
-_REACH = 60.0  # standard deviations beyond which the tail is negligible for large df
+_REACH = 40.0  # standard deviations beyond which the tail is negligible for large df
 
 
 def correlation(x: Column, y: Column) -> Column:

@@ -44,15 +44,10 @@ def _as_number(df: DataFrame, name: str) -> Column:
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, n): one pass over the rows, equal values merged before the shuffle."""
-    cells = F.array(
-        *[
-            F.struct(F.lit(c).alias("column"), _as_number(df, c).alias("value"))
-            for c in columns
-        ]
-    )
-    long = df.select(F.explode(cells).alias("c")).select("c.*")
-    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    """(position of the column, value, n): one pass, equal values merged before the shuffle."""
+    values = F.array(*[_as_number(df, c) for c in columns])
+    long = df.select(F.posexplode(values).alias("position", "value"))
+    return long.groupBy("position", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -62,8 +57,10 @@ def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     values are range-partitioned with their counts and written once; the totals of the
     partitions tell which few partitions hold the wanted ranks, and only those are ordered.
     """
-    ranged = value_counts(df, columns).repartitionByRange("column", "value")
+    ranged = value_counts(df, columns).repartitionByRange("position", "value")
     table = stage(ranged.withColumn("chunk", F.spark_partition_id()))
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("position") + 1)
+    table = table.withColumn("column", name).drop("position")
 
     basic = table.groupBy("column").agg(
         F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("n"),
@@ -142,45 +139,41 @@ def _order_statistics(table: DataFrame, n_columns: int) -> DataFrame:
     )
 
 
-def histogram(df: DataFrame, value: str, bins: int, by: str | None = None) -> DataFrame:
+def histogram(
+    df: DataFrame, value: str, bins: int, by: str | None = None, range_of: DataFrame | None = None
+) -> DataFrame:
     """Counts in ``bins`` right-closed bins whose first is centred on the minimum.
 
-    The bin width is (max - min) / (bins - 1) over all rows, also with groups. Empty bins
-    are listed with 0. Equal values are merged first, so the range and the bins share one
-    pass over the rows.
+    The bin width is (max - min) / (bins - 1) over all rows, also with groups; empty bins
+    are listed with 0. One pass finds the range, a second counts: both aggregate in place,
+    so no values are moved. ``range_of`` may name a cheaper table with the same values.
     """
     if bins < 2:
         raise ValueError("a histogram needs at least two bins")
     groups = [by] if by else []
-    tallied = (
-        df.filter(F.col(value).isNotNull())
-        .select(*groups, F.col(value).cast("double").alias("value"))
-        .groupBy(*groups, "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    span = tallied.agg(
+    source = df if range_of is None else range_of
+    number = F.col(value).cast("double")
+    span = source.agg(
         F.struct(
-            F.min("value").alias("lo"),
-            ((F.max("value") - F.min("value")) / (bins - 1)).alias("width"),
-            F.sum("n").alias("n"),
-        ).alias("span")
+            F.min(number).alias("lo"),
+            ((F.max(number) - F.min(number)) / (bins - 1)).alias("width"),
+        )
+    )
+    spanned = (
+        df.filter(F.col(value).isNotNull())
+        .select(*groups, number.alias("value"))
+        .withColumn("span", span.scalar())
     )
     # A single distinct value has width 0: all rows go to bin 0.
     steps = F.try_divide(F.col("value") - F.col("span.lo"), F.col("span.width")) - 0.5
     index = F.greatest(F.coalesce(F.ceil(steps), F.lit(0)), F.lit(0)).cast("int")
-    spanned = tallied.withColumn("span", span.scalar())
-    binned = (
-        spanned.withColumn("bin", index)
-        .groupBy(*groups, "bin")
-        .agg(F.sum("n").alias("count"), F.max("span").alias("span"))
-    )
+    binned = spanned.groupBy(*groups, index.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    # At most ``bins`` entries per group are gathered here.
     present = (
         binned.groupBy(*groups)
-        .agg(
-            F.max("span").alias("span"),
-            F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("filled"),
-        )
-        .filter(F.col("span").isNotNull())
+        .agg(F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("filled"))
+        .withColumn("span", span.scalar())
+        .filter(F.size("filled") > 0)
     )
     last = F.when(F.col("span.width") > 0, bins - 1).otherwise(0)
     rows = present.select(

@@ -67,6 +67,23 @@ def store_month_measures(txns: DataFrame) -> DataFrame:
     )
 
 
+def sales_and_customers(txns: DataFrame) -> DataFrame:
+    """The two measures that the trial steps use, summed per customer before they are counted."""
+    per_customer = (
+        txns.withColumn("YEARMONTH", yearmonth(F.col("DATE")))
+        .groupBy("STORE_NBR", "YEARMONTH", "LYLTY_CARD_NBR")
+        .agg(F.sum("TOT_SALES").alias("sales"))
+    )
+    return per_customer.groupBy("STORE_NBR", "YEARMONTH").agg(
+        F.sum("sales").alias("totSales"), F.count(F.lit(1)).alias("nCustomers")
+    )
+
+
+def store_months(txns: DataFrame) -> DataFrame:
+    """The months in which each store has rows."""
+    return txns.select("STORE_NBR", yearmonth(F.col("DATE")).alias("YEARMONTH")).distinct()
+
+
 def _counted_month(design: TrialDesign) -> Column:
     if design.observed_until is None:
         return F.lit(1)

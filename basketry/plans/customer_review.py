@@ -41,7 +41,7 @@ def _enriched(spark: SparkSession, root: str, *columns: str) -> DataFrame:
 
 
 def load_transactions(spark, root):
-    return fixed(tpch.transactions(spark, root))
+    return tpch.transactions(spark, root)
 
 
 def load_customers(spark, root):
@@ -74,7 +74,7 @@ def product_words(spark, root):
 
 
 def exclude_products(spark, root):
-    return fixed(_products_excluded(spark, root, *tpch.ALL_COLUMNS))
+    return _products_excluded(spark, root, *tpch.ALL_COLUMNS)
 
 
 def excluded_check(spark, root):
@@ -84,11 +84,11 @@ def excluded_check(spark, root):
 
 def exclude_customers(spark, root):
     txns = tpch.transactions(spark, root)
-    return fixed(cleaning.exclude_customers(txns, [fx.OUTLIER_CARD]))
+    return cleaning.exclude_customers(txns, [fx.OUTLIER_CARD])
 
 
 def clean_transactions(spark, root):
-    return fixed(_clean(spark, root, *tpch.ALL_COLUMNS))
+    return _clean(spark, root, *tpch.ALL_COLUMNS)
 
 
 _OUTLIER_COLUMNS = ("TXN_ID", CARD, "PROD_NAME", "PROD_QTY", "DATE")
@@ -180,7 +180,7 @@ def date_coverage(spark, root):
 
 
 def product_features(spark, root):
-    return fixed(_featured(spark, root, *tpch.ALL_COLUMNS))
+    return _featured(spark, root, *tpch.ALL_COLUMNS)
 
 
 def brand_raw(spark, root):
@@ -240,7 +240,7 @@ def distinct_premium_types(spark, root):
 
 
 def enriched_transactions(spark, root):
-    return fixed(_enriched(spark, root, *tpch.ALL_COLUMNS))
+    return _enriched(spark, root, *tpch.ALL_COLUMNS)
 
 
 def enriched_handoff(spark, root):
@@ -316,7 +316,8 @@ def price_ttest(spark, root):
         F.col("LIFESTAGE").isin(list(fx.TTEST_LIFESTAGES))
     )
     mainstream = F.col("PREMIUM_CUSTOMER") == fx.PREMIUM
-    return fixed(inference.welch_greater(chosen, "price", mainstream, ~mainstream), df=4)
+    tested = inference.welch_greater(chosen, "price", mainstream, ~mainstream)
+    return fixed(tested, df=4, ci_low=4)
 
 
 def price_by_group_sample(spark, root):
@@ -327,7 +328,8 @@ def price_by_group_sample(spark, root):
 def price_histogram_by_group(spark, root):
     priced = cleaning.with_price(_clean(spark, root, "PROD_QTY", "TOT_SALES"))
     grouped = segments.with_price_group(segments.enrich(priced, tpch.customers(spark, root)))
-    return fixed(distribution.histogram(grouped, "price", bins=9, by="GROUP"))
+    # The join keeps every row, so the range is the same before it.
+    return fixed(distribution.histogram(grouped, "price", 9, by="GROUP", range_of=priced))
 
 
 # --- affinity ---------------------------------------------------------------------------

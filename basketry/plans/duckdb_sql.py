@@ -156,7 +156,7 @@ quant AS (
 
 
 _CONTRACT = """ "DATE", STORE_NBR, LYLTY_CARD_NBR, TXN_ID, PROD_NAME, """
-_MONEY = f"{_r('PROD_QTY', 'PROD_QTY')}, {_r('TOT_SALES', 'TOT_SALES')}"
+_MONEY = "PROD_QTY, TOT_SALES"
 
 
 def _summary(source: str, columns: tuple[str, ...]) -> str:
@@ -229,7 +229,7 @@ tail AS (
   FROM (SELECT atan(t / sqrt(df)) AS a, df FROM w), range(0, {n + 1}) r(i) GROUP BY a, df),
 {_grid(0.95, "df", "w")}
 SELECT {_r("mean_x", "mean_x")}, {_r("mean_y", "mean_y")}, n_x, n_y, {_r("t", "t")}, {_r("w.df", "df", 4)},
-       {_r("part / whole", "p_value")}, {_r("mean_x - mean_y - q * se", "ci_low")}
+       {_r("part / whole", "p_value")}, {_r("mean_x - mean_y - q * se", "ci_low", 4)}
 FROM w, tail, quant"""
 
 
@@ -310,7 +310,7 @@ _CUST_TYPES = {"LYLTY_CARD_NBR": "bigint", "LIFESTAGE": "string", "PREMIUM_CUSTO
 
 
 def statements() -> dict[str, str]:
-    enriched = f"""{_CONTRACT}{_MONEY}, {_r("PACK_SIZE", "PACK_SIZE")}, BRAND"""
+    enriched = f"""{_CONTRACT}{_MONEY}, PACK_SIZE, BRAND"""
     outlier = 'TXN_ID, LYLTY_CARD_NBR, PROD_NAME, PROD_QTY, "DATE"'
     per_day = f'daily AS (SELECT "DATE", count(*) AS count FROM clean GROUP BY "DATE"), {_calendar("daily")}'
     grouped = f"""CASE WHEN PREMIUM_CUSTOMER IS NULL THEN NULL WHEN PREMIUM_CUSTOMER = '{fx.PREMIUM}'

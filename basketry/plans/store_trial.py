@@ -22,8 +22,8 @@ def _measures(spark: SparkSession, root: str) -> DataFrame:
 
 def _staged_measures(spark: SparkSession, root: str) -> DataFrame:
     """Measures the trial steps need, written once: several branches read them."""
-    needed = _measures(spark, root).select("STORE_NBR", "YEARMONTH", *stores.METRICS)
-    return stage_if_shared(needed)
+    txns = tpch.transactions(spark, root, ("DATE", "STORE_NBR", "LYLTY_CARD_NBR", "TOT_SALES"))
+    return stage_if_shared(stores.sales_and_customers(txns))
 
 
 def _pre(measures: DataFrame) -> DataFrame:
@@ -68,7 +68,8 @@ def store_month_measures(spark, root):
 
 
 def stores_full_obs(spark, root):
-    return stores.full_observation_stores(_measures(spark, root), DESIGN)
+    months = stores.store_months(tpch.transactions(spark, root, ("DATE", "STORE_NBR")))
+    return stores.full_observation_stores(months, DESIGN)
 
 
 def pre_trial_measures(spark, root):

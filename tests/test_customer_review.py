@@ -1,0 +1,315 @@
+"""Operators of the first analysis on small literal tables and against brute force."""
+
+import datetime as dt
+import random
+import statistics
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from basketry.operators import affinity, cleaning, distribution, inference, profiling, segments
+from basketry.sources.calendar import calendar_between, calendar_of
+
+SCHEMA = (
+    "DATE date, STORE_NBR bigint, LYLTY_CARD_NBR bigint, TXN_ID bigint, PROD_NAME string, "
+    "PROD_QTY double, TOT_SALES double"
+)
+DAY = dt.date(2018, 7, 1)
+
+
+def txn(card, txn_id=1, name="Chips 100g", qty=1.0, sales=2.0, day=DAY, store=1):
+    return (day, store, card, txn_id, name, qty, sales)
+
+
+def random_txns(seed=3, n=600):
+    rng = random.Random(seed)
+    names = ["Smith Crinkle 170g", "Smiths  Thin 90g", "WW Stax 1,250g", "Red Rock 150g", "Pure &", None]
+    rows = []
+    for i in range(n):
+        # One card holds a third of the rows.
+        card = 7 if i % 3 == 0 else rng.randint(1, 40)
+        qty = float(rng.randint(1, 5))
+        rows.append(
+            txn(card, rng.randint(1, 250), rng.choice(names), qty, round(qty * rng.uniform(1, 4), 2),
+                DAY + dt.timedelta(days=rng.randint(0, 400)), rng.randint(1, 5))
+        )
+    return rows
+
+
+@pytest.fixture(scope="module")
+def shop(spark):
+    rows = random_txns()
+    people = [(c, ("YOUNG SINGLES/COUPLES", "RETIREES", "FAMILIES")[c % 3], ("Mainstream", "Budget")[c % 2]) for c in range(1, 36)]
+    customers = spark.createDataFrame(people, "LYLTY_CARD_NBR bigint, LIFESTAGE string, PREMIUM_CUSTOMER string")
+    return rows, {c: (a, b) for c, a, b in people}, spark.createDataFrame(rows, SCHEMA), customers
+
+
+def test_cleaning(spark):
+    df = spark.createDataFrame(
+        [txn(226000, qty=200.0), txn(226000, qty=200.0), txn(1, name="Old Salsa 300g"), txn(2), txn(3, name=None)], SCHEMA
+    )
+    assert df.filter("PROD_QTY = 200").count() == 2
+    cleaned = cleaning.clean_transactions(df)
+    assert sorted(r.LYLTY_CARD_NBR for r in cleaned.collect()) == [2, 3]
+    assert cleaning.only_products(cleaned).count() == 0
+
+
+def test_brand_aliases(spark):
+    raw = ["rrd", "ww", "Dorito", "Snbts", "Infzns", "Smith", "Grain", "NCC", "Kettle"]
+    df = spark.createDataFrame([txn(1, name=f"{b} thing 90g") for b in raw], SCHEMA)
+    got = sorted(r.BRAND for r in cleaning.product_features(df).collect())
+    assert got == sorted(
+        ["RED", "WOOLWORTHS", "DORITOS", "SUNBITES", "INFUZIONS", "SMITHS", "GRNWVES", "NATURAL", "KETTLE"]
+    )
+
+
+def test_unit_price_of_zero_quantity_is_missing(spark):
+    df = spark.createDataFrame([txn(1, qty=0.0), txn(2, qty=4.0, sales=10.0)], SCHEMA)
+    assert [r.price for r in cleaning.with_price(df).orderBy("LYLTY_CARD_NBR").collect()] == [None, 2.5]
+
+
+def test_words(spark):
+    df = spark.createDataFrame([txn(1, name=n) for n in ["Hot  Chip 90g", "Hot  Chip 90g", "Hot & Sour", None]], SCHEMA)
+    got = [(r.Words, r.Count) for r in profiling.word_counts(df).collect()]
+    assert got == [("Hot", 2), ("Chip", 1), ("Sour", 1)]
+
+
+def test_repeats_and_counts(shop):
+    rows, _, df, _ = shop
+    want = {k: n for k, n in Counter(r[3] for r in rows).items() if n > 1}
+    assert {r.TXN_ID: r["count"] for r in profiling.repeats(df, "TXN_ID").collect()} == want
+    ranked = sorted(want.items(), key=lambda kv: (-kv[1], kv[0]))[:10]
+    assert [(r.TXN_ID, r["count"]) for r in profiling.repeats(df, "TXN_ID", top=10).collect()] == ranked
+    names = Counter(r[4] for r in rows)
+    assert {r.PROD_NAME: r["count"] for r in profiling.counts(df, "PROD_NAME").collect()} == dict(names)
+
+
+def test_units_rank(shop):
+    rows, _, df, _ = shop
+    featured = cleaning.product_features(df)
+    got = profiling.units_by(featured, "BRAND").orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, len(got) + 1))
+    units = [r.units for r in got]
+    assert units == sorted(units, reverse=True) and sum(units) == sum(r[5] for r in rows)
+
+
+def test_numbered_over_many_partitions(spark):
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("v"))
+    got = distribution.numbered(df, [F.col("v").desc()], "place").collect()
+    assert all(r.place == 1000 - r.v for r in got)
+
+
+def test_calendar_and_missing_days(spark):
+    year = calendar_between(spark, dt.date(2018, 7, 1), dt.date(2019, 6, 30))
+    assert year.count() == 365
+    christmas = dt.date(2018, 12, 25)
+    days = [DAY + dt.timedelta(days=i) for i in range(365)]
+    df = spark.createDataFrame([txn(1, day=d) for d in days if d != christmas], SCHEMA)
+    assert [r.DATE for r in profiling.missing_days(df, year).collect()] == [christmas]
+    on_all = profiling.on_calendar(profiling.daily_counts(df), year)
+    assert on_all.count() == 365 and on_all.filter("count is null").first().DATE == christmas
+    assert on_all.filter(F.month("DATE") == 12).count() == 31
+    cover = profiling.date_coverage(df).first()
+    assert (cover.n_days, cover.n_expected, cover.n_missing) == (364, 365, 1)
+    assert calendar_of(df).count() == 365
+
+
+def test_calendar_of_nothing_is_empty(spark):
+    assert calendar_of(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def quantile(values, p):
+    ordered = sorted(values)
+    at = (len(ordered) - 1) * p
+    low = int(at)
+    high = min(low + 1, len(ordered) - 1)
+    return ordered[low] + (ordered[high] - ordered[low]) * (at - low)
+
+
+def test_summary_matches_brute_force(spark):
+    rng = random.Random(1)
+    hot = [5.0] * 400 + [rng.gauss(0, 1e6) for _ in range(803)]
+    rows = [(v, i * 3 % 1000, DAY + dt.timedelta(days=i % 90)) for i, v in enumerate(hot)]
+    rows += [(None, 1, DAY), (float("nan"), 2, DAY)]
+    df = spark.createDataFrame(rows, "x double, k bigint, d date").repartition(5)
+    got = {r.column: r for r in distribution.numeric_summary(df, ["x", "k", "d"]).collect()}
+    epoch = dt.date(1970, 1, 1)
+    columns = {
+        "x": hot,
+        "k": [float(r[1]) for r in rows],
+        "d": [float((r[2] - epoch).days) for r in rows],
+    }
+    for name, data in columns.items():
+        r = got[name]
+        assert r.n == len(data) and r.n_null == len(rows) - len(data)
+        assert (r.min, r.max) == (min(data), max(data))
+        assert r.mean == pytest.approx(statistics.fmean(data))
+        for key, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+            assert r[key] == pytest.approx(quantile(data, p)), (name, key)
+
+
+@pytest.mark.parametrize(
+    "data, want",
+    [
+        ([1.0, 2.0, 3.0, 10.0], (4, 0, 1.75, 2.5, 4.75)),
+        ([4.0], (1, 0, 4.0, 4.0, 4.0)),
+        ([None, None], (0, 2, None, None, None)),
+        ([2.0] * 9 + [3.0], (10, 0, 2.0, 2.0, 2.0)),
+    ],
+)
+def test_quartiles(spark, data, want):
+    df = spark.createDataFrame([(v,) for v in data], "x double")
+    r = distribution.numeric_summary(df, ["x"]).first()
+    assert (r.n, r.n_null, r.q1, r.median, r.q3) == want
+
+
+def test_histogram(spark):
+    df = spark.createDataFrame([(0.0,), (9.0,)], "x double")
+    got = {r.bin: r["count"] for r in distribution.histogram(df, "x", 9).collect()}
+    assert got == {0: 1, 8: 1, **dict.fromkeys(range(1, 8), 0)}
+    same = spark.createDataFrame([(3.0,), (3.0,), (None,)], "x double")
+    assert [(r.bin, r["count"]) for r in distribution.histogram(same, "x", 9).collect()] == [(0, 2)]
+
+
+def test_grouped_histogram_counts_add_up(shop):
+    rows, people, df, customers = shop
+    priced = cleaning.with_price(df)
+    grouped = segments.with_price_group(segments.enrich(priced, customers))
+    got = distribution.histogram(grouped, "price", 9, by="GROUP", range_of=priced).collect()
+    assert sum(r["count"] for r in got) == len(rows)
+    assert {r.GROUP for r in got} == {"Mainstream", "Non-Mainstream", None}
+    assert all(len([r for r in got if r.GROUP == g]) == 9 for g in ("Mainstream", "Non-Mainstream", None))
+    for r in got:
+        inside = [
+            row for row in rows
+            if r.lower < row[6] / row[5] <= r.upper
+            and (None if row[2] not in people else "Mainstream" if people[row[2]][1] == "Mainstream" else "Non-Mainstream") == r.GROUP
+        ]
+        assert len(inside) == r["count"]
+
+
+def test_schema_and_null_counts(shop):
+    rows, people, df, customers = shop
+    listing = profiling.schema_profile(df).collect()
+    assert [r.column for r in listing] == df.columns and {r.n_obs for r in listing} == {len(rows)}
+    enriched = segments.enrich(df, customers)
+    got = {r.column: r.n_null for r in profiling.null_counts(enriched).collect()}
+    unmatched = sum(r[2] not in people for r in rows)
+    unnamed = sum(r[4] is None for r in rows)
+    assert got["LIFESTAGE"] == got["PREMIUM_CUSTOMER"] == unmatched and got["PROD_NAME"] == unnamed
+    assert got["(total)"] == 2 * unmatched + unnamed
+
+
+def test_join_quality(shop, spark):
+    rows, people, df, customers = shop
+    got = profiling.join_quality(df, customers).first()
+    assert (got.n_left, got.n_joined) == (len(rows), len(rows))
+    assert got.n_unmatched == sum(r[2] not in people for r in rows)
+    doubled = customers.union(customers.filter("LYLTY_CARD_NBR = 7"))
+    more = profiling.join_quality(df, doubled).first()
+    assert more.n_joined == segments.enrich(df, doubled).count() > more.n_left
+
+
+def test_missing_keys_match_only_on_request(spark):
+    left = spark.createDataFrame([(1,), (None,)], "LYLTY_CARD_NBR bigint")
+    right = spark.createDataFrame([(1, "x"), (None, "y")], "LYLTY_CARD_NBR bigint, LIFESTAGE string")
+    assert segments.enrich(left, right).filter("LIFESTAGE is not null").count() == 1
+    assert segments.enrich(left, right, null_safe=True).filter("LIFESTAGE is not null").count() == 2
+
+
+def test_segment_metrics(shop):
+    rows, people, df, customers = shop
+    got = {(r.LIFESTAGE, r.PREMIUM_CUSTOMER): r for r in segments.segment_metrics(df, customers).collect()}
+    for key in {people.get(r[2], (None, None)) for r in rows}:
+        mine = [r for r in rows if people.get(r[2], (None, None)) == key]
+        cards, units, sales = len({r[2] for r in mine}), sum(r[5] for r in mine), sum(r[6] for r in mine)
+        assert got[key].CUSTOMERS == cards
+        assert got[key].SALES == pytest.approx(sales)
+        assert got[key].UNITS_PER_CUSTOMER == pytest.approx(units / cards)
+        assert got[key].PRICE_PER_UNIT == pytest.approx(sales / units)
+    shares = segments.segment_shares(segments.segment_metrics(df, customers), "SALES").collect()
+    assert sum(r.share_total for r in shares) == pytest.approx(1)
+    for r in shares:
+        assert r.share_total == pytest.approx(r.lifestage_share * r.share_in_lifestage)
+
+
+def test_first_rows_equal_those_after_the_join(shop):
+    _, _, df, customers = shop
+    priced = cleaning.with_price(df)
+    got = segments.first_priced_rows(priced, customers).collect()
+    order = [F.asc_nulls_last(c) for c in ("TXN_ID", "PROD_NAME", "price", "LYLTY_CARD_NBR", "GROUP")]
+    full = segments.with_price_group(segments.enrich(priced, customers))
+    assert got == full.orderBy(*order).limit(6).select("GROUP", "price", "TXN_ID").collect()
+
+
+def test_welch(shop):
+    rows, people, df, customers = shop
+    enriched = cleaning.with_price(segments.enrich(df, customers))
+    main = F.col("PREMIUM_CUSTOMER") == "Mainstream"
+    got = inference.welch_greater(enriched, "price", main, ~main).first()
+    x = [r[6] / r[5] for r in rows if people.get(r[2], ("", ""))[1] == "Mainstream"]
+    y = [r[6] / r[5] for r in rows if people.get(r[2], ("", ""))[1] == "Budget"]
+    vx, vy = statistics.variance(x) / len(x), statistics.variance(y) / len(y)
+    t = (statistics.fmean(x) - statistics.fmean(y)) / (vx + vy) ** 0.5
+    dof = (vx + vy) ** 2 / (vx**2 / (len(x) - 1) + vy**2 / (len(y) - 1))
+    assert (got.n_x, got.n_y) == (len(x), len(y))
+    assert got.t == pytest.approx(t) and got.df == pytest.approx(dof)
+    assert 0 < got.p_value < 1 and got.ci_low < got.mean_x - got.mean_y
+
+
+def test_welch_detects_a_clear_difference(spark):
+    rows = [("a", 10 + i % 5 * 0.1) for i in range(50)] + [("b", 9 + i % 7 * 0.1) for i in range(40)]
+    df = spark.createDataFrame(rows + [("a", None)], "g string, price double")
+    got = inference.welch_greater(df, "price", F.col("g") == "a", F.col("g") == "b").first()
+    assert got.n_x == 50 and got.p_value < 0.05 and got.ci_low > 0
+
+
+def test_welch_without_rows_is_missing(spark):
+    df = spark.createDataFrame([("a", 1.0)], "g string, price double")
+    got = inference.welch_greater(df, "price", F.col("g") == "a", F.col("g") == "b").first()
+    assert (got.n_x, got.n_y, got.t, got.p_value) == (1, 0, None, None)
+
+
+@pytest.mark.parametrize("by", ["BRAND", "PACK_SIZE"])
+def test_affinity(shop, by):
+    rows, people, df, customers = shop
+    enriched = segments.enrich(cleaning.product_features(df), customers)
+    got = {r[by]: r for r in affinity.affinity(enriched, by).collect()}
+    key = {(r.PROD_NAME): r[by] for r in enriched.select("PROD_NAME", by).distinct().collect()}
+
+    def shares(young):
+        sums = Counter()
+        for r in rows:
+            stage, premium = people.get(r[2], (None, None))
+            if premium == "Mainstream" and (stage == "YOUNG SINGLES/COUPLES") == young:
+                sums[key[r[4]]] += r[5]
+        total = sum(sums.values())
+        return {k: v / total for k, v in sums.items()}
+
+    target, other = shares(True), shares(False)
+    both = {k for k in set(target) & set(other) if k is not None}
+    assert {k for k in got if k is not None} == both
+    for k in both:
+        assert got[k].affinity == pytest.approx(target[k] / other[k])
+
+
+def test_affinity_of_equal_segments_is_one(shop):
+    _, _, df, customers = shop
+    enriched = segments.enrich(cleaning.product_features(df), customers)
+    everyone = F.col("LIFESTAGE").isNotNull()
+    assert all(r.affinity == 1 for r in affinity.affinity(enriched, "BRAND", everyone, everyone).collect())
+
+
+def test_affinity_leaves_one_sided_values_out(spark):
+    young, old = ("YOUNG SINGLES/COUPLES", "Mainstream"), ("RETIREES", "Mainstream")
+    rows = [("A", 1.0, *young), ("B", 3.0, *young), ("B", 1.0, *old), ("C", 1.0, *old)]
+    df = spark.createDataFrame(rows, "BRAND string, PROD_QTY double, LIFESTAGE string, PREMIUM_CUSTOMER string")
+    got = affinity.affinity(df, "BRAND").collect()
+    assert [(r.BRAND, r.targetSegment, r.other, r.affinity) for r in got] == [("B", 0.75, 0.5, 1.5)]
+
+
+def test_products_of_pack_size(spark):
+    df = spark.createDataFrame([txn(1, name=n) for n in ["Twisties 270g", "Twisties 270g", "Other 27g"]], SCHEMA)
+    got = affinity.products_of_pack_size(cleaning.product_features(df), 270).collect()
+    assert [r.PROD_NAME for r in got] == ["Twisties 270g"]
