@@ -270,7 +270,7 @@ def _average(expr: str, top: int | None = None) -> str:
 
 def _pct(**variant) -> str:
     return f"""WITH {_assess_ctes(**variant)}
-SELECT trial, metric, YEARMONTH, {_r("scaled", "scaled")}, {_r("observed", "trial_value", 2)}, {_r("pct_diff", "pct_diff")}, {_r("sd", "sd_pre")}
+SELECT trial, metric, YEARMONTH, {_r("scaled", "scaled", 4)}, {_r("observed", "trial_value", 2)}, {_r("pct_diff", "pct_diff")}, {_r("sd", "sd_pre")}
 FROM diff JOIN sds USING (trial, metric)"""
 
 
@@ -279,7 +279,7 @@ def _control(mixed: bool = False) -> str:
 
 
 def _bands(band: str) -> str:
-    value = _r("value", "value", 5)
+    value = _r("value", "value", 4)
     return f"""WITH {_assess_ctes(band=band)},
 lines AS (
   SELECT trial, metric, YEARMONTH, 'Trial' AS series, trial_value AS value FROM t
@@ -390,13 +390,13 @@ ORDER BY TXN_ID, PROD_NAME, enr.price, LYLTY_CARD_NBR, "GROUP" LIMIT 6""",
         "control_scores": f"""SELECT Store1, Store2, {_r("scoreNSales", '"scoreNSales"')}, {_r("scoreNCust", '"scoreNCust"')},
   {_r("finalControlScore", '"finalControlScore"')} FROM scores""",
         "store_type_labels": f"SELECT Store1 AS trial, STORE_NBR, YEARMONTH, {labels} AS Store_type FROM m, ctl",
-        "store_type_trend": f"""SELECT trial, YEARMONTH, Store_type, {_r("avg(totSales)", '"totSales"')}, {_r("avg(nCustomers)", '"nCustomers"')},
+        "store_type_trend": f"""SELECT trial, YEARMONTH, Store_type, {_r("avg(totSales)", '"totSales"', 2)}, {_r("avg(nCustomers)", '"nCustomers"')},
   {_MONTH1} AS TransactionMonth
 FROM (SELECT Store1 AS trial, m.*, {labels} AS Store_type FROM m, ctl) WHERE YEARMONTH < {D.trend_end} GROUP BY trial, YEARMONTH, Store_type""",
     }
     assessed = {
         "scaling_factors": f"SELECT trial, control, metric, {_r('factor', 'factor')} FROM factors",
-        "scaled_control": f"SELECT trial, metric, YEARMONTH, {_r('raw', 'raw', 2)}, {_r('factor', 'factor')}, {_r('scaled', 'scaled')} FROM sc",
+        "scaled_control": f"SELECT trial, metric, YEARMONTH, {_r('raw', 'raw', 2)}, {_r('factor', 'factor')}, {_r('scaled', 'scaled', 4)} FROM sc",
         "trial_window_bounds": f"""SELECT trial, min({_MONTH1}) AS first_month, max({_MONTH1}) AS last_month
 FROM (SELECT trial, YEARMONTH FROM t UNION SELECT trial, YEARMONTH FROM c) WHERE {_IN_TRIAL} GROUP BY trial""",
     }

@@ -120,7 +120,8 @@ def store_type_labels(spark, root):
 
 def store_type_trend(spark, root):
     measures = _staged_measures(spark, root)
-    return fixed(uplift.store_type_trend(measures, _chosen(measures), DESIGN))
+    trend = uplift.store_type_trend(measures, _chosen(measures), DESIGN)
+    return fixed(trend, totSales=2)
 
 
 def scaling_factors(spark, root):
@@ -128,23 +129,23 @@ def scaling_factors(spark, root):
 
 
 def scaled_control(spark, root):
-    return fixed(uplift.scaled_control(_assessed(spark, root)), raw=2)
+    return fixed(uplift.scaled_control(_assessed(spark, root)), raw=2, scaled=4)
 
 
 def trial_vs_control_pct_diff(spark, root):
-    return fixed(uplift.percentage_differences(_assessed(spark, root)), trial_value=2)
+    return fixed(uplift.percentage_differences(_assessed(spark, root)), trial_value=2, scaled=4)
 
 
 def pct_diff_sd_all_months(spark, root):
     assessed = _assessed(spark, root, sd_over_all_months=[(fx.SECOND_TRIAL, "totSales")])
-    return fixed(uplift.percentage_differences(assessed), trial_value=2)
+    return fixed(uplift.percentage_differences(assessed), trial_value=2, scaled=4)
 
 
 def pct_diff_other_store(spark, root):
     assessed = _assessed(
         spark, root, compare_with={(fx.SECOND_TRIAL, "nCustomers"): fx.FIRST_TRIAL}
     )
-    return fixed(uplift.percentage_differences(assessed), trial_value=2)
+    return fixed(uplift.percentage_differences(assessed), trial_value=2, scaled=4)
 
 
 def trial_t_values(spark, root):
@@ -152,11 +153,11 @@ def trial_t_values(spark, root):
 
 
 def trial_bands(spark, root):
-    return fixed(uplift.trial_bands(_assessed(spark, root)), digits=5)
+    return fixed(uplift.trial_bands(_assessed(spark, root)), digits=4)
 
 
 def trial_bands_scaled(spark, root):
-    return fixed(uplift.trial_bands(_assessed(spark, root, band_on="scaled")), digits=5)
+    return fixed(uplift.trial_bands(_assessed(spark, root, band_on="scaled")), digits=4)
 
 
 def trial_window_bounds(spark, root):

@@ -46,9 +46,8 @@ def _rows(columns, rows):
     return names, sorted(cells, key=repr)
 
 
-def difference(spark, con, query, sql: str, root: str) -> str | None:
+def difference(df, con, sql: str) -> str | None:
     """None if both give the same columns and rows, else what differs."""
-    df = query(spark, root)
     got_names, got = _rows(df.columns, [tuple(r) for r in df.collect()])
     result = con.sql(sql)
     want_names, want = _rows(result.columns, result.fetchall())
@@ -81,7 +80,7 @@ if __name__ == "__main__":
     for key in chosen:
         started = time.time()
         try:
-            found = difference(spark, con, queries[key], sql[key], root)
+            found = difference(queries[key](spark, root), con, sql[key])
         except Exception as error:  # report every query
             found = f"{type(error).__name__}: {str(error)[:1500]}"
         failed += found is not None

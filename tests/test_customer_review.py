@@ -55,6 +55,11 @@ def test_cleaning(spark):
     assert cleaning.only_products(cleaned).count() == 0
 
 
+def test_comparison_with_a_missing_card_drops_the_row(spark):
+    df = spark.createDataFrame([txn(226000), txn(None), txn(1)], SCHEMA)
+    assert [r.LYLTY_CARD_NBR for r in cleaning.exclude_customers(df).collect()] == [1]
+
+
 def test_brand_aliases(spark):
     raw = ["rrd", "ww", "Dorito", "Snbts", "Infzns", "Smith", "Grain", "NCC", "Kettle"]
     df = spark.createDataFrame([txn(1, name=f"{b} thing 90g") for b in raw], SCHEMA)
@@ -313,3 +318,47 @@ def test_products_of_pack_size(spark):
     df = spark.createDataFrame([txn(1, name=n) for n in ["Twisties 270g", "Twisties 270g", "Other 27g"]], SCHEMA)
     got = affinity.products_of_pack_size(cleaning.product_features(df), 270).collect()
     assert [r.PROD_NAME for r in got] == ["Twisties 270g"]
+
+
+def test_result_is_independent_of_the_partitioning(shop):
+    _, _, df, customers = shop
+    featured = cleaning.product_features(df)
+    scattered = featured.filter("TXN_ID % 2 = 0").unionByName(featured.filter("TXN_ID % 2 = 1")).repartition(7)
+    for by in ("BRAND", "PACK_SIZE"):
+        first = affinity.affinity(segments.enrich(featured, customers), by).collect()
+        second = affinity.affinity(segments.enrich(scattered, customers), by).collect()
+        assert first == second
+
+
+def test_heavy_card_is_split_in_the_customer_join(spark):
+    """With a third of the rows on one card, adaptive execution splits its partition."""
+    rows = spark.range(200_000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("LYLTY_CARD_NBR"),
+        F.lit(1.0).alias("PROD_QTY"),
+        F.sha2(F.col("id").cast("string"), 256).alias("PROD_NAME"),
+    )
+    customers = spark.range(200_000).select(
+        F.col("id").alias("LYLTY_CARD_NBR"),
+        F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("LIFESTAGE"),
+        F.lit("Mainstream").alias("PREMIUM_CUSTOMER"),
+    )
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df = segments.enrich(rows, customers).groupBy("LIFESTAGE").agg(
+            F.count("PROD_NAME").alias("n"), F.max("PROD_NAME").alias("last")
+        )
+        got = {r.LIFESTAGE: r.n for r in df.collect()}
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(got.values()) == 200_000 and None not in got
+    assert "skew" in plan

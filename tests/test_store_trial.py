@@ -313,3 +313,19 @@ def test_price_test_of_one_year(spark, small):
 def test_month_start_of_measures(world):
     _, df = world
     assert df.select(month_start(F.col("YEARMONTH"))).distinct().count() == 12
+
+
+def test_deviation_of_a_single_month_is_missing(spark):
+    rows = [(s, m, 10.0 * s, 5) for s in (77, 5) for m in (201901, 201902)]
+    df = spark.createDataFrame(rows, "STORE_NBR bigint, YEARMONTH int, totSales double, nCustomers bigint")
+    table = spark.createDataFrame([(77, 5)], "trial bigint, control bigint")
+    assessed = uplift.assess(uplift.paired_series(df, table, 1), DESIGN).collect()
+    assert {(r.sd_pre, r.tValue, r.upper) for r in assessed} == {(None, None, None)}
+
+
+def test_month_of_equal_stores_is_left_out_of_the_closeness(spark):
+    rows = [(s, m, float(s if i else 5), s) for s in (77, 1, 2) for i, m in enumerate(MONTHS)]
+    df = spark.createDataFrame(rows, "STORE_NBR bigint, YEARMONTH int, totSales double, nCustomers bigint")
+    pre = stores.pre_trial_measures(df, DESIGN)
+    got = {r.Store2: r.mag_measure for r in control.store_magnitude(pre, [77], [SALES]).collect()}
+    assert got == {77: 1.0, 1: 0.0, 2: pytest.approx(1 - 75 / 76)}
