@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.functions.values import n_unique, percent_label, two_way
+from basketry.functions.values import percent_label, two_way
 
 CARD = "LYLTY_CARD_NBR"
 SEGMENT = ("LIFESTAGE", "PREMIUM_CUSTOMER")
@@ -24,23 +24,30 @@ def enrich(txns: DataFrame, customers: DataFrame, null_safe: bool = False) -> Da
     return txns.join(right, F.col(CARD).eqNullSafe(F.col("_card")), "left").drop("_card")
 
 
-def segment_metrics(txns: DataFrame, customers: DataFrame) -> DataFrame:
+def card_totals(txns: DataFrame) -> DataFrame:
+    """Sales and units per card, under the names of the transaction columns.
+
+    Joined to the customers in place of the single rows, a heavy card is one row, and the
+    join reuses the partitioning of these sums.
+    """
+    return txns.groupBy(CARD).agg(
+        F.sum("TOT_SALES").alias("TOT_SALES"), F.sum("PROD_QTY").alias("PROD_QTY")
+    )
+
+
+def segment_metrics(enriched: DataFrame) -> DataFrame:
     """SALES, CUSTOMERS, units per customer and average unit price per segment.
 
-    Sales and units are summed per card before the join, so a heavy card is one row in it,
-    and the join reuses the partitioning of that sum.
+    Takes enriched transactions or enriched card totals. The customers are counted by
+    merging each card first; a missing card is one customer.
     """
-    per_card = txns.groupBy(CARD).agg(
+    per_card = enriched.groupBy(*SEGMENT, CARD).agg(
         F.sum("TOT_SALES").alias("sales"), F.sum("PROD_QTY").alias("units")
     )
-    totals = (
-        enrich(per_card, customers)
-        .groupBy(*SEGMENT)
-        .agg(
-            F.sum("sales").alias("SALES"),
-            F.sum("units").alias("UNITS"),
-            n_unique(CARD).alias("CUSTOMERS"),
-        )
+    totals = per_card.groupBy(*SEGMENT).agg(
+        F.sum("sales").alias("SALES"),
+        F.sum("units").alias("UNITS"),
+        F.count(F.lit(1)).alias("CUSTOMERS"),
     )
     return totals.select(
         *SEGMENT,

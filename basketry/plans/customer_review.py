@@ -268,8 +268,8 @@ def join_quality(spark, root):
 
 
 def _segments(spark, root):
-    txns = _clean(spark, root, "PROD_QTY", "TOT_SALES")
-    return segments.segment_metrics(txns, tpch.customers(spark, root))
+    totals = segments.card_totals(_clean(spark, root, "PROD_QTY", "TOT_SALES"))
+    return segments.segment_metrics(segments.enrich(totals, tpch.customers(spark, root)))
 
 
 def segment_sales(spark, root):

@@ -67,7 +67,7 @@ def write_enriched(enriched: DataFrame, path: str) -> None:
     The rebalance hint gives each month few files and lets adaptive execution split a month
     that holds far more rows than the others.
     """
-    keyed = enriched.withColumn("YEARMONTH", yearmonth(F.col("DATE")))
+    keyed = enriched.select(ENRICHED.names).withColumn("YEARMONTH", yearmonth(F.col("DATE")))
     keyed.hint("rebalance", "YEARMONTH").write.mode("overwrite").partitionBy(
         "YEARMONTH"
     ).parquet(path)

@@ -223,9 +223,11 @@ def test_missing_keys_match_only_on_request(spark):
     assert segments.enrich(left, right, null_safe=True).filter("LIFESTAGE is not null").count() == 2
 
 
-def test_segment_metrics(shop):
+@pytest.mark.parametrize("totals_first", [True, False])
+def test_segment_metrics(shop, totals_first):
     rows, people, df, customers = shop
-    got = {(r.LIFESTAGE, r.PREMIUM_CUSTOMER): r for r in segments.segment_metrics(df, customers).collect()}
+    enriched = segments.enrich(segments.card_totals(df) if totals_first else df, customers)
+    got = {(r.LIFESTAGE, r.PREMIUM_CUSTOMER): r for r in segments.segment_metrics(enriched).collect()}
     for key in {people.get(r[2], (None, None)) for r in rows}:
         mine = [r for r in rows if people.get(r[2], (None, None)) == key]
         cards, units, sales = len({r[2] for r in mine}), sum(r[5] for r in mine), sum(r[6] for r in mine)
@@ -233,7 +235,7 @@ def test_segment_metrics(shop):
         assert got[key].SALES == pytest.approx(sales)
         assert got[key].UNITS_PER_CUSTOMER == pytest.approx(units / cards)
         assert got[key].PRICE_PER_UNIT == pytest.approx(sales / units)
-    shares = segments.segment_shares(segments.segment_metrics(df, customers), "SALES").collect()
+    shares = segments.segment_shares(segments.segment_metrics(enriched), "SALES").collect()
     assert sum(r.share_total for r in shares) == pytest.approx(1)
     for r in shares:
         assert r.share_total == pytest.approx(r.lifestage_share * r.share_in_lifestage)
