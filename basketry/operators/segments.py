@@ -11,17 +11,19 @@ CARD = "LYLTY_CARD_NBR"
 SEGMENT = ("LIFESTAGE", "PREMIUM_CUSTOMER")
 
 
-def enrich(txns: DataFrame, customers: DataFrame, null_safe: bool = False) -> DataFrame:
-    """Left join of transactions to customers; no row is lost or hidden.
+def enrich(
+    txns: DataFrame, customers: DataFrame, how: str = "left", null_safe: bool = False
+) -> DataFrame:
+    """Join of transactions to customers by card. The left join neither loses nor hides a row.
 
     The physical join is left to adaptive execution: it broadcasts the customers when they
     are small at run time and splits the partition of a heavy card otherwise. ``null_safe``
     lets a missing card match a missing card.
     """
     if not null_safe:
-        return txns.join(customers, CARD, "left")
+        return txns.join(customers, CARD, how)
     right = customers.withColumnRenamed(CARD, "_card")
-    return txns.join(right, F.col(CARD).eqNullSafe(F.col("_card")), "left").drop("_card")
+    return txns.join(right, F.col(CARD).eqNullSafe(F.col("_card")), how).drop("_card")
 
 
 def card_totals(txns: DataFrame) -> DataFrame:

@@ -14,8 +14,18 @@ from basketry.sources.tables import TRANSACTIONS
 ALL_COLUMNS = tuple(TRANSACTIONS.names)
 
 
+# The columns that are read. A stated schema spares a look into the files for every query.
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_quantity double, "
+    "l_extendedprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "part": "p_partkey bigint, p_name string, p_size int",
+    "customer": "c_custkey bigint, c_mktsegment string, c_acctbal double",
+}
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}.parquet")
 
 
 def _premium(balance: Column) -> Column:

@@ -216,6 +216,13 @@ def test_join_quality(shop, spark):
     assert more.n_joined == segments.enrich(df, doubled).count() > more.n_left
 
 
+def test_inner_join_keeps_known_cards_only(shop):
+    rows, people, df, customers = shop
+    inner = segments.enrich(df, customers, how="inner")
+    assert inner.count() == sum(r[2] in people for r in rows)
+    assert segments.enrich(df, customers).count() == len(rows)
+
+
 def test_missing_keys_match_only_on_request(spark):
     left = spark.createDataFrame([(1,), (None,)], "LYLTY_CARD_NBR bigint")
     right = spark.createDataFrame([(1, "x"), (None, "y")], "LYLTY_CARD_NBR bigint, LIFESTAGE string")
