@@ -30,8 +30,7 @@ def has_letter(text: Column) -> Column:
 def first_number(text: Column) -> Column:
     """First number in the text as double; grouping commas are ignored, NULL where there is none."""
     found = F.regexp_extract(text, r"(-?[0-9][0-9,]*(?:\.[0-9]+)?)", 1)
-    plain = F.regexp_replace(found, ",", "")
-    return F.nullif(plain, F.lit("")).try_cast("double")
+    return F.replace(found, F.lit(","), F.lit("")).try_cast("double")
 
 
 def first_word_upper(text: Column) -> Column:

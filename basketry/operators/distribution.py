@@ -140,13 +140,19 @@ def _order_statistics(table: DataFrame, n_columns: int) -> DataFrame:
 
 
 def histogram(
-    df: DataFrame, value: str, bins: int, by: str | None = None, range_of: DataFrame | None = None
+    df: DataFrame,
+    value: str,
+    bins: int,
+    by: str | None = None,
+    range_of: DataFrame | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Counts in ``bins`` right-closed bins whose first is centred on the minimum.
 
     The bin width is (max - min) / (bins - 1) over all rows, also with groups; empty bins
     are listed with 0. One pass finds the range, a second counts: both aggregate in place,
-    so no values are moved. ``range_of`` may name a cheaper table with the same values.
+    so no values are moved. ``range_of`` may name a cheaper table with the same values;
+    ``weight`` holds the number of rows where equal rows were merged before.
     """
     if bins < 2:
         raise ValueError("a histogram needs at least two bins")
@@ -157,17 +163,20 @@ def histogram(
         F.struct(
             F.min(number).alias("lo"),
             ((F.max(number) - F.min(number)) / (bins - 1)).alias("width"),
+            # Reading the weight here too lets both passes share the shuffle of merged rows.
+            (F.sum(weight) if weight else F.count(F.lit(1))).alias("rows"),
         )
     )
+    rows = F.col(weight) if weight else F.lit(1)
     spanned = (
         df.filter(F.col(value).isNotNull())
-        .select(*groups, number.alias("value"))
+        .select(*groups, number.alias("value"), rows.cast("bigint").alias("rows"))
         .withColumn("span", span.scalar())
     )
     # A single distinct value has width 0: all rows go to bin 0.
     steps = F.try_divide(F.col("value") - F.col("span.lo"), F.col("span.width")) - 0.5
     index = F.greatest(F.coalesce(F.ceil(steps), F.lit(0)), F.lit(0)).cast("int")
-    binned = spanned.groupBy(*groups, index.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    binned = spanned.groupBy(*groups, index.alias("bin")).agg(F.sum("rows").alias("count"))
     # At most ``bins`` entries per group are gathered here.
     present = (
         binned.groupBy(*groups)
@@ -176,10 +185,10 @@ def histogram(
         .filter(F.size("filled") > 0)
     )
     last = F.when(F.col("span.width") > 0, bins - 1).otherwise(0)
-    rows = present.select(
+    listed = present.select(
         *groups, "span", "filled", F.explode(F.sequence(F.lit(0), last)).alias("bin")
     )
-    return rows.select(
+    return listed.select(
         *groups,
         "bin",
         (F.col("span.lo") + (F.col("bin") - 0.5) * F.col("span.width")).alias("lower"),

@@ -10,12 +10,26 @@ from basketry.functions.values import is_missing, largest_first
 from basketry.operators.distribution import numbered
 
 
-def counts(df: DataFrame, *keys: str, name: str = "count") -> DataFrame:
-    """Rows per group, largest first, ties by key."""
-    grouped = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+def counts(
+    df: DataFrame, *keys: str, name: str = "count", weight: str | None = None
+) -> DataFrame:
+    """Rows per group, largest first, ties by key; ``weight`` holds the rows of merged ones."""
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    grouped = df.groupBy(*keys).agg(rows.alias(name))
     return grouped.orderBy(largest_first(name), *keys)
 
 
+def merge_products(txns: DataFrame, *sums: str) -> DataFrame:
+    """Rows ``n`` and the given sums per product name.
+
+    Product features depend on the name alone, so a report by brand or size derives them
+    from these few rows instead of from every transaction.
+    """
+    return txns.groupBy("PROD_NAME").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in sums]
+    )
+
+
 def repeats(df: DataFrame, *keys: str, top: int | None = None) -> DataFrame:
     """Groups with more than one row, largest first; ``top`` asks for the leading rows only."""
     grouped = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count")).filter("count > 1")

@@ -183,36 +183,48 @@ def product_features(spark, root):
     return _featured(spark, root, *tpch.ALL_COLUMNS)
 
 
+def _names(spark, root):
+    return _clean(spark, root).select("PROD_NAME").distinct()
+
+
+def _products(spark, root, *sums):
+    """Product features on rows merged by product name."""
+    merged = profiling.merge_products(_clean(spark, root, *sums), *sums)
+    return cleaning.product_features(merged, fx.BRAND_ALIASES)
+
+
 def brand_raw(spark, root):
-    return cleaning.with_raw_brand(_clean(spark, root).select("PROD_NAME").distinct())
+    return cleaning.with_raw_brand(_names(spark, root))
 
 
 def brand_cleaned(spark, root):
-    raw = cleaning.with_raw_brand(_clean(spark, root)).select("BRAND").distinct()
+    raw = cleaning.with_raw_brand(_names(spark, root)).select("BRAND").distinct()
     kept = raw.withColumn("raw", F.col("BRAND"))
     return cleaning.unify_brands(kept, fx.BRAND_ALIASES).select("raw", "BRAND")
 
 
 def distinct_brands(spark, root):
-    return _featured(spark, root).select("BRAND").distinct()
+    named = cleaning.product_features(_names(spark, root), fx.BRAND_ALIASES)
+    return named.select("BRAND").distinct()
 
 
 def pack_size_counts(spark, root):
-    sizes = _featured(spark, root).groupBy("PACK_SIZE").agg(F.count(F.lit(1)).alias("count"))
+    sizes = _products(spark, root).groupBy("PACK_SIZE").agg(F.sum("n").alias("count"))
     return sizes.orderBy(largest_first("PACK_SIZE"))
 
 
 def brand_counts(spark, root):
-    raw = cleaning.with_raw_brand(_clean(spark, root))
-    return profiling.counts(raw, "BRAND")
+    merged = profiling.merge_products(_clean(spark, root))
+    return profiling.counts(cleaning.with_raw_brand(merged), "BRAND", weight="n")
 
 
 def brand_units(spark, root):
-    return fixed(profiling.units_by(_featured(spark, root, "PROD_QTY"), "BRAND"))
+    return fixed(profiling.units_by(_products(spark, root, "PROD_QTY"), "BRAND"))
 
 
 def pack_size_histogram(spark, root):
-    return fixed(distribution.histogram(_featured(spark, root), "PACK_SIZE", bins=30))
+    products = _products(spark, root)
+    return fixed(distribution.histogram(products, "PACK_SIZE", bins=30, weight="n"))
 
 
 def unit_price(spark, root):
@@ -336,14 +348,14 @@ def price_histogram_by_group(spark, root):
 
 
 def _affinity(spark, root, by):
-    return fixed(
-        aff.affinity(
-            _enriched(spark, root, "PROD_QTY"),
-            by,
-            aff.in_target(fx.LIFESTAGE, fx.PREMIUM),
-            aff.in_comparison(fx.LIFESTAGE, fx.PREMIUM),
-        )
+    enriched = segments.enrich(_clean(spark, root, "PROD_QTY"), tpch.customers(spark, root))
+    units = aff.segment_units(
+        enriched,
+        "PROD_NAME",
+        aff.in_target(fx.LIFESTAGE, fx.PREMIUM),
+        aff.in_comparison(fx.LIFESTAGE, fx.PREMIUM),
     )
+    return fixed(aff.affinity_of_units(cleaning.product_features(units, fx.BRAND_ALIASES), by))
 
 
 def brand_affinity(spark, root):
@@ -355,7 +367,8 @@ def pack_affinity(spark, root):
 
 
 def products_of_pack_size(spark, root):
-    return aff.products_of_pack_size(_featured(spark, root), fx.PACK_SIZE)
+    named = cleaning.product_features(_names(spark, root), fx.BRAND_ALIASES)
+    return aff.products_of_pack_size(named, fx.PACK_SIZE)
 
 
 QUERIES = [

@@ -308,6 +308,19 @@ def test_affinity(shop, by):
         assert got[k].affinity == pytest.approx(target[k] / other[k])
 
 
+def test_reports_on_merged_products_equal_those_on_rows(shop):
+    _, _, df, customers = shop
+    rows = cleaning.product_features(df)
+    merged = cleaning.product_features(profiling.merge_products(df, "PROD_QTY"))
+    assert profiling.counts(rows, "BRAND").collect() == profiling.counts(merged, "BRAND", weight="n").collect()
+    plain = distribution.histogram(rows, "PACK_SIZE", 30).orderBy("bin").collect()
+    assert plain == distribution.histogram(merged, "PACK_SIZE", 30, weight="n").orderBy("bin").collect()
+    assert profiling.units_by(rows, "BRAND").orderBy("rank").collect() == profiling.units_by(merged, "BRAND").orderBy("rank").collect()
+    direct = affinity.affinity(segments.enrich(rows, customers), "BRAND").collect()
+    units = affinity.segment_units(segments.enrich(df, customers), "PROD_NAME")
+    assert direct == affinity.affinity_of_units(cleaning.product_features(units), "BRAND").collect()
+
+
 def test_affinity_of_equal_segments_is_one(shop):
     _, _, df, customers = shop
     enriched = segments.enrich(cleaning.product_features(df), customers)
