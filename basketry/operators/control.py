@@ -44,8 +44,9 @@ def aligned_pairs(
 ) -> DataFrame:
     """Trial and candidate values side by side per month: (Store1, Store2, YEARMONTH, ...).
 
-    The trial side has at most one row per listed trial and month. The candidates keep their
-    partitioning by store, so grouping the pairs needs no further shuffle.
+    The trial side has at most one row per listed trial and month. Where the months of a
+    store lie side by side, as in the staged measures, grouping the pairs merges them in the
+    map tasks and moves one row per pair.
     """
     own = trial_series(pre, trials, metrics)
     candidates = pre.select(

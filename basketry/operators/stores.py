@@ -96,15 +96,17 @@ def full_observation_stores(measures: DataFrame, design: TrialDesign) -> DataFra
     return per_store.filter(F.col("n") == design.n_months).select("STORE_NBR")
 
 
-def pre_trial_measures(measures: DataFrame, design: TrialDesign) -> DataFrame:
-    """Pre-trial months of the fully observed stores.
+def with_observed_months(measures: DataFrame, design: TrialDesign) -> DataFrame:
+    """Add the number of observed months of the row's store.
 
-    The months are counted in a window per store, which holds one row per month. Its
-    partitioning by store serves every later step, where a semi join would shuffle twice.
+    The window per store holds one row per month. It leaves the rows sorted by store, so a
+    table written from it has the months of a store side by side.
     """
     months = F.sum(_counted_month(design)).over(Window.partitionBy("STORE_NBR"))
-    return (
-        measures.withColumn("_months", months)
-        .filter((F.col("_months") == design.n_months) & design.in_pre())
-        .drop("_months")
-    )
+    return measures.withColumn("observed_months", months)
+
+
+def pre_trial_measures(observed: DataFrame, design: TrialDesign) -> DataFrame:
+    """Pre-trial months of the fully observed stores; a plain filter on the counted months."""
+    full = F.col("observed_months") == design.n_months
+    return observed.filter(full & design.in_pre()).drop("observed_months")

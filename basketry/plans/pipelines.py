@@ -166,7 +166,9 @@ def trial(
     """
     first, second = (list(design.trials) + [None, None])[:2]
     odd = as_written and second is not None
-    monthly = stage_if_shared(stores.sales_and_customers(enriched))
+    monthly = stage_if_shared(
+        stores.with_observed_months(stores.sales_and_customers(enriched), design)
+    )
     pre = stores.pre_trial_measures(monthly, design)
     scores = control.control_scores(pre, design, [second] if odd else ())
     controls = control.control_store(scores)

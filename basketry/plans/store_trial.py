@@ -23,11 +23,12 @@ def _measures(spark: SparkSession, root: str) -> DataFrame:
 def _staged_measures(spark: SparkSession, root: str) -> DataFrame:
     """Measures the trial steps need, written once: several branches read them."""
     txns = tpch.transactions(spark, root, ("DATE", "STORE_NBR", "LYLTY_CARD_NBR", "TOT_SALES"))
-    return stage_if_shared(stores.sales_and_customers(txns))
+    monthly = stores.with_observed_months(stores.sales_and_customers(txns), DESIGN)
+    return stage_if_shared(monthly)
 
 
-def _pre(measures: DataFrame) -> DataFrame:
-    return stores.pre_trial_measures(measures, DESIGN)
+def _pre(observed: DataFrame) -> DataFrame:
+    return stores.pre_trial_measures(observed, DESIGN)
 
 
 def _chosen(measures: DataFrame, mixed_magnitude=()) -> DataFrame:
@@ -73,7 +74,8 @@ def stores_full_obs(spark, root):
 
 
 def pre_trial_measures(spark, root):
-    return fixed(_pre(_measures(spark, root)), totSales=2)
+    observed = stores.with_observed_months(_measures(spark, root), DESIGN)
+    return fixed(_pre(observed), totSales=2)
 
 
 # --- control stores ---------------------------------------------------------------------

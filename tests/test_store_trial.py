@@ -45,6 +45,10 @@ def world(spark):
     return rows, df
 
 
+def eligible_before(df):
+    return stores.pre_trial_measures(stores.with_observed_months(df, DESIGN), DESIGN)
+
+
 def pearson(x, y):
     mx, my = statistics.fmean(x), statistics.fmean(y)
     sxy = sum((a - mx) * (b - my) for a, b in zip(x, y))
@@ -119,7 +123,7 @@ def test_eligibility(world):
     rows, df = world
     full = {r.STORE_NBR for r in stores.full_observation_stores(df, DESIGN).collect()}
     assert full == {k[0] for k in rows} - {50}
-    pre = stores.pre_trial_measures(df, DESIGN)
+    pre = eligible_before(df)
     assert {r.STORE_NBR for r in pre.collect()} == full
     assert pre.agg(F.max("YEARMONTH")).first()[0] == 201901
     partial = dataclasses.replace(DESIGN, observed_until=201906, n_months=11)
@@ -129,7 +133,7 @@ def test_eligibility(world):
 @pytest.mark.parametrize("trial", DESIGN.trials)
 def test_similarity(world, trial):
     rows, df = world
-    pre = stores.pre_trial_measures(df, DESIGN)
+    pre = eligible_before(df)
     corr, mag, final = brute_scores(rows, trial)
     index = {SALES: 0, CUSTOMERS: 1}
     for r in control.store_correlation(pre, [trial]).collect():
@@ -148,7 +152,7 @@ def test_similarity(world, trial):
 
 def test_control_store(world):
     rows, df = world
-    pre = stores.pre_trial_measures(df, DESIGN)
+    pre = eligible_before(df)
     got = {r.Store1: r.Store2 for r in control.control_store(control.control_scores(pre, DESIGN)).collect()}
     assert got == {t: brute_control(rows, t) for t in DESIGN.trials}
     mixed = control.control_store(control.control_scores(pre, DESIGN, [86])).collect()
@@ -167,19 +171,19 @@ def test_equal_scores_go_to_the_smaller_store(spark):
 def test_equal_distances_give_missing_closeness(spark):
     rows = [(s, m, 5.0, 7) for s in (77, 1) for m in MONTHS]
     df = spark.createDataFrame(rows, "STORE_NBR bigint, YEARMONTH int, totSales double, nCustomers bigint")
-    pre = stores.pre_trial_measures(df, DESIGN)
+    pre = eligible_before(df)
     assert {r.mag_measure for r in control.store_magnitude(pre, [77]).collect()} == {None}
 
 
 def test_ineligible_trial_gives_no_rows(world):
     _, df = world
-    pre = stores.pre_trial_measures(df, DESIGN)
+    pre = eligible_before(df)
     assert control.store_pairs(pre, [50, 4711]).count() == 0
 
 
 def test_pairs_are_aligned_by_month(world):
     rows, df = world
-    pre = stores.pre_trial_measures(df, DESIGN)
+    pre = eligible_before(df)
     got = control.store_pairs(pre, [77, 86]).collect()
     assert len(got) == 2 * 13 * 7 * 2
     for r in got:
@@ -295,7 +299,7 @@ def test_control_stores_of_one_year(spark, small):
     """One year of the given tables: control stores measured independently beforehand."""
     txns = year_window(spark, small, ("DATE", "STORE_NBR", "LYLTY_CARD_NBR", "TOT_SALES"))
     design = stores.TrialDesign(trials=(6, 7, 8, 77, 86, 88), pre_end=199702, trial_start=199702, trial_end=199704, trend_end=199703)
-    measures = stage(stores.sales_and_customers(txns))
+    measures = stage(stores.with_observed_months(stores.sales_and_customers(txns), design))
     pre = stores.pre_trial_measures(measures, design)
     got = {r.Store1: r.Store2 for r in control.control_store(control.control_scores(pre, design)).collect()}
     assert got == {6: 86, 7: 79, 8: 32, 77: 21, 86: 27, 88: 52}
@@ -326,6 +330,6 @@ def test_deviation_of_a_single_month_is_missing(spark):
 def test_month_of_equal_stores_is_left_out_of_the_closeness(spark):
     rows = [(s, m, float(s if i else 5), s) for s in (77, 1, 2) for i, m in enumerate(MONTHS)]
     df = spark.createDataFrame(rows, "STORE_NBR bigint, YEARMONTH int, totSales double, nCustomers bigint")
-    pre = stores.pre_trial_measures(df, DESIGN)
+    pre = eligible_before(df)
     got = {r.Store2: r.mag_measure for r in control.store_magnitude(pre, [77], [SALES]).collect()}
     assert got == {77: 1.0, 1: 0.0, 2: pytest.approx(1 - 75 / 76)}
