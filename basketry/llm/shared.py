@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+import zipfile
+from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,7 @@ _WORD_BYTE = bytes(
 )
 
 _local_root: str | None = None
+_sent_to: str | None = None
 
 
 def blank_words(text: str | None) -> list[bytes]:
@@ -96,6 +99,21 @@ def staging_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/corpus-{uuid.uuid4().hex}"
 
 
+def map_batches(df: DataFrame, function: Callable, schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow`` with this library sent along, so that workers need not have it installed."""
+    global _sent_to
+    context = df.sparkSession.sparkContext
+    if _sent_to != context.applicationId:
+        package = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="library-")) / f"{package.name}_library.zip"
+        with zipfile.ZipFile(archive, "w") as packed:
+            for source in sorted(package.rglob("*.py")):
+                packed.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(archive))  # the driver hands it to every worker
+        _sent_to = context.applicationId
+    return df.mapInArrow(function, schema)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to shared storage and read it back; a lost executor then costs a re-read."""
     path = staging_folder(df.sparkSession)
@@ -149,7 +167,7 @@ def running_totals(
         .sortWithinPartitions(*keys)
         .withColumn("_part", F.spark_partition_id())
     )
-    placed_rows = stage(sorted_rows.mapInArrow(within, placed))
+    placed_rows = stage(map_batches(sorted_rows, within, placed))
     ends = placed_rows.groupBy(*by, "_part").agg(
         *[F.max(F.col(b) + F.col(v)).alias(f"{v}_sum") for v, b in zip(values, befores, strict=True)]
     )
