@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import sharding
+from basketry.llm import decontamination, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in [
+        tokens.op5_packed_tokens,
+        decontamination.op8_benchmark_hits,
         sharding.op9_stratified_interleaving,
     ]
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_benchmark_hits": decontamination.OP8_SQL,
+}
