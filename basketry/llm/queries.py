@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import decontamination, sharding, tokens
+from basketry.llm import decontamination, sharding, substrings, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
@@ -14,9 +14,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tokens.op5_packed_tokens,
         decontamination.op8_benchmark_hits,
         sharding.op9_stratified_interleaving,
+        substrings.op10_repeated_passages,
     ]
 }
 
 ORACLES: dict[str, str] = {
     "op8_benchmark_hits": decontamination.OP8_SQL,
+    "op10_repeated_passages": substrings.OP10_SQL,
 }
