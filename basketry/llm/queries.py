@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import decontamination, licenses, sharding, substrings, tokens
+from basketry.llm import decontamination, licenses, mixing, sharding, substrings, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in [
+        mixing.op2_source_mixture,
         licenses.op3_license_notices,
         tokens.op5_packed_tokens,
         decontamination.op8_benchmark_hits,
