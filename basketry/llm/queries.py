@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import decontamination, licenses, mixing, sharding, substrings, tokens
+from basketry.llm import decontamination, licenses, minhash, mixing, sharding, substrings, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in [
+        minhash.op1_near_duplicates,
         mixing.op2_source_mixture,
         licenses.op3_license_notices,
         tokens.op5_packed_tokens,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_near_duplicates": minhash.OP1_SQL,
     "op8_benchmark_hits": decontamination.OP8_SQL,
     "op10_repeated_passages": substrings.OP10_SQL,
 }
