@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import decontamination, licenses, minhash, mixing, sharding, substrings, tokens
+from basketry.llm import decontamination, licenses, minhash, mixing, pii, sharding, substrings, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         mixing.op2_source_mixture,
         licenses.op3_license_notices,
         tokens.op5_packed_tokens,
+        pii.op7_surrogates,
         decontamination.op8_benchmark_hits,
         sharding.op9_stratified_interleaving,
         substrings.op10_repeated_passages,
