@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import decontamination, licenses, minhash, mixing, pii, sharding, substrings, tokens
+from basketry.llm import decontamination, licenses, minhash, mixing, pii, quality, sharding, substrings, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         minhash.op1_near_duplicates,
         mixing.op2_source_mixture,
         licenses.op3_license_notices,
+        quality.op4_importance_resampling,
         tokens.op5_packed_tokens,
         pii.op7_surrogates,
         decontamination.op8_benchmark_hits,
