@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import decontamination, licenses, minhash, mixing, pii, quality, sharding, substrings, tokens
+from basketry.llm import decontamination, licenses, lines, minhash, mixing, pii, quality, sharding, substrings, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         licenses.op3_license_notices,
         quality.op4_importance_resampling,
         tokens.op5_packed_tokens,
+        lines.op6_line_labels,
         pii.op7_surrogates,
         decontamination.op8_benchmark_hits,
         sharding.op9_stratified_interleaving,
