@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm.components import components
-from basketry.llm.shared import WordHashes, lower_blank_words, map_batches, mix, stage
+from basketry.llm.shared import lower_blank_words, map_batches, mix, stage, word_hashes
 
 #: Words of a shingle, and the similarity in percent from which documents are linked.
 SHINGLE = 5
@@ -23,7 +23,6 @@ GROUPS = 9
 AGREE = 16
 
 _FACTORS = (mix(np.arange(1, 2 * 64 * 8 + 1, dtype=np.uint64)) | np.uint64(1)).tolist()
-_hashes: WordHashes | None = None
 
 
 def shingle_sets(texts: Sequence[str | None], words: int) -> list[np.ndarray]:
@@ -31,11 +30,9 @@ def shingle_sets(texts: Sequence[str | None], words: int) -> list[np.ndarray]:
 
     A text of fewer words has its whole sequence as its one shingle; one without words has none.
     """
-    global _hashes
-    _hashes = _hashes or WordHashes()
     sets = []
     for text in texts:
-        h = _hashes.of(lower_blank_words(text))
+        h = word_hashes(lower_blank_words(text))
         size = min(words, len(h))
         if not size:
             sets.append(np.empty(0, np.uint64))
@@ -172,8 +169,8 @@ def near_duplicates(
       that could join components goes untested.
 
     Texts move once, and only those of candidates are kept. Returns doc_id, ``n_shingles``,
-    ``component_id`` (smallest doc_id in the component) and ``row`` / ``first_row`` (whether this is
-    the row to keep: the first of the smallest doc_id). Words lie between ASCII blanks, A-Z
+    ``component_id`` (smallest doc_id in the component), ``_t`` (hash of the text) and ``first`` (true
+    for one row of each component, of the smallest doc_id). Words lie between ASCII blanks, A-Z
     lower-cased. A text of fewer words than a shingle is one shingle; an empty or null text is
     linked with nothing, not even another empty one. Repeated rows are linked. Rows without doc_id
     are linked like others but give no component_id; a component of only such rows has null.
@@ -234,18 +231,29 @@ def near_duplicates(
         )
     )
     return (
-        signed.select("doc_id", "n_shingles", "f1", "f2", "row")
+        signed.select("doc_id", "_t", "n_shingles", "f1", "f2", "row")
         .join(final, ["n_shingles", "f1", "f2"], "left")
         .select(
             "doc_id",
             "n_shingles",
             F.when(F.col("n_shingles") > 0, F.col("_c")).otherwise(F.col("doc_id")).alias("component_id"),
-            "row",
-            F.when(F.col("n_shingles") > 0, F.col("_keep")).otherwise(F.col("row")).alias("_keep"),
+            "_t",
+            ((F.col("n_shingles") == 0) | (F.col("row") == F.col("_keep"))).alias("first"),
         )
     )
 
 
+def deduplicated(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that are the first of their component, unchanged.
+
+    Documents without words are linked with nothing and stay. Of rows with the same doc_id and text
+    one stays.
+    """
+    first = near_duplicates(docs, **options).filter("first").select(F.coalesce("doc_id", F.lit(0)).alias("_d"), "_t")
+    keyed = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_t": F.xxhash64("text")})
+    return keyed.join(stage(first), ["_d", "_t"], "left_semi").dropDuplicates(["_d", "_t"]).select(*docs.columns)
+
+
 def _across(members: DataFrame, classes: DataFrame, labels: DataFrame, tested: DataFrame, agree: int) -> DataFrame:
     """Candidate pairs across components that the stars have not tested.
 

@@ -50,21 +50,9 @@ def plain_bytes(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTE) if text else b""
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; forgets all when it holds ``room`` words, so its memory is bounded."""
-
-    def __init__(self, room: int = 400_000):
-        super().__init__()
-        self.room = room
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.room:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, words: Sequence[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: Sequence[bytes]) -> np.ndarray:
+    """64-bit hashes of words, the same in every process."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mix(values: np.ndarray) -> np.ndarray:

@@ -8,23 +8,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.shared import WordHashes, blank_words, map_batches, mix, stage
+from basketry.llm.shared import blank_words, map_batches, mix, stage, word_hashes
 
 #: Words of a window, and of the seed that anchors a block; a block covers the windows of one seed.
 WINDOW = 35
 SEED = 8
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_hashes: WordHashes | None = None
-
-
-def _word_hashes() -> WordHashes:
-    global _hashes
-    _hashes = _hashes or WordHashes()
-    return _hashes
 
 
 def _runs(h: np.ndarray, length: int) -> np.ndarray:
@@ -99,14 +93,13 @@ def blocks_of(word_lists: Sequence[Sequence[bytes]], window: int = WINDOW, seed:
     the window alone, so equal windows, wherever they stand, lie at the same place of blocks with
     equal seeds.
     """
-    hashes = _word_hashes()
     sizes = np.array([len(w) for w in word_lists], np.int64)
     ends = np.cumsum(sizes)
     n = int(ends[-1]) if len(ends) else 0
     empty = np.empty(0, np.int64)
     if n < window:
         return Blocks(empty, empty, empty, *[np.empty(0, np.uint64)] * 2, empty, np.empty(0, np.uint64))
-    h = np.concatenate([hashes.of(w) for w in word_lists])
+    h = np.concatenate([word_hashes(w) for w in word_lists])
     seeds = _runs(h, seed)
     at = _least(seeds, window - seed + 1)
     row = np.repeat(np.arange(len(sizes)), sizes)
@@ -206,14 +199,11 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, words in _texts(batches, 64):
             b = blocks_of(words, window)
-            open_blocks = {
-                (i, m["first"])
-                for i, marks in enumerate(part.column("marks").to_pylist())
-                for m in marks
-                if not m["same"]
-            }
-            keys = zip(b.row.tolist(), b.first.tolist(), strict=True)
-            picked = np.array([k in open_blocks for k in keys], bool)
+            marks = part.column("marks")
+            flat, row = marks.flatten(), pc.list_parent_indices(marks).to_numpy()
+            open_ = ~flat.field("same").to_numpy(zero_copy_only=False)
+            key = (row.astype(np.int64) << 40) | flat.field("first").to_numpy()
+            picked = np.isin((b.row << 40) | b.first, key[open_])
             counts = b.count[picked]
             inner = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
             rows = np.repeat(b.row[picked], counts)
