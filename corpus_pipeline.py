@@ -6,9 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from basketry.llm import decontamination, minhash, mixing, quality, tokens
 from basketry.llm.shared import stage
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn by importance resampling towards those labelled as good."""
+    return quality.resampled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component by five-word shingles and a similarity of 0.8."""
+    return minhash.deduplicated(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    found = decontamination.scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=docs.columns)
+    return found.filter("n_hit = 0").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes, a row per document and pass."""
+    return mixing.mixed_documents(docs)
+
+
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packed token files of the mix, read back: doc_id, start, n_tokens, ids_crc32."""
+    return tokens.read_tokens(tokens.write_tokens(docs, str(tokens.default_tokenizer())))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", select_quality),
+    ("near-duplicates", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("source mixture", mix_sources),
+    ("token files", write_token_files),
+]
 
 #: SQL expresses neither the classifier nor the tokenizer.
 ORACLE_SQL: str | None = None
