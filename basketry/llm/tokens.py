@@ -25,6 +25,10 @@ END_ID = 0
 # White space other than single blanks and line ends; beside it a word can't be encoded by itself.
 _OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
+# Punctuation, and letters after which it always begins a piece.
+_PUNCTUATION = ".,;:!?*#&%$"
+_LETTER_END = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]$")
+
 
 def _even(text: str) -> bool:
     """Whether white space occurs only as single blanks or line ends between other characters."""
@@ -53,17 +57,18 @@ class Encoder:
     characters that are no white space, so the ids of such a text are those of its words, each with
     the blank before it, and of its line ends, in turn. Texts with other white space are encoded
     whole, as is every text if the tokenizer has a normaliser or another pre-tokenizer. New words are
-    encoded together, a line each, and told apart by the id of the line end. At most about ``room``
+    encoded together, a line each, and told apart by the id of the line end; a word with punctuation
+    at its end is put together from its pieces. At most about ``room``
     words are remembered.
     """
 
-    def __init__(self, path: str, room: int = 600_000):
+    def __init__(self, path: str, room: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         pre = type(self.tokenizer.pre_tokenizer).__name__
         self.by_word = self.tokenizer.normalizer is None and pre == "ByteLevel"
         if self.by_word:
-            line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+            line_end = self._plain("\n")
             self.by_word = not self.tokenizer.pre_tokenizer.add_prefix_space and len(line_end) == 1
             self.line_end = line_end[0]
         self.room = room
@@ -73,6 +78,9 @@ class Encoder:
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
+    def _plain(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def _forget(self) -> None:
         self.new: list[str] = []
         self.count = [0]
@@ -88,27 +96,59 @@ class Encoder:
         self.used = 1
 
     def _learn(self) -> None:
-        """Encode the waiting words and put them into the pool."""
+        """Encode the waiting words and put them into the pool.
+
+        A word that ends in punctuation after a letter is put together from its two pieces.
+        """
         at = self.count[0] - len(self.new)
-        for i in range(0, len(self.new), 4096):
-            found = self.new[i : i + 4096]
-            lines = np.array(self.tokenizer.encode("\n".join(found), add_special_tokens=False).ids, np.uint32)
+        whole: list[str] = []
+        places: list[int] = []
+        joined: list[int] = []
+        halves: list[int] = []
+        while self.new:
+            waiting = list(self.new)
+            self.new.clear()
+            for place, word in enumerate(waiting, at):
+                if word[-1:] in _PUNCTUATION:
+                    stem = word.rstrip(_PUNCTUATION)
+                    if stem and _LETTER_END.search(stem):
+                        joined.append(place)
+                        halves.append(self.other[stem[1:]] if stem[0] == " " else self.first[stem])
+                        halves.append(self.first[word[len(stem) :]])
+                        continue
+                whole.append(word)
+                places.append(place)
+            at += len(waiting)
+        for i in range(0, len(whole), 4096):
+            found = whole[i : i + 4096]
+            lines = np.fromiter(ids := self._plain("\n".join(found)), np.uint32, len(ids))
             cuts = np.concatenate([[-1], np.flatnonzero(lines == self.line_end), [len(lines)]])
             sizes = np.diff(cuts) - 1
             if len(sizes) != len(found):
                 raise ValueError("the tokenizer joins line ends with other text")
-            flat = lines[lines != self.line_end]
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-            while at + len(found) > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
-                self.lengths = np.concatenate([self.lengths, np.empty_like(self.lengths)])
-            self.pool[self.used : self.used + len(flat)] = flat
-            self.starts[at : at + len(found)] = self.used + np.cumsum(sizes) - sizes
-            self.lengths[at : at + len(found)] = sizes
-            self.used += len(flat)
-            at += len(found)
-        self.new.clear()
+            self._keep(np.array(places[i : i + 4096], np.int64), lines[lines != self.line_end], sizes)
+        if joined:
+            pieces = np.array(halves, np.int64)
+            sizes = self.lengths[pieces].reshape(-1, 2).sum(axis=1)
+            self._keep(np.array(joined, np.int64), self._gather(pieces), sizes)
+
+    def _keep(self, places: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.count[0] > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.starts[places] = self.used + np.cumsum(sizes) - sizes
+        self.lengths[places] = sizes
+        self.used += len(ids)
+
+    def _gather(self, places: np.ndarray) -> np.ndarray:
+        """Ids of the words at these places, one after the other."""
+        sizes = self.lengths[places]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.pool[np.repeat(self.starts[places] - (ends - sizes), sizes) + np.arange(total)]
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each. Null is empty."""
@@ -121,7 +161,7 @@ class Encoder:
             if not text:
                 continue
             if not self.by_word or not _even(text):
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                ids = self._plain(text)
                 whole.append((k, np.array(ids, np.uint32)))
                 continue
             before = len(places)
@@ -133,12 +173,9 @@ class Encoder:
             places.pop()
             words[k] = len(places) - before
         self._learn()
-        at = np.array(places, np.int64)
-        sizes = self.lengths[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.pool[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total)]
-        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(words)])]
+        at = np.fromiter(places, np.int64, len(places))
+        ids = self._gather(at)
+        upto = np.concatenate([[0], np.cumsum(self.lengths[at])])[np.concatenate([[0], np.cumsum(words)])]
         counts = np.diff(upto)
         if whole:
             parts, done = [], 0
@@ -252,7 +289,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    files = placed.repartitionByRange("shard")
+    files = placed.repartitionByRange(max(1, manifest.count()), "shard")
     return map_batches(files, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
