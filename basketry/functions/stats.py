@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _STEPS = 1000  # Simpson intervals, even
-_NEWTON_STEPS = 16
+_HALVINGS = 64  # of an angle below 2: more than a double resolves
 _REACH = 40.0  # standard deviations beyond which the tail is negligible for large df
 
 
@@ -56,20 +56,24 @@ def t_upper_tail(t: Column, df: Column) -> Column:
 def t_quantile(p: float, df: Column) -> Column:
     """Quantile of Student's t for 0.5 <= p < 1.
 
-    Newton steps on the angle from zero: the upper mass is convex and falling, so they
-    approach the solution from below and never pass it. Meant for single-row results.
+    The angle is halved in until neighbouring doubles remain, so every level converges. Meant for
+    single-row results.
     """
     if not 0.5 <= p < 1:
         raise ValueError("p must lie in [0.5, 1)")
 
-    def step(at: Column, _i: Column) -> Column:
-        surplus = _mass(at["theta"], df) - at["wanted"]
+    def halve(at: Column, _i: Column) -> Column:
+        middle = (at["low"] + at["high"]) / 2
+        beyond = _mass(middle, df) > at["wanted"]
         return F.struct(
-            (at["theta"] + surplus / _density(at["theta"], df)).alias("theta"),
+            F.when(beyond, middle).otherwise(at["low"]).alias("low"),
+            F.when(beyond, at["high"]).otherwise(middle).alias("high"),
             at["wanted"].alias("wanted"),
         )
 
     wanted = 2 * (1 - p) * _mass(F.lit(0.0), df)
-    start = F.struct(F.lit(0.0).alias("theta"), wanted.alias("wanted"))
-    rounds = F.sequence(F.lit(1), F.lit(_NEWTON_STEPS))
-    return F.aggregate(rounds, start, step, lambda at: F.sqrt(df) * F.tan(at["theta"]))
+    start = F.struct(
+        F.lit(0.0).alias("low"), _limit(df).alias("high"), wanted.alias("wanted")
+    )
+    halvings = F.sequence(F.lit(1), F.lit(_HALVINGS))
+    return F.aggregate(halvings, start, halve, lambda at: F.sqrt(df) * F.tan(at["low"]))

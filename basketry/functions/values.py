@@ -31,6 +31,18 @@ def percent_label(share: Column) -> Column:
     return F.concat(F.regexp_replace(percent, r"\.0$", ""), F.lit(" %"))
 
 
+def known_number(column: Column | str) -> Column:
+    """The column as double with NaN as missing."""
+    value = F.col(column) if isinstance(column, str) else column
+    return F.nanvl(value.cast("double"), F.lit(None))
+
+
 def largest_first(name: str) -> Column:
-    """Descending order with missing values last."""
-    return F.col(name).desc_nulls_last()
+    """Descending order of a numeric column with missing values, NaN among them, last."""
+    value = F.col(name)
+    return F.when(F.isnan(value.cast("double")), None).otherwise(value).desc_nulls_last()
+
+
+def smallest_first(*names: str) -> list[Column]:
+    """Ascending order with missing values last."""
+    return [F.col(name).asc_nulls_last() for name in names]

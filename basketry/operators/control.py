@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.stats import correlation
-from basketry.functions.values import largest_first
+from basketry.functions.values import largest_first, smallest_first
 from basketry.operators.stores import METRICS, TrialDesign
-from basketry.session import MAX_MONTHS, broadcast_bounded
 
 SALES, CUSTOMERS = METRICS
 
+# The names of the scores.
+SCORES = {SALES: "scoreNSales", CUSTOMERS: "scoreNCust"}
+
 
 def trial_series(pre: DataFrame, trials: Sequence[int], metrics: Sequence[str]) -> DataFrame:
     """Monthly values of the trial stores, with the largest distance any store has to them.
@@ -44,17 +46,21 @@ def aligned_pairs(
 ) -> DataFrame:
     """Trial and candidate values side by side per month: (Store1, Store2, YEARMONTH, ...).
 
-    The trial side has at most one row per listed trial and month. Where the months of a
-    store lie side by side, as in the staged measures, grouping the pairs merges them in the
-    map tasks and moves one row per pair.
+    The trial side is one row per month with the listed trials in an array, so a candidate
+    row meets one row whatever the number of trials, and adaptive execution chooses the join.
+    Where the months of a store lie side by side, as in the staged measures, grouping the pairs
+    merges them in the map tasks and moves one row per pair.
     """
     own = trial_series(pre, trials, metrics)
+    fields = [c for c in own.columns if c != "YEARMONTH"]
+    by_month = own.groupBy("YEARMONTH").agg(F.collect_list(F.struct(*fields)).alias("_trials"))
     candidates = pre.select(
         F.col("STORE_NBR").alias("Store2"),
         "YEARMONTH",
         *[F.col(m).alias(f"{m}_2") for m in metrics],
     )
-    return candidates.join(broadcast_bounded(own, len(trials) * MAX_MONTHS), "YEARMONTH")
+    paired = candidates.join(by_month, "YEARMONTH").withColumn("_trial", F.explode("_trials"))
+    return paired.select("_trial.*", *candidates.columns)
 
 
 def _distance(metric: str) -> Column:
@@ -128,28 +134,34 @@ def store_magnitude(
 
 
 def control_scores(
-    pre: DataFrame, design: TrialDesign, mixed_magnitude: Collection[int] = ()
+    pre: DataFrame,
+    design: TrialDesign,
+    mixed_magnitude: Collection[int] = (),
+    metrics: Mapping[str, str] = SCORES,
 ) -> DataFrame:
     """Weighted score per metric and their mean.
 
-    For the trials in ``mixed_magnitude`` the sales score takes the customers' closeness, as
-    the original run does for its second store.
+    ``metrics`` names the score of each metric; their mean decides. For the trials in
+    ``mixed_magnitude`` the sales score takes the customers' closeness, as the original run
+    does for its second store.
     """
     w = design.corr_weight
-    pairs = pair_similarity(pre, design.trials)
-    sales_magnitude = F.col(f"mag_{SALES}")
-    if mixed_magnitude:
-        sales_magnitude = F.when(
-            F.col("Store1").isin(list(mixed_magnitude)), F.col(f"mag_{CUSTOMERS}")
-        ).otherwise(sales_magnitude)
-    return pairs.select(
-        "Store1",
-        "Store2",
-        (F.col(f"corr_{SALES}") * w + sales_magnitude * (1 - w)).alias("scoreNSales"),
-        (F.col(f"corr_{CUSTOMERS}") * w + F.col(f"mag_{CUSTOMERS}") * (1 - w)).alias(
-            "scoreNCust"
-        ),
-    ).withColumn("finalControlScore", F.col("scoreNSales") * 0.5 + F.col("scoreNCust") * 0.5)
+    pairs = pair_similarity(pre, design.trials, list(metrics))
+
+    def magnitude(metric: str) -> Column:
+        own = F.col(f"mag_{metric}")
+        if metric != SALES or not mixed_magnitude:
+            return own
+        mixed = F.col("Store1").isin(list(mixed_magnitude))
+        return F.when(mixed, F.col(f"mag_{CUSTOMERS}")).otherwise(own)
+
+    scores = [
+        (F.col(f"corr_{metric}") * w + magnitude(metric) * (1 - w)).alias(name)
+        for metric, name in metrics.items()
+    ]
+    share = 1 / len(metrics)
+    mean = sum((F.col(name) * share for name in metrics.values()), F.lit(0.0))
+    return pairs.select("Store1", "Store2", *scores).withColumn("finalControlScore", mean)
 
 
 def control_store(scores: DataFrame) -> DataFrame:
@@ -158,7 +170,8 @@ def control_store(scores: DataFrame) -> DataFrame:
     The limit on the row number is applied in every task before the shuffle, so only one
     candidate per trial and task is moved.
     """
-    best = Window.partitionBy("Store1").orderBy(largest_first("finalControlScore"), "Store2")
+    order = [largest_first("finalControlScore"), *smallest_first("Store2")]
+    best = Window.partitionBy("Store1").orderBy(*order)
     return (
         scores.filter(F.col("Store1") != F.col("Store2"))
         .withColumn("place", F.row_number().over(best))

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.session import broadcast_bounded, stage
+from basketry.functions.values import known_number
+from basketry.session import stage
 
 QUARTILES = (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
 
@@ -34,145 +35,181 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     )
 
 
-def _as_number(df: DataFrame, name: str) -> Column:
-    """Column as double, dates as days since 1970, NaN as missing."""
-    kind = dict(df.dtypes)[name]
-    if kind == "date":
-        return F.unix_date(name).cast("double")
-    value = F.col(name).cast("double")
-    return F.nanvl(value, F.lit(None)) if kind in ("double", "float") else value
+# Rank error of the bracket around a quartile, as a part of all rows.
+_ACCURACY = 10_000
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(position of the column, value, n): one pass, equal values merged before the shuffle."""
-    values = F.array(*[_as_number(df, c) for c in columns])
-    long = df.select(F.posexplode(values).alias("position", "value"))
-    return long.groupBy("position", "value").agg(F.count(F.lit(1)).alias("n"))
+def _natural(df: DataFrame, name: str) -> Column:
+    """Whole numbers as bigint, dates as days since 1970, others as double with NaN as missing."""
+    kind = dict(df.dtypes)[name]
+    if kind == "date":
+        return F.unix_date(name).cast("bigint")
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return F.col(name).cast("bigint")
+    return known_number(name)
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, missing, min, quartiles, mean and max per column.
 
-    Quartiles are exact with linear interpolation between order statistics. The distinct
-    values are range-partitioned with their counts and written once; the totals of the
-    partitions tell which few partitions hold the wanted ranks, and only those are ordered.
+    Quartiles are exact with linear interpolation between order statistics. A first pass finds
+    two values around each quartile, by approximate percentiles whose rank error is bounded; a
+    second counts the rows below, and a third groups only the values in between, a few
+    thousandths of the rows. So no column is moved, nothing is written, and ranks are compared on
+    the values themselves: whole numbers stay whole, also beyond 2^53. ``min_whole`` and
+    ``max_whole`` give their exact ends.
     """
-    ranged = value_counts(df, columns).repartitionByRange("position", "value")
-    table = stage(ranged.withColumn("chunk", F.spark_partition_id()))
-    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("position") + 1)
-    table = table.withColumn("column", name).drop("position")
-
-    basic = table.groupBy("column").agg(
-        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("n"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_null"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.try_divide(
-            F.sum(F.col("value") * F.col("n")),
-            F.sum(F.when(F.col("value").isNotNull(), F.col("n"))),
-        ).alias("mean"),
+    base = df.select(*[_natural(df, c).alias(c) for c in columns])
+    whole = {c: dict(base.dtypes)[c] == "bigint" for c in columns}
+    shares = [max(p - 3 / _ACCURACY, 0.0) for _, p in QUARTILES]
+    shares += [min(p + 3 / _ACCURACY, 1.0) for _, p in QUARTILES]
+    first = base.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count(c).alias(f"n_{c}") for c in columns],
+        *[F.min(c).alias(f"min_{c}") for c in columns],
+        *[F.max(c).alias(f"max_{c}") for c in columns],
+        *[F.avg(F.col(c).cast("double")).alias(f"mean_{c}") for c in columns],
+        *[F.percentile_approx(c, shares, _ACCURACY).alias(f"near_{c}") for c in columns],
     )
-    picked = _order_statistics(table, len(columns))
-    quartiles = picked.groupBy("column").agg(
-        *[_interpolated(name).alias(name) for name, _ in QUARTILES]
+    known = first.select(F.struct(*first.columns).alias("s")).scalar()
+    around = base.withColumn("_s", known)
+
+    def bound(c: str, quartile: int, side: int) -> Column:
+        near = F.col(f"_s.near_{c}")[quartile + side * len(QUARTILES)]
+        if not whole[c]:
+            return near
+        # Percentiles of whole numbers come by way of doubles: allow for their rounding.
+        slack = F.floor(F.abs(near) / 2**52).cast("bigint") + 2
+        if side == 0:
+            return F.coalesce(F.try_subtract(near, slack), near)
+        return F.coalesce(F.try_add(near, slack), near)
+
+    below = around.agg(
+        *[
+            F.count_if(F.col(c) < bound(c, q, 0)).alias(f"{c}_{q}")
+            for c in columns
+            for q in range(len(QUARTILES))
+        ]
     )
-    return basic.join(quartiles, "column", "left").select(
-        "column", "n", "n_null", "min", "q1", "median", "mean", "q3", "max"
+    places = [(i, c, q) for i, c in enumerate(columns) for q in range(len(QUARTILES))]
+    inside = F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    F.col(c).between(bound(c, q, 0), bound(c, q, 1)),
+                    F.struct(
+                        F.lit(i).alias("i"),
+                        F.lit(q).alias("q"),
+                        (F.col(c) if whole[c] else F.lit(None).cast("bigint")).alias("whole"),
+                        (F.lit(None).cast("double") if whole[c] else F.col(c)).alias("part"),
+                    ),
+                )
+                for i, c, q in places
+            ]
+        )
     )
-
-
-def _interpolated(quantile: str) -> Column:
-    here = F.col("quantile") == quantile
-    low = F.max(F.when(here & (F.col("side") == 0), F.col("value")))
-    high = F.max(F.when(here & (F.col("side") == 1), F.col("value")))
-    part = F.max(F.when(here, F.col("part")))
-    return low + (high - low) * part
-
-
-def _order_statistics(table: DataFrame, n_columns: int) -> DataFrame:
-    """Values at the lower and upper rank of every quartile: (column, quantile, side, part, value)."""
-    known = table.filter(F.col("value").isNotNull())
-    chunks = known.groupBy("column", "chunk").agg(F.sum("n").alias("chunk_n"))
-    # One row per written partition: this window is as small as the partition count.
-    per_column = Window.partitionBy("column")
-    running = per_column.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    placed = chunks.withColumn("total", F.sum("chunk_n").over(per_column)).withColumn(
-        "before", F.coalesce(F.sum("chunk_n").over(running), F.lit(0))
+    values = around.select(F.explode(inside).alias("v")).groupBy("v").agg(
+        F.count(F.lit(1)).alias("n")
     )
-
-    def position(p: float) -> Column:
-        return (F.col("total") - 1) * F.lit(p)
-
-    ranks = F.array(
+    upto = Window.partitionBy("v.i", "v.q").orderBy("v.whole", "v.part")
+    ranked = values.withColumn(
+        "upto", F.sum("n").over(upto.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    per_place = F.array(
         *[
             F.struct(
-                F.lit(name).alias("quantile"),
-                F.lit(side).alias("side"),
-                (position(p) - F.floor(position(p))).alias("part"),
-                ((F.floor if side == 0 else F.ceil)(position(p)) + 1).alias("rank"),
+                F.lit(i).alias("i"),
+                F.lit(q).alias("q"),
+                F.lit(QUARTILES[q][1]).alias("p"),
+                F.col(f"_s.n_{c}").alias("n"),
+                F.col(f"_b.{c}_{q}").alias("below"),
             )
-            for name, p in QUARTILES
-            for side in (0, 1)
+            for i, c, q in places
         ]
     )
-    targets = (
-        placed.select("column", "chunk", "before", "chunk_n", F.explode(ranks).alias("t"))
-        .select("column", "chunk", "before", "chunk_n", "t.*")
-        .filter(
-            (F.col("rank") > F.col("before"))
-            & (F.col("rank") <= F.col("before") + F.col("chunk_n"))
-        )
-        .withColumn("rank", F.col("rank") - F.col("before"))
-        .select("column", "chunk", "quantile", "side", "part", "rank")
+    one = first.sparkSession.range(1)
+    asked = (
+        one.withColumn("_s", known)
+        .withColumn("_b", below.select(F.struct(*below.columns)).scalar())
+        .select(F.explode(per_place).alias("t"))
+        .select("t.*")
+        .filter("n > 0")
     )
-    max_targets = n_columns * len(QUARTILES) * 2
-    needed = broadcast_bounded(targets.select("column", "chunk").distinct(), max_targets)
-    inside = Window.partitionBy("column", "chunk").orderBy("value")
-    cumulated = known.join(needed, ["column", "chunk"], "left_semi").withColumn(
-        "upto", F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    rank = (F.col("n") - 1) * F.col("p")
+    asked = asked.withColumns(
+        {
+            "share": rank - F.floor(rank),
+            "low": F.floor(rank) + 1 - F.col("below"),
+            "high": F.ceil(rank) + 1 - F.col("below"),
+        }
     )
-    hit = (F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n"))
-    return (
-        cumulated.join(broadcast_bounded(targets, max_targets), ["column", "chunk"])
-        .filter(hit)
-        .select("column", "quantile", "side", "part", "value")
+    met = asked.join(
+        ranked.select(F.col("v.i").alias("i"), F.col("v.q").alias("q"), "v", F.col("n").alias("m"), "upto"),
+        ["i", "q"],
+    )
+
+    def at(place: str) -> Column:
+        here = (F.col(place) <= F.col("upto")) & (F.col(place) > F.col("upto") - F.col("m"))
+        return F.max(F.when(here, F.coalesce(F.col("v.whole").cast("decimal(28,6)").cast("double"), "v.part")))
+
+    found = met.groupBy("i", "q").agg(at("low").alias("a"), at("high").alias("b"), F.max("share").alias("share"))
+    checked = F.when(
+        F.col("a").isNull() | F.col("b").isNull(), F.raise_error(F.lit("a quartile lies outside its bracket"))
+    ).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("share"))
+    quartiles = found.groupBy("i").agg(
+        *[F.max(F.when(F.col("q") == q, checked)).alias(name) for q, (name, _) in enumerate(QUARTILES)]
+    )
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("i"),
+                F.lit(c).alias("column"),
+                F.col(f"_s.n_{c}").alias("n"),
+                (F.col("_s.rows") - F.col(f"_s.n_{c}")).alias("n_null"),
+                F.col(f"_s.min_{c}").cast("double").alias("min"),
+                F.col(f"_s.max_{c}").cast("double").alias("max"),
+                F.col(f"_s.mean_{c}").alias("mean"),
+                (F.col(f"_s.min_{c}") if whole[c] else F.lit(None).cast("bigint")).alias("min_whole"),
+                (F.col(f"_s.max_{c}") if whole[c] else F.lit(None).cast("bigint")).alias("max_whole"),
+            )
+            for i, c in enumerate(columns)
+        ]
+    )
+    basic = one.withColumn("_s", known).select(F.explode(rows).alias("r")).select("r.*")
+    return basic.join(quartiles, "i", "left").select(
+        "column", "n", "n_null", "min", "q1", "median", "mean", "q3", "max", "min_whole", "max_whole"
     )
 
 
 def histogram(
-    df: DataFrame,
-    value: str,
-    bins: int,
-    by: str | None = None,
-    range_of: DataFrame | None = None,
-    weight: str | None = None,
+    df: DataFrame, value: str, bins: int, by: str | None = None, weight: str | None = None
 ) -> DataFrame:
     """Counts in ``bins`` right-closed bins whose first is centred on the minimum.
 
     The bin width is (max - min) / (bins - 1) over all rows, also with groups; empty bins
-    are listed with 0. One pass finds the range, a second counts: both aggregate in place,
-    so no values are moved. ``range_of`` may name a cheaper table with the same values;
-    ``weight`` holds the number of rows where equal rows were merged before.
+    are listed with 0; missing values and NaN are left out. Equal values are merged first, in the
+    tasks and then by one shuffle; range and bins are both taken from the merged values, so the
+    input is read once. ``weight`` holds the number of rows where equal rows were merged before.
     """
     if bins < 2:
         raise ValueError("a histogram needs at least two bins")
     groups = [by] if by else []
-    source = df if range_of is None else range_of
-    number = F.col(value).cast("double")
-    span = source.agg(
+    rows = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    merged = (
+        df.select(*groups, known_number(value).alias("value"), rows.alias("rows"))
+        .filter(F.col("value").isNotNull())
+        .groupBy(*groups, "value")
+        .agg(F.sum("rows").alias("rows"))
+    )
+    span = merged.agg(
         F.struct(
-            F.min(number).alias("lo"),
-            ((F.max(number) - F.min(number)) / (bins - 1)).alias("width"),
-            # Reading the weight here too lets both passes share the shuffle of merged rows.
-            (F.sum(weight) if weight else F.count(F.lit(1))).alias("rows"),
+            F.min("value").alias("lo"),
+            ((F.max("value") - F.min("value")) / (bins - 1)).alias("width"),
+            # The rows are read here too, so that both uses share one shuffle.
+            F.sum("rows").alias("rows"),
         )
     )
-    rows = F.col(weight) if weight else F.lit(1)
-    spanned = (
-        df.filter(F.col(value).isNotNull())
-        .select(*groups, number.alias("value"), rows.cast("bigint").alias("rows"))
-        .withColumn("span", span.scalar())
-    )
+    spanned = merged.withColumn("span", span.scalar())
     # A single distinct value has width 0: all rows go to bin 0.
     steps = F.try_divide(F.col("value") - F.col("span.lo"), F.col("span.width")) - 0.5
     index = F.greatest(F.coalesce(F.ceil(steps), F.lit(0)), F.lit(0)).cast("int")

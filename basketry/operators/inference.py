@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.stats import t_quantile, t_upper_tail
+from basketry.functions.values import known_number
 
 
 def welch_greater(
@@ -13,11 +14,11 @@ def welch_greater(
 ) -> DataFrame:
     """One row: is the mean of ``value`` greater where ``first`` holds than where ``second`` does?
 
-    Missing values are left out. Variances may differ. ``ci_low`` is the lower bound of the
+    Missing values and NaN are left out. Variances may differ. ``ci_low`` is the lower bound of the
     one-sided interval for the difference of the means.
     """
-    x = F.when(first, F.col(value))
-    y = F.when(second, F.col(value))
+    x = F.when(first, known_number(value))
+    y = F.when(second, known_number(value))
     moments = df.filter(first | second).agg(
         F.avg(x).alias("mean_x"),
         F.avg(y).alias("mean_y"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.text import has_digit, has_letter, tokens
-from basketry.functions.values import is_missing, largest_first
+from basketry.functions.values import is_missing, largest_first, smallest_first
 from basketry.operators.distribution import numbered
 
 
@@ -16,24 +16,23 @@ def counts(
     """Rows per group, largest first, ties by key; ``weight`` holds the rows of merged ones."""
     rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
     grouped = df.groupBy(*keys).agg(rows.alias(name))
-    return grouped.orderBy(largest_first(name), *keys)
+    return grouped.orderBy(largest_first(name), *smallest_first(*keys))
 
 
-def merge_products(txns: DataFrame, *sums: str) -> DataFrame:
-    """Rows ``n`` and the given sums per product name.
+def merge_products(txns: DataFrame, *sums: str, weight: str | None = None) -> DataFrame:
+    """Rows ``n`` and the given sums per product name; ``weight`` holds the rows of merged ones.
 
     Product features depend on the name alone, so a report by brand or size derives them
     from these few rows instead of from every transaction.
     """
-    return txns.groupBy("PROD_NAME").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in sums]
-    )
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    return txns.groupBy("PROD_NAME").agg(rows.alias("n"), *[F.sum(c).alias(c) for c in sums])
 
 
 def repeats(df: DataFrame, *keys: str, top: int | None = None) -> DataFrame:
     """Groups with more than one row, largest first; ``top`` asks for the leading rows only."""
     grouped = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count")).filter("count > 1")
-    ranked = grouped.orderBy(largest_first("count"), *keys)
+    ranked = grouped.orderBy(largest_first("count"), *smallest_first(*keys))
     return ranked if top is None else ranked.limit(top)
 
 
@@ -48,7 +47,7 @@ def word_counts(txns: DataFrame) -> DataFrame:
 def units_by(df: DataFrame, key: str) -> DataFrame:
     """Units per group with their rank, largest first, ties by key."""
     units = df.groupBy(key).agg(F.sum("PROD_QTY").alias("units"))
-    return numbered(units, [largest_first("units"), F.col(key)], "rank")
+    return numbered(units, [largest_first("units"), *smallest_first(key)], "rank")
 
 
 def daily_counts(txns: DataFrame) -> DataFrame:
@@ -87,6 +86,16 @@ def schema_profile(df: DataFrame) -> DataFrame:
     return sized.select(F.explode(listing).alias("c"), "n_obs").select("c.*", "n_obs")
 
 
+def text_summary(df: DataFrame) -> DataFrame:
+    """Length and class of every text column: what a summary shows of text."""
+    names = [n for n, t in df.dtypes if t == "string"]
+    listing = F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    sized = df.agg(F.count(F.lit(1)).alias("length"))
+    return sized.select(
+        F.explode(listing).alias("column"), "length", F.lit("character").alias("class")
+    )
+
+
 def null_counts(df: DataFrame) -> DataFrame:
     """Missing cells per column and in total, from one pass over the rows."""
     per_column = df.agg(*[F.count_if(is_missing(df, c)).alias(c) for c in df.columns])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.dates import yearmonth
-from basketry.functions.values import n_unique
+from basketry.functions.values import known_number, n_unique
 
 METRICS = ("totSales", "nCustomers")
 
@@ -47,14 +47,14 @@ def store_month_measures(txns: DataFrame) -> DataFrame:
 
     Both distinct counts come from one pass. The distinct values are merged per
     (store, month, value) before the counts, so a store with very many rows is spread over
-    all tasks.
+    all tasks. NaN is a missing number, as NULL is.
     """
     months = txns.withColumn("YEARMONTH", yearmonth(F.col("DATE")))
     sums = months.groupBy("STORE_NBR", "YEARMONTH").agg(
-        F.sum("TOT_SALES").alias("totSales"),
+        F.sum(known_number("TOT_SALES")).alias("totSales"),
         n_unique("LYLTY_CARD_NBR").alias("nCustomers"),
         n_unique("TXN_ID").alias("txns"),
-        F.sum("PROD_QTY").alias("units"),
+        F.sum(known_number("PROD_QTY")).alias("units"),
     )
     return sums.select(
         "STORE_NBR",
@@ -72,7 +72,7 @@ def sales_and_customers(txns: DataFrame) -> DataFrame:
     per_customer = (
         txns.withColumn("YEARMONTH", yearmonth(F.col("DATE")))
         .groupBy("STORE_NBR", "YEARMONTH", "LYLTY_CARD_NBR")
-        .agg(F.sum("TOT_SALES").alias("sales"))
+        .agg(F.sum(known_number("TOT_SALES")).alias("sales"))
     )
     return per_customer.groupBy("STORE_NBR", "YEARMONTH").agg(
         F.sum("sales").alias("totSales"), F.count(F.lit(1)).alias("nCustomers")

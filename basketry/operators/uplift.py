@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from basketry.functions.dates import month_start
 from basketry.functions.stats import t_quantile
 from basketry.operators.stores import METRICS, TrialDesign
-from basketry.session import broadcast_bounded
 
 # Labels of the store types and of the plotted series.
 TRIAL = "Trial"
@@ -41,7 +40,8 @@ def store_type(store: Column, trial: Column, control: Column) -> Column:
 def store_type_labels(measures: DataFrame, chosen: DataFrame) -> DataFrame:
     """Every store month labelled once per trial as Trial, Control or Other stores.
 
-    The chosen pairs, one per listed trial, travel as one array value.
+    The result is by its nature rows x trials. The chosen pairs, one per listed trial, travel
+    as one array value.
     """
     pairs = chosen.agg(F.collect_list(F.struct("trial", "control"))).scalar()
     return (
@@ -61,20 +61,48 @@ def store_type_trend(
 ) -> DataFrame:
     """Mean measures per trial, month and store type before the trend's end.
 
-    One row per group instead of the mean repeated on every row: the large group of other
-    stores is averaged in parts and never gathered.
+    One row per group instead of the mean repeated on every row. The sums and counts of a month
+    are taken once over all stores; the other stores of a trial are those less its own and its
+    control's row, so nothing is multiplied by the number of trials but the months. Rows without a store are of no type.
     """
-    labelled = store_type_labels(measures.filter(F.col("YEARMONTH") < design.trend_end), chosen)
-    means = labelled.groupBy("trial", "YEARMONTH", "Store_type").agg(
-        *[F.avg(m).alias(m) for m in metrics]
+    months = measures.filter(F.col("STORE_NBR").isNotNull() & (F.col("YEARMONTH") < design.trend_end))
+    totals = months.groupBy("YEARMONTH").agg(
+        F.count(F.lit(1)).alias("_stores"),
+        *[F.sum(m).cast("double").alias(f"_sum_{m}") for m in metrics],
+        *[F.count(m).alias(f"_n_{m}") for m in metrics],
     )
-    return means.withColumn("TransactionMonth", month_start(F.col("YEARMONTH")))
+    roles = F.array(
+        F.struct(F.lit(TRIAL).alias("Store_type"), F.col("trial").alias("STORE_NBR")),
+        F.struct(F.lit(CONTROL).alias("Store_type"), F.col("control").alias("STORE_NBR")),
+    )
+    stores = chosen.select("trial", F.explode(roles).alias("r")).select("trial", "r.*")
+    known = months.join(stores, "STORE_NBR").select(
+        "trial", "YEARMONTH", "Store_type", *[F.col(m).cast("double").alias(m) for m in metrics]
+    )
+    picked = known.groupBy("trial", "YEARMONTH").agg(
+        F.count(F.lit(1)).alias("_own"),
+        *[F.sum(m).alias(f"_own_{m}") for m in metrics],
+        *[F.count(m).alias(f"_has_{m}") for m in metrics],
+    )
+    trials = chosen.agg(F.collect_list("trial")).scalar()
+    listed = totals.withColumn("trial", F.explode(trials))
+    rest = listed.join(picked, ["trial", "YEARMONTH"], "left").filter(
+        F.col("_stores") > F.coalesce("_own", F.lit(0))
+    )
+
+    def of_rest(metric: str) -> Column:
+        left = F.col(f"_sum_{metric}") - F.coalesce(f"_own_{metric}", F.lit(0.0))
+        return F.try_divide(left, F.col(f"_n_{metric}") - F.coalesce(f"_has_{metric}", F.lit(0)))
+
+    others = rest.select(
+        "trial", "YEARMONTH", F.lit(OTHER).alias("Store_type"), *[of_rest(m).alias(m) for m in metrics]
+    )
+    return known.union(others).withColumn("TransactionMonth", month_start(F.col("YEARMONTH")))
 
 
 def paired_series(
     measures: DataFrame,
     chosen: DataFrame,
-    n_trials: int,
     metrics: Sequence[str] = METRICS,
     compare_with: Mapping[tuple[int, str], int] | None = None,
 ) -> DataFrame:
@@ -94,14 +122,13 @@ def paired_series(
     roles = chosen.select("trial", "control", F.explode(F.array(*wanted)).alias("r")).select(
         "trial", "control", "r.*"
     )
-    few = broadcast_bounded(roles, n_trials * len(wanted))
 
     def value(metric: str, role: str) -> Column:
         return F.max(F.when(F.col("role") == role, F.col(metric)))
 
     replaced = {metric for _, metric in compare_with}
     months = (
-        measures.join(few, "STORE_NBR")
+        measures.join(roles, "STORE_NBR")
         .groupBy("trial", "control", "YEARMONTH")
         .agg(
             *[value(m, "trial").alias(f"{m}_trial") for m in metrics],

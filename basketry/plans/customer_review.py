@@ -6,27 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions.dates import date_to_serial, serial_to_date
-from basketry.functions.values import largest_first
+from basketry.functions.values import largest_first, smallest_first
 from basketry.operators import affinity as aff
 from basketry.operators import cleaning, distribution, inference, profiling, segments
 from basketry.plans import fixture as fx
 from basketry.plans.rounding import fixed
 from basketry.session import staging_path
 from basketry.sources import tables, tpch
-from basketry.sources.calendar import calendar_of
+from basketry.sources.calendar import calendar_between, calendar_of
 
 CARD = "LYLTY_CARD_NBR"
 
 
 def _products_excluded(spark: SparkSession, root: str, *columns: str) -> DataFrame:
-    """Transactions after the product filter, before the outlier customer is dropped."""
-    txns = tpch.transactions(spark, root, (*columns, "PROD_NAME"))
-    return cleaning.exclude_products(txns, fx.EXCLUDED)
+    """Transactions after the product filter, before the outlier customer is dropped.
+
+    Without the name among the columns, the lines lose the few excluded part keys by an anti join,
+    and the names are not read into the plan.
+    """
+    if "PROD_NAME" not in columns:
+        return tpch.transactions(spark, root, columns, without=fx.EXCLUDED)
+    return cleaning.exclude_products(tpch.transactions(spark, root, columns), fx.EXCLUDED)
 
 
 def _clean(spark: SparkSession, root: str, *columns: str) -> DataFrame:
-    txns = tpch.transactions(spark, root, (*columns, "PROD_NAME", CARD))
-    return cleaning.clean_transactions(txns, fx.EXCLUDED, [fx.OUTLIER_CARD])
+    kept = _products_excluded(spark, root, *dict.fromkeys((*columns, CARD)))
+    return cleaning.exclude_customers(kept, [fx.OUTLIER_CARD])
 
 
 def _featured(spark: SparkSession, root: str, *columns: str) -> DataFrame:
@@ -63,11 +68,11 @@ def excel_serial_dates(spark, root):
 
 
 def product_counts(spark, root):
-    return profiling.counts(tpch.transactions(spark, root, ("PROD_NAME",)), "PROD_NAME")
+    return profiling.counts(tpch.product_totals(spark, root), "PROD_NAME", weight="n")
 
 
 def product_words(spark, root):
-    return profiling.word_counts(tpch.transactions(spark, root, ("PROD_NAME",)))
+    return profiling.word_counts(tpch.product_totals(spark, root))
 
 
 # --- filters ----------------------------------------------------------------------------
@@ -78,8 +83,16 @@ def exclude_products(spark, root):
 
 
 def excluded_check(spark, root):
-    left = cleaning.only_products(_products_excluded(spark, root), fx.EXCLUDED)
-    return left.agg(F.count(F.lit(1)).alias("n_remaining"))
+    """Rows of the excluded product in all rows and in those that are left, where none may be."""
+    named = tpch.transactions(spark, root, ("PROD_NAME",), fx.GAPS)
+    counts = [
+        cleaning.only_products(rows, fx.EXCLUDED).agg(F.count(F.lit(1)).alias(name))
+        for rows, name in (
+            (named, "n_excluded"),
+            (cleaning.exclude_products(named, fx.EXCLUDED), "n_remaining"),
+        )
+    ]
+    return counts[0].withColumn("n_remaining", counts[1].scalar())
 
 
 def exclude_customers(spark, root):
@@ -111,16 +124,25 @@ def distinct_cards(spark, root):
     return _products_excluded(spark, root, CARD).select(CARD).distinct()
 
 
+def _gapped(spark: SparkSession, root: str, *columns: str) -> DataFrame:
+    """Transactions with missing cards and names and with unknown cards, by the fixture's rule."""
+    return tpch.transactions(spark, root, columns, fx.GAPS)
+
+
+def _gapped_kept(spark, root, *columns):
+    return cleaning.exclude_products(_gapped(spark, root, *columns, "PROD_NAME"), fx.EXCLUDED)
+
+
 def repeat_customers_top50(spark, root):
-    return profiling.repeats(_products_excluded(spark, root, CARD), CARD, top=50)
+    return profiling.repeats(_gapped_kept(spark, root, CARD), CARD, top=50)
 
 
 def repeat_txns_top10(spark, root):
-    return profiling.repeats(_products_excluded(spark, root, "TXN_ID"), "TXN_ID", top=10)
+    return profiling.repeats(_gapped_kept(spark, root, "TXN_ID"), "TXN_ID", top=10)
 
 
 def repeat_card_txn(spark, root):
-    return profiling.repeats(_products_excluded(spark, root, CARD, "TXN_ID"), CARD, "TXN_ID")
+    return profiling.repeats(_gapped_kept(spark, root, CARD, "TXN_ID"), CARD, "TXN_ID")
 
 
 # --- summaries --------------------------------------------------------------------------
@@ -142,34 +164,45 @@ def customer_summary(spark, root):
     return fixed(distribution.numeric_summary(tpch.customers(spark, root), [CARD]), mean=4)
 
 
+def text_summary(spark, root):
+    """Text columns of both tables."""
+    txns = profiling.text_summary(tpch.transactions(spark, root)).select(F.lit("transactions").alias("table"), "*")
+    people = profiling.text_summary(tpch.customers(spark, root))
+    return txns.union(people.select(F.lit("customers").alias("table"), "*"))
+
+
 # --- days -------------------------------------------------------------------------------
 
 
 def daily_counts(spark, root):
-    return profiling.daily_counts(_clean(spark, root, "DATE")).orderBy("DATE")
+    return profiling.daily_counts(_clean(spark, root, "DATE")).orderBy(*smallest_first("DATE"))
 
 
 def calendar_days(spark, root):
     return calendar_of(tpch.transactions(spark, root, ("DATE",)))
 
 
+def _calendar(spark):
+    return calendar_between(spark, fx.FIRST_DAY, fx.LAST_DAY)
+
+
 def _on_calendar(spark, root):
     daily = profiling.daily_counts(_clean(spark, root, "DATE"))
-    return profiling.on_calendar(daily, calendar_of(daily))
+    return profiling.on_calendar(daily, _calendar(spark))
 
 
 def daily_counts_calendar(spark, root):
-    return _on_calendar(spark, root).orderBy("DATE")
+    return _on_calendar(spark, root).orderBy(*smallest_first("DATE"))
 
 
 def daily_counts_month(spark, root):
     days = _on_calendar(spark, root)
-    return days.filter(F.month("DATE") == fx.DECEMBER).orderBy("DATE")
+    return days.filter(F.month("DATE") == fx.DECEMBER).orderBy(*smallest_first("DATE"))
 
 
 def missing_days(spark, root):
-    days = _clean(spark, root, "DATE").select("DATE").distinct()
-    return profiling.missing_days(days, calendar_of(days)).orderBy("DATE")
+    days = _clean(spark, root, "DATE")
+    return profiling.missing_days(days, _calendar(spark)).orderBy(*smallest_first("DATE"))
 
 
 def date_coverage(spark, root):
@@ -183,14 +216,19 @@ def product_features(spark, root):
     return _featured(spark, root, *tpch.ALL_COLUMNS)
 
 
+def _merged(spark, root, *sums):
+    """Cleaned transactions merged by product: first by key, then, with the names, by name."""
+    totals = tpch.product_totals(spark, root, sums, [fx.OUTLIER_CARD])
+    return profiling.merge_products(cleaning.exclude_products(totals, fx.EXCLUDED), *sums, weight="n")
+
+
 def _names(spark, root):
-    return _clean(spark, root).select("PROD_NAME").distinct()
+    return _merged(spark, root).select("PROD_NAME")
 
 
 def _products(spark, root, *sums):
     """Product features on rows merged by product name."""
-    merged = profiling.merge_products(_clean(spark, root, *sums), *sums)
-    return cleaning.product_features(merged, fx.BRAND_ALIASES)
+    return cleaning.product_features(_merged(spark, root, *sums), fx.BRAND_ALIASES)
 
 
 def brand_raw(spark, root):
@@ -214,8 +252,7 @@ def pack_size_counts(spark, root):
 
 
 def brand_counts(spark, root):
-    merged = profiling.merge_products(_clean(spark, root))
-    return profiling.counts(cleaning.with_raw_brand(merged), "BRAND", weight="n")
+    return profiling.counts(cleaning.with_raw_brand(_merged(spark, root)), "BRAND", weight="n")
 
 
 def brand_units(spark, root):
@@ -228,8 +265,8 @@ def pack_size_histogram(spark, root):
 
 
 def unit_price(spark, root):
-    priced = cleaning.with_price(_clean(spark, root, "TXN_ID", "PROD_QTY", "TOT_SALES"))
-    return fixed(priced.select("TXN_ID", "PROD_NAME", "price"))
+    priced = cleaning.with_price(_clean(spark, root, "TXN_ID", "PROD_NAME", "PROD_QTY", "TOT_SALES"))
+    return priced.select("TXN_ID", "PROD_NAME", "price")
 
 
 # --- customers and the join -------------------------------------------------------------
@@ -255,6 +292,16 @@ def enriched_transactions(spark, root):
     return _enriched(spark, root, *tpch.ALL_COLUMNS)
 
 
+def enriched_inner(spark, root):
+    """The join as an inner one: rows without a customer drop out."""
+    featured = cleaning.product_features(
+        cleaning.exclude_products(_gapped(spark, root, *tpch.ALL_COLUMNS), fx.EXCLUDED), fx.BRAND_ALIASES
+    )
+    return segments.enrich(featured, tpch.customers(spark, root), how="inner").select(
+        *tables.ENRICHED.names
+    )
+
+
 def enriched_handoff(spark, root):
     """Write the enriched table by month, read it back and total its months."""
     path = staging_path(spark)
@@ -269,11 +316,12 @@ def enriched_handoff(spark, root):
 
 
 def null_counts(spark, root):
-    return profiling.null_counts(_enriched(spark, root, *tpch.ALL_COLUMNS))
+    featured = cleaning.product_features(_gapped(spark, root, *tpch.ALL_COLUMNS), fx.BRAND_ALIASES)
+    return profiling.null_counts(segments.enrich(featured, tpch.customers(spark, root)))
 
 
 def join_quality(spark, root):
-    return profiling.join_quality(_clean(spark, root), tpch.customers(spark, root))
+    return profiling.join_quality(_gapped(spark, root, CARD), tpch.customers(spark, root))
 
 
 # --- segments ---------------------------------------------------------------------------
@@ -329,26 +377,27 @@ def price_ttest(spark, root):
     )
     mainstream = F.col("PREMIUM_CUSTOMER") == fx.PREMIUM
     tested = inference.welch_greater(chosen, "price", mainstream, ~mainstream)
-    return fixed(tested, df=4, ci_low=4)
+    # The logarithm shows a small p-value to the same relative precision as a large one.
+    return fixed(tested.withColumn("p_log10", F.log10("p_value")), df=4, ci_low=4)
 
 
 def price_by_group_sample(spark, root):
-    priced = cleaning.with_price(_clean(spark, root, "TXN_ID", "PROD_QTY", "TOT_SALES"))
-    return fixed(segments.first_priced_rows(priced, tpch.customers(spark, root)))
+    priced = cleaning.with_price(_clean(spark, root, "TXN_ID", "PROD_NAME", "PROD_QTY", "TOT_SALES"))
+    return segments.first_priced_rows(priced, tpch.customers(spark, root))
 
 
 def price_histogram_by_group(spark, root):
     priced = cleaning.with_price(_clean(spark, root, "PROD_QTY", "TOT_SALES"))
     grouped = segments.with_price_group(segments.enrich(priced, tpch.customers(spark, root)))
-    # The join keeps every row, so the range is the same before it.
-    return fixed(distribution.histogram(grouped, "price", 9, by="GROUP", range_of=priced))
+    return fixed(distribution.histogram(grouped, "price", 9, by="GROUP"))
 
 
 # --- affinity ---------------------------------------------------------------------------
 
 
 def _affinity(spark, root, by):
-    enriched = segments.enrich(_clean(spark, root, "PROD_QTY"), tpch.customers(spark, root))
+    named = _clean(spark, root, "PROD_NAME", "PROD_QTY")
+    enriched = segments.enrich(named, tpch.customers(spark, root))
     units = aff.segment_units(
         enriched,
         "PROD_NAME",
@@ -392,6 +441,7 @@ QUERIES = [
     numeric_summary,
     numeric_summary_uncleaned,
     customer_summary,
+    text_summary,
     daily_counts,
     calendar_days,
     daily_counts_calendar,
@@ -412,6 +462,7 @@ QUERIES = [
     distinct_lifestages,
     distinct_premium_types,
     enriched_transactions,
+    enriched_inner,
     enriched_handoff,
     null_counts,
     join_quality,

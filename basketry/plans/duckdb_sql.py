@@ -49,6 +49,26 @@ seg AS (
   FROM enr GROUP BY ALL)
 """
 
+G = fx.GAPS
+# The transactions with the fixture's missing and unknown values, after the product filter, and joined.
+_GAPPED = f"""{_TXN},
+gapped AS (
+  SELECT CAST(o_orderdate AS DATE) AS "DATE", l_suppkey AS STORE_NBR,
+         CASE WHEN l_orderkey % {G.card} = 0 THEN NULL WHEN o_custkey % {G.unknown} = 0 THEN -o_custkey ELSE o_custkey END AS LYLTY_CARD_NBR,
+         l_orderkey AS TXN_ID,
+         CASE WHEN l_partkey % {G.name} = 0 THEN NULL ELSE p_name || ' ' || CAST(p_size AS VARCHAR) || 'g' END AS PROD_NAME,
+         l_quantity AS PROD_QTY, l_extendedprice AS TOT_SALES
+  FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey),
+gapped_kept AS (SELECT * FROM gapped WHERE PROD_NAME IS NULL OR NOT contains(PROD_NAME, '{fx.EXCLUDED}')),
+gapped_raw AS (
+  SELECT *, upper(split_part(PROD_NAME, ' ', 1)) AS RAW,
+         TRY_CAST(nullif(replace(regexp_extract(PROD_NAME, '-?[0-9][0-9,]*(\\.[0-9]+)?'), ',', ''), '') AS DOUBLE) AS PACK_SIZE
+  FROM gapped),
+gapped_feat AS (SELECT * EXCLUDE (RAW), CASE RAW {_ALIAS} ELSE RAW END AS BRAND FROM gapped_raw),
+gapped_enr AS (
+  SELECT f.*, LIFESTAGE, PREMIUM_CUSTOMER FROM gapped_feat f LEFT JOIN cust c ON f.LYLTY_CARD_NBR = c.LYLTY_CARD_NBR)
+"""
+
 _CORR = (
     "covar_samp(a.{m}, b.{m}) / nullif(stddev_samp(a.{m}) * stddev_samp(b.{m}), 0)"
 )
@@ -160,6 +180,10 @@ _MONEY = "PROD_QTY, TOT_SALES"
 
 
 def _summary(source: str, columns: tuple[str, ...]) -> str:
+    def whole(end: str, column: str, value: str) -> str:
+        kept = column not in ("PROD_QTY", "TOT_SALES")
+        return f"CAST({f'{end}({value})' if kept else 'NULL'} AS BIGINT)"
+
     parts = []
     for c in columns:
         v = "date_diff('day', DATE '1970-01-01', \"DATE\")" if c == "DATE" else c
@@ -167,7 +191,8 @@ def _summary(source: str, columns: tuple[str, ...]) -> str:
             f"""SELECT '{c}' AS "column", count({v}) AS n, CAST(count(*) - count({v}) AS BIGINT) AS n_null,
   {_r(f"CAST(min({v}) AS DOUBLE)", "min")}, {_r(f"quantile_cont(CAST({v} AS DOUBLE), 0.25)", "q1")},
   {_r(f"quantile_cont(CAST({v} AS DOUBLE), 0.5)", "median")}, {_r(f"avg({v})", "mean", 4)},
-  {_r(f"quantile_cont(CAST({v} AS DOUBLE), 0.75)", "q3")}, {_r(f"CAST(max({v}) AS DOUBLE)", "max")} FROM {source}"""
+  {_r(f"quantile_cont(CAST({v} AS DOUBLE), 0.75)", "q3")}, {_r(f"CAST(max({v}) AS DOUBLE)", "max")},
+  {whole("min", c, v)} AS min_whole, {whole("max", c, v)} AS max_whole FROM {source}"""
         )
     return "\nUNION ALL\n".join(parts)
 
@@ -229,7 +254,7 @@ tail AS (
   FROM (SELECT atan(t / sqrt(df)) AS a, df FROM w), range(0, {n + 1}) r(i) GROUP BY a, df),
 {_grid(0.95, "df", "w")}
 SELECT {_r("mean_x", "mean_x")}, {_r("mean_y", "mean_y")}, n_x, n_y, {_r("t", "t")}, {_r("w.df", "df", 4)},
-       {_r("part / whole", "p_value")}, {_r("mean_x - mean_y - q * se", "ci_low", 4)}
+       {_r("part / whole", "p_value")}, {_r("log10(part / whole)", "p_log10")}, {_r("mean_x - mean_y - q * se", "ci_low", 4)}
 FROM w, tail, quant"""
 
 
@@ -239,10 +264,10 @@ def _null_counts() -> str:
         "LIFESTAGE PREMIUM_CUSTOMER"
     ).split()
     parts = [
-        f"SELECT '{c}' AS \"column\", count(*) - count(\"{c}\") AS n_null FROM enr" for c in columns
+        f"SELECT '{c}' AS \"column\", count(*) - count(\"{c}\") AS n_null FROM gapped_enr" for c in columns
     ]
     cells = " UNION ALL ".join(parts)
-    return f"""WITH {_TXN}, cells AS ({cells})
+    return f"""WITH {_GAPPED}, cells AS ({cells})
 SELECT "column", CAST(n_null AS BIGINT) AS n_null FROM cells
 UNION ALL SELECT '(total)', CAST(sum(n_null) AS BIGINT) FROM cells"""
 
@@ -259,8 +284,9 @@ def _calendar(days: str) -> str:
 
 
 def _repeats(keys: str, limit: int | None = None) -> str:
-    tail = f" ORDER BY count DESC, {keys} LIMIT {limit}" if limit else ""
-    return f"WITH {_TXN} SELECT {keys}, count(*) AS count FROM kept GROUP BY {keys} HAVING count(*) > 1{tail}"
+    last = ", ".join(f"{key} NULLS LAST" for key in keys.split(", "))
+    tail = f" ORDER BY count DESC, {last} LIMIT {limit}" if limit else ""
+    return f"WITH {_GAPPED} SELECT {keys}, count(*) AS count FROM gapped_kept GROUP BY {keys} HAVING count(*) > 1{tail}"
 
 
 def _average(expr: str, top: int | None = None) -> str:
@@ -312,7 +338,9 @@ _CUST_TYPES = {"LYLTY_CARD_NBR": "bigint", "LIFESTAGE": "string", "PREMIUM_CUSTO
 def statements() -> dict[str, str]:
     enriched = f"""{_CONTRACT}{_MONEY}, PACK_SIZE, BRAND"""
     outlier = 'TXN_ID, LYLTY_CARD_NBR, PROD_NAME, PROD_QTY, "DATE"'
-    per_day = f'daily AS (SELECT "DATE", count(*) AS count FROM clean GROUP BY "DATE"), {_calendar("daily")}'
+    stated = f"""cal AS (
+  SELECT CAST(unnest(generate_series(DATE '{fx.FIRST_DAY}', DATE '{fx.LAST_DAY}', INTERVAL 1 DAY)) AS DATE) AS "DATE")"""
+    per_day = f'daily AS (SELECT "DATE", count(*) AS count FROM clean GROUP BY "DATE"), {stated}'
     grouped = f"""CASE WHEN PREMIUM_CUSTOMER IS NULL THEN NULL WHEN PREMIUM_CUSTOMER = '{fx.PREMIUM}'
   THEN '{fx.PREMIUM}' ELSE 'Non-{fx.PREMIUM}' END AS "GROUP" """
     measures = f"""STORE_NBR, YEARMONTH, {_r("totSales", "totSales", 2)}, nCustomers, {_r("txns / nCustomers", "nTxnPerCust")},
@@ -343,7 +371,6 @@ FROM long a JOIN long b ON a.YEARMONTH = b.YEARMONTH AND a.metric = b.metric WHE
   SELECT unnest(string_split(PROD_NAME, ' ')) AS Words FROM (SELECT DISTINCT PROD_NAME FROM txn))
 WHERE NOT regexp_matches(Words, '\p{Nd}') AND regexp_matches(Words, '\p{L}') GROUP BY Words""",
         "exclude_products": f"SELECT {_CONTRACT}{_MONEY} FROM kept",
-        "excluded_check": f"SELECT count(*) AS n_remaining FROM kept WHERE contains(PROD_NAME, '{fx.EXCLUDED}')",
         "exclude_customers": f"SELECT {_CONTRACT}{_MONEY} FROM txn WHERE LYLTY_CARD_NBR <> {fx.OUTLIER_CARD}",
         "clean_transactions": f"SELECT {_CONTRACT}{_MONEY} FROM clean",
         "qty_outliers": f"SELECT {outlier} FROM kept WHERE PROD_QTY = {fx.OUTLIER_QTY}",
@@ -364,7 +391,9 @@ WHERE NOT regexp_matches(Words, '\p{Nd}') AND regexp_matches(Words, '\p{L}') GRO
         "brand_counts": "SELECT RAW AS BRAND, count(*) AS count FROM branded GROUP BY RAW",
         "brand_units": f"""SELECT BRAND, {_r("u", "units")}, row_number() OVER (ORDER BY u DESC, BRAND) AS rank
 FROM (SELECT BRAND, sum(PROD_QTY) AS u FROM feat GROUP BY BRAND)""",
-        "unit_price": f"SELECT TXN_ID, PROD_NAME, {_r('TOT_SALES / nullif(PROD_QTY, 0)', 'price')} FROM clean",
+        "unit_price": "SELECT TXN_ID, PROD_NAME, TOT_SALES / nullif(PROD_QTY, 0) AS price FROM clean",
+        "text_summary": """SELECT 'transactions' AS "table", 'PROD_NAME' AS "column", count(*) AS length, 'character' AS class FROM txn
+UNION ALL SELECT 'customers', c, count(*), 'character' FROM cust, (VALUES ('LIFESTAGE'), ('PREMIUM_CUSTOMER')) v(c) GROUP BY c""",
         "customers_by_lifestage": "SELECT LIFESTAGE, count(*) AS count FROM cust GROUP BY LIFESTAGE",
         "customers_by_premium": "SELECT PREMIUM_CUSTOMER, count(*) AS count FROM cust GROUP BY PREMIUM_CUSTOMER",
         "distinct_lifestages": "SELECT DISTINCT LIFESTAGE FROM cust",
@@ -372,11 +401,9 @@ FROM (SELECT BRAND, sum(PROD_QTY) AS u FROM feat GROUP BY BRAND)""",
         "enriched_transactions": f"SELECT {enriched}, LIFESTAGE, PREMIUM_CUSTOMER FROM enr",
         "enriched_handoff": f"""SELECT CAST(year("DATE") * 100 + month("DATE") AS INTEGER) AS YEARMONTH, count(*) AS n,
   {_r("sum(TOT_SALES)", "totSales", 2)}, {_r("sum(PROD_QTY)", "units")} FROM enr GROUP BY 1""",
-        "join_quality": """SELECT CAST((SELECT count(*) FROM clean) AS BIGINT) AS n_left, count(*) AS n_joined,
-  count(*) - count(c.LYLTY_CARD_NBR) AS n_unmatched FROM clean t LEFT JOIN cust c ON t.LYLTY_CARD_NBR = c.LYLTY_CARD_NBR""",
         "segment_sales": f"SELECT LIFESTAGE, PREMIUM_CUSTOMER, {_r('SALES', 'SALES', 2)} FROM seg",
         "segment_customers": "SELECT LIFESTAGE, PREMIUM_CUSTOMER, CUSTOMERS FROM seg",
-        "price_by_group_sample": f"""SELECT {grouped}, {_r("price", "price")}, TXN_ID FROM enr
+        "price_by_group_sample": f"""SELECT {grouped}, price, TXN_ID FROM enr
 ORDER BY TXN_ID, PROD_NAME, enr.price, LYLTY_CARD_NBR, "GROUP" LIMIT 6""",
         "products_of_pack_size": f"SELECT DISTINCT PROD_NAME FROM feat WHERE PACK_SIZE = {fx.PACK_SIZE}",
         "yearmonth": """SELECT DISTINCT "DATE", CAST(year("DATE") * 100 + month("DATE") AS INTEGER) AS YEARMONTH FROM txn""",
@@ -412,10 +439,16 @@ FROM diff JOIN sds USING (trial, metric), quant WHERE {_IN_TRIAL}"""
         "daily_counts_calendar": f'WITH {_TXN}, {per_day} SELECT "DATE", count FROM cal LEFT JOIN daily USING ("DATE")',
         "daily_counts_month": f"""WITH {_TXN}, {per_day} SELECT "DATE", count FROM cal LEFT JOIN daily USING ("DATE")
 WHERE month("DATE") = {fx.DECEMBER}""",
-        "missing_days": f"""WITH {_TXN}, {_calendar("clean")} SELECT "DATE" FROM cal WHERE "DATE" NOT IN (SELECT "DATE" FROM clean)""",
+        "missing_days": f"""WITH {_TXN}, {stated} SELECT "DATE" FROM cal WHERE "DATE" NOT IN (SELECT "DATE" FROM clean)""",
         "pack_size_histogram": _histogram("feat", "PACK_SIZE", 30),
         "price_histogram_by_group": _histogram(f"(SELECT price, {grouped} FROM enr)", "price", 9, "GROUP"),
         "null_counts": _null_counts(),
+        "excluded_check": f"""WITH {_GAPPED} SELECT (SELECT count(*) FROM gapped WHERE contains(PROD_NAME, '{fx.EXCLUDED}')) AS n_excluded,
+  (SELECT count(*) FROM gapped_kept WHERE contains(PROD_NAME, '{fx.EXCLUDED}')) AS n_remaining""",
+        "join_quality": f"""WITH {_GAPPED} SELECT CAST((SELECT count(*) FROM gapped) AS BIGINT) AS n_left, count(*) AS n_joined,
+  count(*) - count(c.LYLTY_CARD_NBR) AS n_unmatched FROM gapped t LEFT JOIN cust c ON t.LYLTY_CARD_NBR = c.LYLTY_CARD_NBR""",
+        "enriched_inner": f"""WITH {_GAPPED} SELECT e.* FROM gapped_enr e
+WHERE (PROD_NAME IS NULL OR NOT contains(PROD_NAME, '{fx.EXCLUDED}')) AND LYLTY_CARD_NBR IN (SELECT LYLTY_CARD_NBR FROM cust)""",
         "segment_units_per_customer": _average("UNITS / CUSTOMERS"),
         "segment_avg_price": _average("SALES / nullif(UNITS, 0)"),
         "segment_avg_price_top6": _average("SALES / nullif(UNITS, 0)", 6),

@@ -1,6 +1,9 @@
 """Parameters that play, on the given tables, the part of the original run's fixed values."""
 
+import datetime as dt
+
 from basketry.operators.stores import TrialDesign
+from basketry.sources.tpch import Gaps
 
 EXCLUDED = "gizmo"
 OUTLIER_QTY = 50
@@ -12,6 +15,13 @@ TTEST_LIFESTAGES = ("BUILDING", "MACHINERY")
 PREMIUM = "Mainstream"
 DECEMBER = 12
 
+# The stated range of the calendar: all days of the years and months that the tables span.
+FIRST_DAY = dt.date(1995, 1, 1)
+LAST_DAY = dt.date(2001, 8, 31)
+
+# The tables hold no missing value and no unknown card; the checks for both need some.
+GAPS = Gaps(card=89, unknown=31, name=97)
+
 # The tables span 1995-01 to 2001-08; August 2001 has a single day and does not count as an
 # observed month. The stores 5, 6 and 8 are fully observed at every scale.
 DESIGN = TrialDesign(

@@ -13,11 +13,11 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.functions.values import largest_first
+from basketry.functions.values import largest_first, smallest_first
 from basketry.operators import cleaning, control, distribution, inference, profiling
 from basketry.operators import affinity as aff
 from basketry.operators import segments, stores, uplift
-from basketry.session import stage_if_shared
+from basketry.session import stage
 from basketry.sources.calendar import calendar_between
 from basketry.sources.tables import read_enriched, write_enriched
 
@@ -60,9 +60,9 @@ def profile(
         "quantity_outliers": kept.filter(F.col("PROD_QTY") == OUTLIER_QTY),
         "outlier_customer_rows": kept.filter(F.col(CARD).isin(cards)),
         "null_counts": profiling.null_counts(kept),
-        "daily_counts": profiling.daily_counts(clean).orderBy("DATE"),
-        "days": by_day.orderBy("DATE"),
-        "december": by_day.filter(F.month("DATE") == 12).orderBy("DATE"),
+        "daily_counts": profiling.daily_counts(clean).orderBy(*smallest_first("DATE")),
+        "days": by_day.orderBy(*smallest_first("DATE")),
+        "december": by_day.filter(F.month("DATE") == 12).orderBy(*smallest_first("DATE")),
         "missing_days": profiling.missing_days(clean, calendar),
         "date_coverage": profiling.date_coverage(clean),
         "customer_schema": profiling.schema_profile(customers),
@@ -78,16 +78,15 @@ def summaries(
     excluded: str = cleaning.EXCLUDED_PRODUCT,
     cards: Iterable[int] = (cleaning.OUTLIER_CARD,),
 ) -> dict[str, DataFrame]:
-    """Numeric summaries before and after dropping the outlier, and of the customers.
-
-    Kept apart from ``profile`` because each writes its value counts when it is called.
-    """
+    """Numeric and text summaries before and after dropping the outlier, and of the customers."""
     kept = cleaning.exclude_products(txns, excluded)
     clean = cleaning.exclude_customers(kept, cards)
     return {
         "before": distribution.numeric_summary(kept, _NUMERIC),
         "after": distribution.numeric_summary(clean, _NUMERIC),
         "customers": distribution.numeric_summary(customers, [CARD]),
+        "transaction_text": profiling.text_summary(txns),
+        "customer_text": profiling.text_summary(customers),
     }
 
 
@@ -157,17 +156,21 @@ def trial(
     design: stores.TrialDesign = stores.TrialDesign(),
     band_on: str = "raw",
     as_written: bool = False,
+    folder: str | None = None,
 ) -> dict[str, DataFrame]:
     """Control stores and the assessment of every trial store, for sales and customers.
 
+    ``folder``, shared by all machines, takes the monthly measures; by default it is the one that
+    ``spark.checkpoint.dir`` names.
+
     ``as_written`` keeps three deviations of the original run for its second trial store:
     its sales score takes the customers' closeness, its sales deviation runs over all
     months, and its customers are those of the first trial store.
     """
     first, second = (list(design.trials) + [None, None])[:2]
     odd = as_written and second is not None
-    monthly = stage_if_shared(
-        stores.with_observed_months(stores.sales_and_customers(enriched), design)
+    monthly = stage(
+        stores.with_observed_months(stores.sales_and_customers(enriched), design), folder
     )
     pre = stores.pre_trial_measures(monthly, design)
     scores = control.control_scores(pre, design, [second] if odd else ())
@@ -176,12 +179,11 @@ def trial(
     series = uplift.paired_series(
         monthly,
         chosen,
-        len(design.trials),
         compare_with={(second, "nCustomers"): first} if odd else None,
     )
     assessed = uplift.assess(series, design, [(second, "totSales")] if odd else (), band_on)
     return {
-        "measures": stores.store_month_measures(enriched).orderBy("STORE_NBR", "YEARMONTH"),
+        "measures": stores.store_month_measures(enriched).orderBy(*smallest_first("STORE_NBR", "YEARMONTH")),
         "full_observation_stores": stores.full_observation_stores(monthly, design),
         "correlation": control.store_correlation(pre, design.trials),
         "magnitude": control.store_magnitude(pre, design.trials),

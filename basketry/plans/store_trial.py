@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions.dates import month_start, yearmonth
+from basketry.functions.values import smallest_first
 from basketry.operators import control, stores, uplift
 from basketry.plans import fixture as fx
 from basketry.plans.rounding import fixed
-from basketry.session import stage_if_shared
+from basketry.session import stage
 from basketry.sources import tpch
 
 DESIGN = fx.DESIGN
@@ -24,7 +25,7 @@ def _staged_measures(spark: SparkSession, root: str) -> DataFrame:
     """Measures the trial steps need, written once: several branches read them."""
     txns = tpch.transactions(spark, root, ("DATE", "STORE_NBR", "LYLTY_CARD_NBR", "TOT_SALES"))
     monthly = stores.with_observed_months(stores.sales_and_customers(txns), DESIGN)
-    return stage_if_shared(monthly)
+    return stage(monthly)
 
 
 def _pre(observed: DataFrame) -> DataFrame:
@@ -43,7 +44,6 @@ def _assessed(
     series = uplift.paired_series(
         measures,
         _chosen(measures, mixed_magnitude),
-        len(DESIGN.trials),
         compare_with=compare_with,
     )
     return uplift.assess(series, DESIGN, sd_over_all_months, band_on)
@@ -65,7 +65,7 @@ def transaction_month(spark, root):
 
 
 def store_month_measures(spark, root):
-    return fixed(_measures(spark, root), totSales=2).orderBy("STORE_NBR", "YEARMONTH")
+    return fixed(_measures(spark, root), totSales=2).orderBy(*smallest_first("STORE_NBR", "YEARMONTH"))
 
 
 def stores_full_obs(spark, root):

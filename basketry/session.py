@@ -1,4 +1,4 @@
-"""Sessions, staging of intermediate tables and size-checked broadcasts."""
+"""Sessions and staging of intermediate tables."""
 
 from __future__ import annotations
 
@@ -6,13 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Largest row count that is ever broadcast by hint; every call states a proven bound on its rows.
-BROADCAST_ROW_LIMIT = 1_000_000
-
-# A yyyymm key has at most 12 values for each of the years 1 to 9999.
-MAX_MONTHS = 12 * 9999
 
 _local_root: str | None = None
 
@@ -30,32 +23,23 @@ def local_session(cpus: int | str = "*", name: str = "basketry") -> SparkSession
     )
 
 
-def staging_root(spark: SparkSession) -> str | None:
-    """Shared folder named by ``spark.checkpoint.dir``.
+def staging_path(spark: SparkSession, folder: str | None = None) -> str:
+    """A fresh path below ``folder``, by default below ``spark.checkpoint.dir``.
 
-    Where it is unset, a local session gets a temporary folder; a cluster gets None,
-    because a machine-local folder would be lost with its machine.
+    Where neither is given, a session on one machine takes a temporary folder. A cluster raises: a
+    folder of one machine would be lost with it.
     """
     global _local_root
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return None
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="basketry-")
-    return _local_root
-
-
-def staging_path(spark: SparkSession) -> str:
-    """A fresh path under the staging root."""
-    root = staging_root(spark)
-    if root is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{root}/basketry-{uuid.uuid4().hex}"
+    root = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("name a folder that all machines share, or set spark.checkpoint.dir")
+        _local_root = _local_root or tempfile.mkdtemp(prefix="basketry-")
+        root = _local_root
+    return f"{root.rstrip('/')}/basketry-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back.
 
     Used where several branches of a plan need the same expensive result: the lineage is
@@ -63,16 +47,6 @@ def stage(df: DataFrame) -> DataFrame:
     pruned at the scan, and the planner knows the true size.
     """
     spark = df.sparkSession
-    path = staging_path(spark)
+    path = staging_path(spark, folder)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def stage_if_shared(df: DataFrame) -> DataFrame:
-    """``stage`` where a staging folder exists, otherwise ``df`` itself (same rows, more work)."""
-    return df if staging_root(df.sparkSession) is None else stage(df)
-
-
-def broadcast_bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only if the stated bound is small; beyond it the optimizer chooses by size."""
-    return F.broadcast(df) if max_rows <= BROADCAST_ROW_LIMIT else df

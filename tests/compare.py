@@ -6,13 +6,13 @@ import datetime as dt
 import importlib.util
 import math
 import os
+import pathlib
 import sys
 import time
 
 import duckdb
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-TABLES = "customer lineitem orders part".split()
 
 
 def load_entry():
@@ -26,8 +26,8 @@ def load_entry():
 
 def database(root: str):
     con = duckdb.connect()
-    for name in TABLES:
-        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{root}/{name}.parquet'")
+    for path in sorted(pathlib.Path(root).glob("*.parquet")):
+        con.sql(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
     return con
 
 

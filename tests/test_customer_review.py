@@ -181,7 +181,7 @@ def test_grouped_histogram_counts_add_up(shop):
     rows, people, df, customers = shop
     priced = cleaning.with_price(df)
     grouped = segments.with_price_group(segments.enrich(priced, customers))
-    got = distribution.histogram(grouped, "price", 9, by="GROUP", range_of=priced).collect()
+    got = distribution.histogram(grouped, "price", 9, by="GROUP").collect()
     assert sum(r["count"] for r in got) == len(rows)
     assert {r.GROUP for r in got} == {"Mainstream", "Non-Mainstream", None}
     assert all(len([r for r in got if r.GROUP == g]) == 9 for g in ("Mainstream", "Non-Mainstream", None))
@@ -384,3 +384,58 @@ def test_heavy_card_is_split_in_the_customer_join(spark):
             spark.conf.set(k, v)
     assert sum(got.values()) == 200_000 and None not in got
     assert "skew" in plan
+
+
+def test_repeats_keep_a_real_key_before_a_missing_one(spark):
+    df = spark.createDataFrame([(k,) for k in (None, None, 3, 3, 2, 2)], "k bigint")
+    assert [r.k for r in profiling.repeats(df, "k", top=2).collect()] == [2, 3]
+
+
+def test_histogram_leaves_nan_out(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),), (3.0,), (None,)], "x double")
+    got = distribution.histogram(df, "x", 3).orderBy("bin").collect()
+    assert [(r.bin, r["count"], r.lower) for r in got] == [(0, 1, 0.5), (1, 1, 1.5), (2, 1, 2.5)]
+
+
+def test_welch_leaves_nan_out(spark):
+    rows = [("a", 1.0), ("a", 2.0), ("a", 4.0), ("b", 1.0), ("b", 1.5), ("b", 0.5)]
+    schema = "g string, x double"
+    first, second = F.col("g") == "a", F.col("g") == "b"
+    plain = inference.welch_greater(spark.createDataFrame(rows, schema), "x", first, second).first()
+    with_nan = spark.createDataFrame([*rows, ("a", float("nan")), ("b", None)], schema)
+    assert inference.welch_greater(with_nan, "x", first, second).first() == plain
+
+
+def test_summary_keeps_large_whole_numbers(spark):
+    df = spark.createDataFrame([(9007199254740993,), (9007199254740992,), (None,)], "k bigint")
+    r = distribution.numeric_summary(df, ["k"]).first()
+    assert (r.min_whole, r.max_whole) == (9007199254740992, 9007199254740993)
+    assert (r.n, r.n_null) == (2, 1)
+
+
+def test_summary_of_many_rows_moves_no_column(spark):
+    df = spark.range(200_000).select((F.xxhash64("id") % 1_000_003).alias("k"), (F.rand(5) * 100).alias("x"))
+    df = df.withColumn("d", F.date_add(F.lit("2019-01-01").cast("date"), (F.col("k") % 400).cast("int")))
+    got = {r.column: r for r in distribution.numeric_summary(df, ["k", "x", "d"]).collect()}
+    for name, value in (("k", "k"), ("x", "x"), ("d", "unix_date(d)")):
+        want = df.select(F.expr(f"percentile({value}, array(0.25D, 0.5D, 0.75D))")).first()[0]
+        assert [got[name].q1, got[name].median, got[name].q3] == pytest.approx(want, rel=1e-12)
+    plan = distribution.numeric_summary(df, ["k", "x"])._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "parquet" not in plan.lower()
+
+
+def test_text_summary(shop):
+    _, _, df, customers = shop
+    got = profiling.text_summary(df).collect()
+    assert [(r.column, r["class"]) for r in got] == [("PROD_NAME", "character")] and got[0].length == df.count()
+    assert {r.column for r in profiling.text_summary(customers).collect()} == {"LIFESTAGE", "PREMIUM_CUSTOMER"}
+    assert profiling.text_summary(df.select("PROD_QTY")).isEmpty()
+
+
+def test_calendar_reports_days_at_both_ends(spark):
+    """Days whose only rows were excluded are missing, also the first and the last."""
+    rows = [(dt.date(2019, 1, d), "Salsa" if d in (1, 5) else "Chips", 1) for d in (1, 2, 3, 5)]
+    txns = spark.createDataFrame(rows, "DATE date, PROD_NAME string, LYLTY_CARD_NBR bigint")
+    clean = cleaning.clean_transactions(txns)
+    days = profiling.missing_days(clean, calendar_between(spark, dt.date(2019, 1, 1), dt.date(2019, 1, 5)))
+    assert [r.DATE.day for r in days.orderBy("DATE").collect()] == [1, 4, 5]

@@ -143,3 +143,18 @@ def test_quantile(spark, p, df, q):
 
 def test_quantile_of_missing_df(spark):
     assert column(spark.range(1), stats.t_quantile(0.95, F.lit(None).cast("double"))) == [None]
+
+
+@pytest.mark.parametrize(
+    ("p", "df", "q"), [(1 - 1e-8, 7.0, 27.8023), (1 - 1e-10, 7.0, 53.836), (1 - 1e-8, 1000.0, 5.65791), (0.5, 3.0, 0.0)]
+)
+def test_quantile_far_in_the_tail(spark, p, df, q):
+    got = spark.range(1).select(stats.t_quantile(p, F.lit(df))).first()[0]
+    assert got == pytest.approx(q, rel=2e-5, abs=1e-9)
+
+
+def test_order_puts_missing_and_nan_last(spark):
+    df = spark.createDataFrame([(1, None), (2, float("nan")), (3, 0.5), (4, 2.0)], "k int, x double")
+    down = [r.k for r in df.orderBy(values.largest_first("x"), "k").collect()]
+    up = [r.k for r in df.orderBy(*values.smallest_first("x")).collect()]
+    assert down == [4, 3, 1, 2] and up == [3, 4, 2, 1]

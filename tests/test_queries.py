@@ -5,9 +5,12 @@ import os
 import pytest
 from compare import database, difference, load_entry
 
+from basketry.plans import customer_review, store_trial
+from basketry.plans.duckdb_sql import statements
+
 ENTRY = load_entry()
-SQL = ENTRY.oracle_sql()
-QUERIES = ENTRY.queries()
+SQL = statements()
+QUERIES = {**{q.__name__: q for q in customer_review.QUERIES}, **store_trial.QUERIES}
 ROOT = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas")
 
@@ -17,8 +20,9 @@ def con():
     return database(ROOT)
 
 
-def test_every_query_has_sql():
+def test_every_query_has_sql_and_is_registered():
     assert set(SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(ENTRY.queries()) and set(SQL) <= set(ENTRY.oracle_sql())
 
 
 @pytest.mark.parametrize("key", list(QUERIES))

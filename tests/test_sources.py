@@ -83,11 +83,11 @@ def settings(folder, master):
 def test_staging_folder():
     named = settings("hdfs://shared/check/", "spark://host:7077")
     assert session.staging_path(named).startswith("hdfs://shared/check/basketry-")
-    assert session.staging_root(settings(None, "local[4]")) is not None
-    unnamed = settings(None, "spark://host:7077")
-    assert session.staging_root(unnamed) is None
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        session.staging_path(unnamed)
+    assert session.staging_path(named, "s3a://own").startswith("s3a://own/basketry-")
+    assert "/basketry-" in session.staging_path(settings(None, "local[4]"))
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.staging_path(settings(None, master))
 
 
 def test_staged_table_has_the_same_rows(spark):
@@ -97,8 +97,28 @@ def test_staged_table_has_the_same_rows(spark):
     assert "parquet" in staged._jdf.queryExecution().executedPlan().toString().lower()
 
 
-def test_broadcast_needs_a_small_bound(spark):
-    small = session.broadcast_bounded(spark.range(5), 5)
-    large = session.broadcast_bounded(spark.range(5), session.BROADCAST_ROW_LIMIT + 1)
-    assert "broadcast" in small._jdf.queryExecution().logical().toString()
-    assert "broadcast" not in large._jdf.queryExecution().logical().toString()
+
+def test_gaps_drop_no_row(spark, tiny):
+    plain = tpch.transactions(spark, tiny)
+    gapped = tpch.transactions(spark, tiny, gaps=tpch.Gaps(card=89, unknown=31, name=97))
+    assert gapped.count() == plain.count()
+    r = gapped.agg(
+        F.count_if(F.col("LYLTY_CARD_NBR").isNull()).alias("card"),
+        F.count_if(F.col("LYLTY_CARD_NBR") < 0).alias("unknown"),
+        F.count_if(F.col("PROD_NAME").isNull()).alias("name"),
+    ).first()
+    assert r.card > 0 and r.unknown > 0 and r.name > 0
+
+
+def test_exclusion_by_key_equals_exclusion_by_name(spark, tiny):
+    by_key = tpch.transactions(spark, tiny, ("TXN_ID", "TOT_SALES"), without="gizmo")
+    named = tpch.transactions(spark, tiny, ("TXN_ID", "TOT_SALES", "PROD_NAME"))
+    by_name = named.filter(F.col("PROD_NAME").isNull() | ~F.col("PROD_NAME").contains("gizmo")).drop("PROD_NAME")
+    assert by_key.exceptAll(by_name).isEmpty() and by_name.exceptAll(by_key).isEmpty()
+
+
+def test_balance_without_value_has_no_type(spark, tmp_path):
+    path = str(tmp_path)
+    spark.createDataFrame([(1, "A", None), (2, "A", 9000.0)], tpch.SCHEMAS["customer"]).write.parquet(f"{path}/customer.parquet")
+    got = {r.LYLTY_CARD_NBR: r.PREMIUM_CUSTOMER for r in tpch.customers(spark, path).collect()}
+    assert got == {1: None, 2: "Premium"}

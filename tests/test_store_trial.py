@@ -3,6 +3,7 @@
 import dataclasses
 import datetime as dt
 import random
+import re
 import statistics
 
 import pytest
@@ -224,7 +225,7 @@ def test_assessment(world, chosen, quirks):
     pairs, table = chosen
     compare = {(86, CUSTOMERS): 77} if quirks else {}
     all_months = [(86, SALES)] if quirks else []
-    series = uplift.paired_series(df, table, 3, compare_with=compare)
+    series = uplift.paired_series(df, table, compare_with=compare)
     assessed = uplift.assess(series, DESIGN, all_months).collect()
     assert len(assessed) == 3 * 2 * 12
     for r in assessed:
@@ -243,7 +244,7 @@ def test_assessment(world, chosen, quirks):
 def test_assessment_tables(world, chosen):
     rows, df = world
     pairs, table = chosen
-    series = uplift.paired_series(df, table, 3)
+    series = uplift.paired_series(df, table)
     assessed = uplift.assess(series, DESIGN)
     assert uplift.scaling_factors(assessed).count() == 6
     before = uplift.scaled_control(assessed).filter(DESIGN.in_pre()).groupBy("trial", "metric").agg(F.sum("scaled").alias("s"))
@@ -271,7 +272,7 @@ def test_assessment_tables(world, chosen):
 
 def test_band_on_scaled_control(world, chosen):
     _, df = world
-    assessed = uplift.assess(uplift.paired_series(df, chosen[1], 3), DESIGN, band_on="scaled")
+    assessed = uplift.assess(uplift.paired_series(df, chosen[1]), DESIGN, band_on="scaled")
     for r in assessed.collect():
         assert (r.upper + r.lower) / 2 == pytest.approx(r.scaled)
     with pytest.raises(ValueError):
@@ -283,7 +284,7 @@ def test_months_missing_on_one_side(spark):
     rows += [(5, m, 50.0 + i % 3, 8) for i, m in enumerate(MONTHS) if m != 201903]
     df = spark.createDataFrame(rows, "STORE_NBR bigint, YEARMONTH int, totSales double, nCustomers bigint")
     table = spark.createDataFrame([(77, 5)], "trial bigint, control bigint")
-    assessed = uplift.assess(uplift.paired_series(df, table, 1), DESIGN)
+    assessed = uplift.assess(uplift.paired_series(df, table), DESIGN)
     assert uplift.percentage_differences(assessed).count() == 11 * 2
     assert uplift.scaled_control(assessed).count() == 11 * 2
     assert uplift.trial_bands(assessed).count() == (12 + 3 * 11) * 2
@@ -323,7 +324,7 @@ def test_deviation_of_a_single_month_is_missing(spark):
     rows = [(s, m, 10.0 * s, 5) for s in (77, 5) for m in (201901, 201902)]
     df = spark.createDataFrame(rows, "STORE_NBR bigint, YEARMONTH int, totSales double, nCustomers bigint")
     table = spark.createDataFrame([(77, 5)], "trial bigint, control bigint")
-    assessed = uplift.assess(uplift.paired_series(df, table, 1), DESIGN).collect()
+    assessed = uplift.assess(uplift.paired_series(df, table), DESIGN).collect()
     assert {(r.sd_pre, r.tValue, r.upper) for r in assessed} == {(None, None, None)}
 
 
@@ -333,3 +334,45 @@ def test_month_of_equal_stores_is_left_out_of_the_closeness(spark):
     pre = eligible_before(df)
     got = {r.Store2: r.mag_measure for r in control.store_magnitude(pre, [77], [SALES]).collect()}
     assert got == {77: 1.0, 1: 0.0, 2: pytest.approx(1 - 75 / 76)}
+
+
+def test_nan_score_is_never_chosen(spark):
+    rows = [(77, 1, 0.9), (77, 2, float("nan")), (77, 3, 0.8), (88, 1, float("nan")), (88, 2, None), (88, 4, -1.0)]
+    scores = spark.createDataFrame(rows, "Store1 bigint, Store2 bigint, finalControlScore double")
+    got = {r.Store1: r.Store2 for r in control.control_store(scores).collect()}
+    assert got == {77: 1, 88: 4}
+
+
+def test_nan_and_missing_sales_are_alike(spark):
+    def measured(value):
+        rows = [(dt.date(2019, 1, 5), 77, 1, 1, "a", 1.0, 5.0), (dt.date(2019, 1, 6), 77, 2, 2, "a", 1.0, value)]
+        txns = spark.createDataFrame(rows, "DATE date, STORE_NBR bigint, LYLTY_CARD_NBR bigint, TXN_ID bigint, PROD_NAME string, PROD_QTY double, TOT_SALES double")
+        return stores.sales_and_customers(txns).collect(), stores.store_month_measures(txns).collect()
+
+    assert measured(float("nan")) == measured(None)
+    assert measured(None)[0][0].totSales == 5.0
+
+
+def test_plan_is_the_same_for_any_number_of_trials(world):
+    _, df = world
+    pre = eligible_before(df)
+
+    def shape(trials):
+        plan = control.control_store(control.control_scores(pre, stores.TrialDesign(trials=trials)))
+        return re.findall(r"(\w+(?:Join|Exchange|Aggregate|Window))\b", plan._jdf.queryExecution().executedPlan().toString())
+
+    assert shape((77, 86, 88)) == shape(tuple(range(77, 89)))
+
+
+def test_trend_of_many_trials_does_not_multiply_the_measures(spark):
+    rows = [(s, m, float(s + i), s % 7 + 1) for s in range(120) for i, m in enumerate(MONTHS)]
+    df = spark.createDataFrame(rows, "STORE_NBR bigint, YEARMONTH int, totSales double, nCustomers bigint")
+    pairs = {s: s + 60 for s in range(50)}
+    table = spark.createDataFrame(list(pairs.items()), "trial bigint, control bigint")
+    got = uplift.store_type_trend(df, table, DESIGN).collect()
+    before = [m for m in MONTHS if m < DESIGN.trend_end]
+    assert len(got) == 50 * len(before) * 3
+    for r in got:
+        if r.Store_type == "Other stores":
+            values = [v for s, m, v, _ in rows if m == r.YEARMONTH and s not in (r.trial, pairs[r.trial])]
+            assert r.totSales == pytest.approx(statistics.fmean(values))
