@@ -181,6 +181,7 @@ def near_duplicates(
         .groupBy("n_shingles", "f1", "f2")
         .agg(
             F.min("row").alias("node"),
+            F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "row")).alias("earliest"),
             F.min("doc_id").alias("smallest"),
             F.min(F.struct("row", "doc_id", "_t")).alias("_text"),
             F.first("a").alias("a"),
@@ -219,15 +220,14 @@ def near_duplicates(
         labels = stage(components(links))
 
     named = classes.join(labels, "node", "left").select(
-        "n_shingles", "f1", "f2", "node", "smallest", F.coalesce("label", "node").alias("label")
+        "n_shingles", "f1", "f2", "smallest", "earliest", F.coalesce("label", "node").alias("label")
     )
     least = named.groupBy("label").agg(
-        F.min("smallest").alias("component_id"),
-        F.min(F.struct(F.coalesce("smallest", F.lit(2**63 - 1)), "node")).alias("_first"),
+        F.min("smallest").alias("component_id"), F.min("earliest").alias("_first")
     )
     final = stage(
         named.join(least, "label").select(
-            "n_shingles", "f1", "f2", F.col("component_id").alias("_c"), F.col("_first.node").alias("_keep"), "node", "smallest"
+            "n_shingles", "f1", "f2", F.col("component_id").alias("_c"), F.col("_first.row").alias("_keep")
         )
     )
     return (
@@ -249,9 +249,12 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     Documents without words are linked with nothing and stay. Of rows with the same doc_id and text
     one stays.
     """
-    first = near_duplicates(docs, **options).filter("first").select(F.coalesce("doc_id", F.lit(0)).alias("_d"), "_t")
-    keyed = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_t": F.xxhash64("text")})
-    return keyed.join(stage(first), ["_d", "_t"], "left_semi").dropDuplicates(["_d", "_t"]).select(*docs.columns)
+    keys = ["_near_doc", "_near_text"]
+    first = near_duplicates(docs, **options).filter("first").select(
+        F.coalesce("doc_id", F.lit(0)).alias(keys[0]), F.col("_t").alias(keys[1])
+    )
+    keyed = docs.withColumns({keys[0]: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), keys[1]: F.xxhash64("text")})
+    return keyed.join(stage(first), keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
 def _across(members: DataFrame, classes: DataFrame, labels: DataFrame, tested: DataFrame, agree: int) -> DataFrame:

@@ -238,15 +238,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     ``text`` holds those words, joined by single blanks, and ``n_chars`` its length; other columns
     stay. A document of which nothing is taken is left out; one taken twice gives two rows.
     """
-    keyed = docs.withColumn("_t", F.xxhash64(*docs.columns))
-    found = mixture(keyed, carry=["_t"], **options).taken
-    ranges = found.groupBy(F.col("doc_id").alias("_d"), "_t", "start", "pass").agg(
-        F.array_sort(F.collect_list(F.struct("first", "words"))).alias("_ranges")
+    keyed = docs.withColumn("_mix_text", F.xxhash64(*docs.columns))
+    found = mixture(keyed, carry=["_mix_text"], **options).taken
+    ranges = found.groupBy(F.col("doc_id").alias("_mix_doc"), "_mix_text", "start", "pass").agg(
+        F.array_sort(F.collect_list(F.struct("first", "words"))).alias("_mix_ranges")
     )
-    chosen = ranges.groupBy("_d", "_t").agg(F.collect_list("_ranges").alias("_all"))
-    texts = keyed.groupBy(F.col("doc_id").alias("_d"), "_t").agg(*[F.first(c).alias(c) for c in docs.columns])
-    same = texts["_d"].eqNullSafe(chosen["_d"]) & (texts["_t"] == chosen["_t"])
-    both = texts.join(chosen, same).select(*[texts[c] for c in docs.columns], "_all")
+    chosen = ranges.groupBy("_mix_doc", "_mix_text").agg(F.collect_list("_mix_ranges").alias("_mix_all"))
+    texts = keyed.groupBy(F.col("doc_id").alias("_mix_doc"), "_mix_text").agg(*[F.first(c).alias(c) for c in docs.columns])
+    same = texts["_mix_doc"].eqNullSafe(chosen["_mix_doc"]) & (texts["_mix_text"] == chosen["_mix_text"])
+    both = texts.join(chosen, same).select(*[texts[c] for c in docs.columns], "_mix_all")
 
     names = docs.columns
     text_at, chars_at = names.index("text"), names.index("n_chars")
@@ -256,7 +256,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 rows, texts, sizes = [], [], []
-                for k, (text, passes) in enumerate(zip(batch.column("text").to_pylist(), batch.column("_all").to_pylist(), strict=True)):
+                for k, (text, passes) in enumerate(zip(batch.column("text").to_pylist(), batch.column("_mix_all").to_pylist(), strict=True)):
                     words = blank_words(text)
                     for ranges in passes:
                         line = b" ".join(w for r in ranges for w in words[r["first"] : r["first"] + r["words"]]).decode("utf-8", "surrogatepass")
