@@ -19,6 +19,8 @@ SAMPLE = 1_500
 STRETCHES = 6_000
 #: Lines of a stretch; longer documents give several.
 STRETCH = 32
+#: Weight of the lines of good documents to those of bad ones.
+PRIOR = 3.0
 #: Share of a document's words in content lines from which it is kept.
 CONTENT = 0.5
 #: Words of a window that counts as repeated, and limits of the base rule.
@@ -150,7 +152,7 @@ def fit_field(stretches: Sequence[tuple[np.ndarray, int]], steps: int = 150, rat
     """Maximum likelihood by gradient steps; a stretch is the features of some lines and their label.
 
     All stretches go through the forward and backward recursions together, padded to one length.
-    Both kinds of lines weigh the same.
+    Good and bad documents count as ``PRIOR`` to 1, so that a line that shows nothing is content.
     """
     n, longest = len(stretches), max(len(f) for f, _ in stretches)
     x = np.zeros((n, longest, len(FEATURES)))
@@ -160,7 +162,7 @@ def fit_field(stretches: Sequence[tuple[np.ndarray, int]], steps: int = 150, rat
         mask[i, : len(f)] = 1
     y = np.array([label for _, label in stretches])
     held = np.array([mask[y == k].sum() for k in (0, 1)])
-    weight = (held.sum() / 2 / held)[y] / held.sum()
+    weight = np.array([1.0, PRIOR])[y] / (1 + PRIOR) / held[y]
     w, t = np.zeros(len(FEATURES)), np.zeros((2, 2))
     speed_w, speed_t = np.zeros_like(w), np.zeros_like(t)
     for _ in range(steps):

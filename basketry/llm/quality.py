@@ -23,6 +23,7 @@ SAMPLE = 20_000
 PRIOR = 10_000.0
 #: N-grams that every document counts as, so that its length does not decide.
 LENGTH = 200.0
+UNIT = 2.0**24
 SEED = 4
 
 # After the trigram buckets: bigrams of whether a word repeats the one before it.
@@ -58,16 +59,19 @@ def grams(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Importance:
-    """Log ratio of target and raw model for each bucket."""
+    """Log ratio of target and raw model for each bucket, in whole parts of 1 / ``UNIT``.
+
+    Sums of whole numbers are exact, so a text has the same weight in whatever batch it is scored.
+    """
 
     ratio: np.ndarray
 
     def of(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Log importance weight of each text, for ``LENGTH`` n-grams, and its number of n-grams."""
         buckets, counts = grams(texts)
-        total = np.concatenate([[0.0], np.cumsum(self.ratio[buckets])])
+        total = np.concatenate([[0], np.cumsum(self.ratio[buckets])])
         ends = np.cumsum(counts)
-        return (total[ends] - total[ends - counts]) / np.maximum(counts, 1) * LENGTH, counts
+        return (total[ends] - total[ends - counts]) / (np.maximum(counts, 1) * UNIT) * LENGTH, counts
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Importance:
@@ -103,10 +107,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Importance:
         raw[bucket] += r
         target[bucket] = t
     if not target.any():
-        return Importance(np.zeros(len(raw)))
+        return Importance(np.zeros(len(raw), np.int64))
     base = raw / raw.sum()
     model = (target + PRIOR * base) / (target.sum() + PRIOR)
-    return Importance(np.log(model) - np.log(base))
+    return Importance(np.round((np.log(model) - np.log(base)) * UNIT).astype(np.int64))
 
 
 def gumbel(doc_ids: Sequence[int | None], texts: Sequence[str | None], seed: int) -> np.ndarray:
