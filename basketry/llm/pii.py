@@ -31,12 +31,14 @@ ENDINGS = {
 }
 
 _TITLE = "(?:" + "|".join(t for titles in TITLES.values() for t in titles) + ")\\.?"
+_SECRET = "(?i:password|passwd|secret|token|api_?key)\\s{0,2}[=:]\\s{0,2}[\"']?"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
-#: Kinds of entities with the Java patterns that find them, in the order in which they are tried.
+#: Kinds of entities with the Java patterns that find them, in the order in which they are tried. A
+#: secret is found with the word before it and a name with its title; both words stay.
 PATTERNS: tuple[tuple[str, str], ...] = (
     ("email", "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*\\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"),
-    ("secret", "(?<=(?i:password|passwd|secret|token|api_key|apikey)\\s{0,2}[=:]\\s{0,2}[\"']?)[A-Za-z0-9+/_-]{6,}"),
+    ("secret", _SECRET + "[A-Za-z0-9+/_-]{6,}"),
     ("key", "(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"),
     ("iban", "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ip", f"(?<![0-9.]){_OCTET}(?:\\.{_OCTET}){{3}}(?![0-9]|\\.[0-9])"),
@@ -47,30 +49,44 @@ PATTERNS: tuple[tuple[str, str], ...] = (
         "(?<![0-9+])(?:\\+[0-9]{1,3}[ .-]?)?(?:\\([0-9]{2,4}\\)|[0-9]{3})[ .-][0-9]{3}[ .-]?[0-9]{4}(?![0-9-])"
         "|(?<![0-9+])\\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9-])",
     ),
-    ("name", f"(?<=(?<!\\p{{L}}){_TITLE}\\s)\\p{{Lu}}\\p{{L}}+(?: \\p{{Lu}}\\p{{L}}+)?"),
+    ("name", f"(?<!\\p{{L}}){_TITLE}\\s\\p{{Lu}}\\p{{L}}+(?: \\p{{Lu}}\\p{{L}}+)?"),
 )
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
-#: What any entity holds or follows; texts without it are passed by.
-HINT = "[0-9@]|" + _TITLE + "\\s|(?i:password|passwd|secret|token|api_?key)"
-
 _CHARACTERS = 64
 
 
-def _kind(e: Column, before: Column) -> Column:
-    """The kind of an entity, by its own form and the text before it."""
-    form = F.when(e.rlike("^[A-Za-z0-9._%+-]+@"), "email")
-    form = form.when(before.rlike("(?i)(?:password|passwd|secret|token|api_?key)\\s{0,2}[=:]\\s{0,2}[\"']?$"), "secret")
-    form = form.when(before.rlike(f"{_TITLE}\\s$") & e.rlike("^\\p{Lu}"), "name")
+def _hinted(text: Column) -> Column:
+    """Whether a text holds what every entity holds: a digit, an address sign, a title or a mark of a secret."""
+    hint = text.rlike("[0-9@=:]")
+    for titles in TITLES.values():
+        for title in titles:
+            hint = hint | text.contains(title)
+    return hint
+
+
+def _kind(e: Column) -> Column:
+    """The kind of an entity, by its own form; the first pattern that fits found it."""
+    form = F.when(e.rlike("^[A-Za-z0-9._%+-]+@"), "email").when(e.rlike(f"^{_SECRET}"), "secret")
+    form = form.when(e.rlike(f"^{_TITLE}\\s\\p{{Lu}}"), "name")
     for kind, pattern in PATTERNS:
         if kind not in ("email", "secret", "name"):
             form = form.when(e.rlike(f"^(?:{pattern})$"), kind)
     return form.otherwise("secret")
 
 
-def _gender(before: Column) -> Column:
+def _value(kind: Column, e: Column) -> Column:
+    """The part of an entity that is replaced."""
+    return (
+        F.when(kind == "secret", F.regexp_replace(e, f"^{_SECRET}", ""))
+        .when(kind == "name", F.regexp_replace(e, f"^{_TITLE}\\s", ""))
+        .otherwise(e)
+    )
+
+
+def _gender(e: Column) -> Column:
     form = F.lit("n")
     for gender in ("m", "f"):
-        form = F.when(before.rlike("(?<!\\p{L})(?:" + "|".join(TITLES[gender]) + ")\\.?\\s$"), gender).otherwise(form)
+        form = F.when(e.rlike("^(?:" + "|".join(TITLES[gender]) + ")\\.?\\s"), gender).otherwise(form)
     return form
 
 
@@ -221,27 +237,18 @@ def _surrogate(s: Column, attempt: Column, key: str) -> Column:
     )
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_parts``, the text around the entities, and ``_found``, the entities."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    hinted = text.rlike(HINT)
-    cut = docs.withColumn("_parts", F.when(hinted, F.split(text, PATTERN, -1)).otherwise(F.array(text)))
-    cut = cut.withColumn(
-        "_raw", F.when(F.size("_parts") > 1, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def _entities(text: Column) -> Column:
+    """All entities of a text in order, as (whole, kind, e, canonical, gender); e is what is replaced."""
+    raw = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    found = F.when(_hinted(text), raw).otherwise(F.array().cast("array<string>"))
+    typed = F.transform(found, lambda w: F.struct(w.alias("whole"), _kind(w).alias("kind"), _gender(w).alias("gender")))
+    valued = F.transform(
+        typed, lambda s: F.struct(s["whole"], s["kind"], _value(s["kind"], s["whole"]).alias("e"), s["gender"])
     )
-
-    def described(e: Column, i: Column) -> Column:
-        before = F.right(F.element_at("_parts", i + 1), F.lit(16))
-        return F.struct(e.alias("e"), _kind(e, before).alias("kind"), _gender(before).alias("gender"))
-
-    typed = F.transform("_raw", described)
-    full = F.transform(
-        typed,
-        lambda s: F.struct(
-            s["kind"].alias("kind"), s["e"].alias("e"), _canonical(s["kind"], s["e"]).alias("canonical"), s["gender"].alias("gender")
-        ),
+    return F.transform(
+        valued,
+        lambda s: F.struct(s["whole"], s["kind"], s["e"], _canonical(s["kind"], s["e"]).alias("canonical"), s["gender"]),
     )
-    return cut.withColumn("_found", full).drop("_raw")
 
 
 def collisions(entities: DataFrame, key: str) -> DataFrame:
@@ -288,40 +295,41 @@ def replaced(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     canonical form: equal entities agree everywhere, also in other formats; case, separators, country
     code, check digit, script and gender are kept. Distinct entities get distinct surrogates: the
     distinct entities, counted in the tasks first, are checked for collisions, and the few entities
-    that need another attempt are joined to the documents that hold them. Spark picks the join by
+    that need another attempt are joined to the documents that hold them, by the listed mentions. Spark picks the join by
     the size of what was written; without collisions texts don't move.
 
     A null text stays null; other texts keep every character outside entities. Repeated rows give
     repeated rows. Columns named like a result are replaced.
     """
-    rows = _marked(docs.drop("n_entities", "kinds", "_parts", "_found", "_raw", "_fix", "_t", "_d"))
-    listed = rows.select(F.explode("_found").alias("s")).select("s.*")
-    distinct = stage(
-        listed.groupBy("kind", "canonical").agg(F.min("e").alias("e"), F.max("gender").alias("gender"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keys = {"_pii_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_pii_text": F.xxhash64("text")}
+    rows = docs.drop("n_entities", "kinds").withColumns({**keys, "_pii_found": _entities(text)})
+    listed = stage(
+        rows.select(*keys, F.explode("_pii_found").alias("s")).select(*keys, "s.kind", "s.canonical", "s.e", "s.gender")
     )
-    fixes = collisions(distinct, key)
-    hashed = rows.withColumn("_t", F.xxhash64("text")).withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    distinct = stage(listed.groupBy("kind", "canonical").agg(F.min("e").alias("e"), F.max("gender").alias("gender")))
     touched = (
-        hashed.select("_d", "_t", F.explode("_found").alias("s"))
-        .select("_d", "_t", "s.kind", "s.canonical")
-        .join(fixes, ["kind", "canonical"])
+        listed.join(collisions(distinct, key), ["kind", "canonical"])
+        .select(*keys, "kind", "canonical", "attempt")
         .distinct()
-        .groupBy("_d", "_t")
-        .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canonical"), "attempt"))).alias("_fix"))
+        .groupBy(*keys)
+        .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canonical"), "attempt"))).alias("_pii_fix"))
     )
-    met = hashed.join(stage(touched), ["_d", "_t"], "left")
+    met = rows.join(stage(touched), [*keys], "left")
 
     def swapped(s: Column) -> Column:
-        attempt = F.coalesce(F.try_element_at("_fix", F.concat_ws("|", s["kind"], s["canonical"])), F.lit(0))
-        return _surrogate(s, attempt, key)
+        attempt = F.coalesce(F.try_element_at("_pii_fix", F.concat_ws("|", s["kind"], s["canonical"])), F.lit(0))
+        word = F.substring(s["whole"], F.lit(1), F.length(s["whole"]) - F.length(s["e"]))
+        return F.concat(word, _surrogate(s, attempt, key))
 
-    made = F.concat(F.transform("_found", swapped), F.array(F.lit("")))
-    line = F.array_join(F.flatten(F.zip_with("_parts", made, lambda p, s: F.array(p, s))), "")
+    made = F.concat(F.transform("_pii_found", swapped), F.array(F.lit("")))
+    parts = F.split(text, PATTERN, -1)
+    line = F.array_join(F.flatten(F.zip_with(parts, made, lambda p, s: F.array(p, s))), "")
     kept = [c for c in docs.columns if c not in ("n_entities", "kinds")]
     return met.select(
-        *[F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.when(F.size("_found") == 0, F.col("text")).otherwise(line)).alias("text") if c == "text" else F.col(c) for c in kept],
-        F.size("_found").cast("long").alias("n_entities"),
-        F.array_join(F.array_sort(F.array_distinct(F.col("_found.kind"))), ",").alias("kinds"),
+        *[F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.when(F.size("_pii_found") == 0, F.col("text")).otherwise(line)).alias("text") if c == "text" else F.col(c) for c in kept],
+        F.size("_pii_found").cast("long").alias("n_entities"),
+        F.array_join(F.array_sort(F.array_distinct(F.col("_pii_found.kind"))), ",").alias("kinds"),
     )
 
 
