@@ -22,6 +22,9 @@ from pyspark.sql import types as T
 #: Java pattern of a word between ASCII blanks.
 BLANK_WORD = "[^\\x20\\x09-\\x0D]+"
 
+#: Rows that a Python function sees at a time.
+ROWS = 256
+
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _WORD_BYTE = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32
@@ -88,7 +91,10 @@ def staging_folder(spark: SparkSession) -> str:
 
 
 def map_batches(df: DataFrame, function: Callable, schema: T.StructType | str) -> DataFrame:
-    """``df.mapInArrow`` with this library sent along, so that workers need not have it installed."""
+    """``df.mapInArrow`` in batches of at most ``ROWS`` rows, so that long texts don't fill the memory.
+
+    The library is sent along, so that workers need not have it installed.
+    """
     global _sent_to
     context = df.sparkSession.sparkContext
     if _sent_to != context.applicationId:
@@ -99,7 +105,11 @@ def map_batches(df: DataFrame, function: Callable, schema: T.StructType | str) -
                 packed.write(source, source.relative_to(package.parent))
         context.addPyFile(str(archive))  # the driver hands it to every worker
         _sent_to = context.applicationId
-    return df.mapInArrow(function, schema)
+
+    def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return function(b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS))
+
+    return df.mapInArrow(in_slices, schema)
 
 
 def stage(df: DataFrame) -> DataFrame:
