@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def lacks(text: Column, part: str) -> Column:
     """True where ``part`` does not occur; a missing text is kept.
 
-    The ``OR IS NULL`` form reaches the parquet scan, a coalesce would not.
+    The ``OR IS NULL`` form can reach a scan of the table that holds the text. Behind an outer join it
+    stays above the join.
     """
     return text.isNull() | ~text.contains(part)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,8 +43,17 @@ def _open(spark: SparkSession, path: str, fmt: str) -> DataFrame:
 
 
 def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select the contract columns by name. A malformed value raises instead of vanishing."""
-    return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    """Select the contract columns by name. A malformed value raises, under any session setting."""
+
+    def checked(field: T.StructField) -> Column:
+        value = F.col(field.name)
+        if df.schema[field.name].dataType == field.dataType:
+            return value
+        cast = value.try_cast(field.dataType)
+        wrong = F.concat(F.lit(f"malformed {field.name}: "), value.cast("string"))
+        return F.when(value.isNotNull() & cast.isNull(), F.raise_error(wrong)).otherwise(cast)
+
+    return df.select([checked(f).alias(f.name) for f in schema.fields])
 
 
 def read_transactions(

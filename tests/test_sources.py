@@ -122,3 +122,16 @@ def test_balance_without_value_has_no_type(spark, tmp_path):
     spark.createDataFrame([(1, "A", None), (2, "A", 9000.0)], tpch.SCHEMAS["customer"]).write.parquet(f"{path}/customer.parquet")
     got = {r.LYLTY_CARD_NBR: r.PREMIUM_CUSTOMER for r in tpch.customers(spark, path).collect()}
     assert got == {1: None, 2: "Premium"}
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_malformed_values_raise(spark, tmp_path, ansi):
+    path = tmp_path / "customers.csv"
+    path.write_text("LYLTY_CARD_NBR,LIFESTAGE,PREMIUM_CUSTOMER\nabc,RETIREES,Premium\n")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        with pytest.raises(Exception, match="malformed LYLTY_CARD_NBR: abc"):
+            tables.read_customers(spark, str(path)).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
