@@ -27,5 +27,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_near_duplicates": minhash.OP1_SQL,
     "op8_benchmark_hits": decontamination.OP8_SQL,
+    "op9_stratified_interleaving": sharding.OP9_SQL,
     "op10_repeated_passages": substrings.OP10_SQL,
 }

@@ -81,3 +81,32 @@ def op9_stratified_interleaving(spark, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         "source",
     )
+
+
+OP9_SQL = """
+WITH crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([CAST(i AS UBIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS v
+    FROM range(256) AS r(i))
+), bytes AS (
+  SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS UBIGINT)) AS b
+  FROM documents
+), rows AS (
+  SELECT doc_id, source, CAST(size AS BIGINT) AS size, md5('shards:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, b), lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS INTEGER) + 1])),
+                  4294967295::UBIGINT) AS BIGINT) AS text_crc32
+  FROM bytes, crc_table
+), ranked AS (
+  SELECT *, (2 * (row_number() OVER (PARTITION BY source ORDER BY h, doc_id, size, text_crc32) - 1) + 1)::DOUBLE
+            / (2 * count(*) OVER (PARTITION BY source))::DOUBLE AS fraction,
+         count(*) OVER () AS total
+  FROM rows
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY fraction, h, doc_id, size, text_crc32, source) - 1 AS place FROM ranked
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * 8 // total AS INTEGER) AS shard,
+       CAST(place - (place * 8 // total * total + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, source
+FROM placed
+"""
