@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm.components import components
-from basketry.llm.shared import lower_blank_words, map_batches, mix, stage, word_hashes
+from basketry.llm.shared import lower_blank_words, map_batches, mix, parts_for, stage, word_hashes
 
 #: Words of a shingle, and the similarity in percent from which documents are linked.
 SHINGLE = 5
@@ -21,6 +21,8 @@ GROUPS = 9
 #: Hashes of a sketch that must agree before a pair is compared; at similarity 0.8 fewer than one pair
 #: in a million has so few.
 AGREE = 16
+#: Sets that are compared with as many others at a time.
+BLOCK = 64
 
 _FACTORS = (mix(np.arange(1, 2 * 64 * 8 + 1, dtype=np.uint64)) | np.uint64(1)).tolist()
 
@@ -78,28 +80,26 @@ def signatures(docs: DataFrame, shingle: int, width: int, groups: int) -> DataFr
     """A staged row per document: its set's size and fingerprint, half keys, sketch, and a row number."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                sets = shingle_sets(batch.column("text").to_pylist(), shingle)
-                full = [k for k, s in enumerate(sets) if len(s)]
-                keys = np.zeros((len(sets), 2 * groups), np.uint64)
-                sketch = np.zeros((len(sets), 2 * groups * width), np.uint8)
-                if full:
-                    keys[full], sketch[full] = half_keys([sets[k] for k in full], width, groups)
-                with np.errstate(over="ignore"):
-                    prints = [np.array([f(s).sum() for s in sets], np.uint64) for f in (mix, lambda s: mix(s ^ np.uint64(0x5851F42D4C957F2D)))]
-                halves = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(part).view(np.int64).reshape(-1)), groups).cast(pa.list_(pa.int64())) for part in (keys[:, :groups], keys[:, groups:])]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[batch.column(c) for c in ("doc_id", "_t")],
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        *[pa.array(p.view(np.int64)) for p in prints],
-                        *halves,
-                        pa.array([row.tobytes() for row in sketch], pa.binary()),
-                    ],
-                    names=["doc_id", "_t", "n_shingles", "f1", "f2", "a", "b", "sketch"],
-                )
+        for batch in batches:
+            sets = shingle_sets(batch.column("text").to_pylist(), shingle)
+            full = [k for k, s in enumerate(sets) if len(s)]
+            keys = np.zeros((len(sets), 2 * groups), np.uint64)
+            sketch = np.zeros((len(sets), 2 * groups * width), np.uint8)
+            if full:
+                keys[full], sketch[full] = half_keys([sets[k] for k in full], width, groups)
+            with np.errstate(over="ignore"):
+                prints = [np.array([f(s).sum() for s in sets], np.uint64) for f in (mix, lambda s: mix(s ^ np.uint64(0x5851F42D4C957F2D)))]
+            halves = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(part).view(np.int64).reshape(-1)), groups).cast(pa.list_(pa.int64())) for part in (keys[:, :groups], keys[:, groups:])]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(c) for c in ("doc_id", "_t")],
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    *[pa.array(p.view(np.int64)) for p in prints],
+                    *halves,
+                    pa.array([row.tobytes() for row in sketch], pa.binary()),
+                ],
+                names=["doc_id", "_t", "n_shingles", "f1", "f2", "a", "b", "sketch"],
+            )
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_t"))
     signed = map_batches(
@@ -164,9 +164,9 @@ def near_duplicates(
     * Documents with equal sets form a class at once, by a 128-bit fingerprint combined in the tasks.
     * In each bucket all classes are paired with its smallest (no all-pairs), pairs whose sketches
       agree are confirmed on the whole sets of both texts, and links give components.
-    * Where a bucket then still has several components, each class outside its smallest one's
-      component is held against all others of the bucket in other components, so no candidate pair
-      that could join components goes untested.
+    * Candidates that hang together but still lie in several components are compared in blocks, each
+      class outside the largest component with all others, so no pair that could join components
+      goes untested.
 
     Texts move once, and only those of candidates are kept. Returns doc_id, ``n_shingles``,
     ``component_id`` (smallest doc_id in the component), ``_t`` (hash of the text) and ``first`` (true
@@ -192,18 +192,13 @@ def near_duplicates(
     tables = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))
     keys = classes.select("node", F.explode(tables).alias("key"))
     buckets = stage(
-        keys.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        keys.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     )
-    members = stage(keys.join(buckets, "key").select("key", "node", "center", "n"))
-    stars = members.filter("node <> center").select(F.col("node").alias("u"), F.col("center").alias("v")).distinct()
+    members = keys.join(buckets, "key").filter("node <> center")
+    stars = members.select(F.col("node").alias("u"), F.col("center").alias("v")).distinct()
     candidates = stage(_agreeing(stars, classes, agree))
 
-    wanted = (
-        candidates.select(F.col("u").alias("node"))
-        .union(candidates.select(F.col("v").alias("node")))
-        .union(members.filter("n > 2").select("node"))
-        .distinct()
-    )
+    wanted = candidates.select(F.col("u").alias("node")).union(candidates.select(F.col("v").alias("node"))).distinct()
     places = wanted.join(classes, "node").select(
         "node", F.coalesce("_text.doc_id", F.lit(0)).alias("_d"), F.col("_text._t").alias("_t")
     )
@@ -212,12 +207,15 @@ def near_duplicates(
     )
     texts = stage(whole.join(places, ["_d", "_t"]).select("node", "text").dropDuplicates(["node"]))
     links = stage(_confirmed(candidates, texts, shingle, percent))
-    labels = stage(components(links))
-
-    more = stage(_across(members, classes, labels, candidates, agree))
+    # Components of the links and clusters of the candidates at once, told apart by the last bit.
+    tagged = [e.select((F.col("u") * 2 + k).alias("u"), (F.col("v") * 2 + k).alias("v")) for k, e in enumerate((links, candidates))]
+    both = components(tagged[0].union(tagged[1]))
+    labels, clusters = (
+        both.filter(F.col("node") % 2 == k).select(F.expr("node div 2").alias("node"), F.expr("label div 2").alias("label")) for k in (0, 1)
+    )
+    more = stage(_across(clusters, texts, labels, shingle, percent))
     if not more.isEmpty():
-        links = stage(links.union(_confirmed(more, texts, shingle, percent)))
-        labels = stage(components(links))
+        labels = components(links.union(more))
 
     named = classes.join(labels, "node", "left").select(
         "n_shingles", "f1", "f2", "smallest", "earliest", F.coalesce("label", "node").alias("label")
@@ -257,49 +255,84 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     return keyed.join(stage(first), keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
-def _across(members: DataFrame, classes: DataFrame, labels: DataFrame, tested: DataFrame, agree: int) -> DataFrame:
-    """Candidate pairs across components that the stars have not tested.
+def _across(clusters: DataFrame, texts: DataFrame, labels: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between components that the stars left apart.
 
-    Only buckets of three classes or more with several components matter. Their classes outside the
-    component of the smallest one are collected per bucket, a few sketches, and the members stream
-    past them; the sketches decide which pairs come out.
+    Candidates hang together in clusters (node, label). In a cluster with several components, every
+    class outside its largest one is held against all classes of the cluster, in blocks of about
+    ``BLOCK`` sets of like size: a row is a pair of blocks, and one product of their incidence matrices
+    gives all intersections. A pair of blocks gives one link at most for two components.
     """
-    placed = (
-        members.filter("n > 2")
-        .join(labels, "node", "left")
-        .select("key", "node", "center", F.coalesce("label", "node").alias("label"))
-    )
-    centers = labels.select(F.col("node").alias("center"), F.col("label").alias("_home"))
-    placed = stage(
-        placed.join(centers, "center", "left").withColumn("home", F.coalesce("_home", "center")).drop("_home")
+    placed = clusters.withColumnRenamed("label", "cluster").join(labels, "node", "left")
+    placed = placed.select("cluster", "node", F.coalesce("label", "node").alias("label"))
+    sizes = placed.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
+    homes = sizes.groupBy("cluster").agg(
+        F.max(F.struct("n", "label")).alias("_home"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("classes")
     )
-    strays = (
-        placed.filter("label <> home")
-        .join(classes.select("node", "sketch"), "node")
-        .groupBy("key")
-        .agg(F.collect_list(F.struct("node", "label", "sketch")).alias("strays"))
+    apart = homes.filter("parts > 1 and classes > 2").select("cluster", F.col("_home.label").alias("home"))
+    apart = stage(apart.coalesce(parts_for(clusters.count())))
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column("text").to_pylist(), shingle)
+            # Sets of similarity s differ in size by a factor of s at most, so in class by one.
+            width = np.log(100 / percent) * 1.001 + 1e-9
+            classes = [int(np.log(len(s)) / width) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(c) for c in ("cluster", "node", "label", "home")],
+                    pa.array(classes, pa.int64()),
+                    pa.array([s.tobytes() for s in sets], pa.binary()),
+                ],
+                names=["cluster", "node", "label", "home", "class", "set"],
+            )
+
+    held = placed.join(apart, "cluster").join(texts, "node").select("cluster", "node", "label", "home", "text")
+    sets = stage(map_batches(held, shingled, "cluster long, node long, label long, home long, class long, set binary"))
+    counts = sets.groupBy("cluster", "class").agg(
+        F.count(F.lit(1)).alias("_all"), F.count_if(F.col("label") != F.col("home")).alias("_stray")
     )
-    met = placed.join(classes.select("node", "sketch"), "node").join(stage(strays), "key")
+    counted = sets.join(stage(counts), ["cluster", "class"])
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("node"), F.ceil(F.col(f"_{name}") / BLOCK)).alias("block")
+        return rows.groupBy("cluster", "class", block).agg(F.collect_list(F.struct("node", "label", "set")).alias(name))
+
+    near = F.array(*[F.col("class") + k for k in (-1, 0, 1)])
+    stray = blocks(counted.filter("label <> home"), "stray").select("cluster", F.explode(near).alias("class"), "stray")
+    pairs = blocks(counted, "all").join(stray, ["cluster", "class"]).select("all", "stray")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            us, vs = [], []
-            rows = zip(*[batch.column(c).to_pylist() for c in ("node", "label", "home", "center", "sketch", "strays")], strict=True)
-            for node, label, home, center, sketch, strays in rows:
-                if node == center:
-                    continue  # tested by the star
-                others = [s for s in strays if s["label"] != label and (label == home or s["node"] < node)]
-                if not others:
-                    continue
-                held = np.frombuffer(b"".join(s["sketch"] for s in others), np.uint8).reshape(len(others), -1)
-                near = (held == np.frombuffer(sketch, np.uint8)).sum(axis=1) >= agree
-                for k in np.flatnonzero(near).tolist():
-                    us.append(max(node, others[k]["node"]))
-                    vs.append(min(node, others[k]["node"]))
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
-
-    pairs = map_batches(met.select("node", "label", "home", "center", "sketch", "strays"), compare, "u long, v long")
-    return pairs.distinct().join(tested, ["u", "v"], "left_anti")
+            for k in range(batch.num_rows):
+                some, others = (batch.column(c)[k].as_py() for c in ("all", "stray"))
+                found = linked(some, others, percent)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["u", "v"])
+
+    return map_batches(pairs, compare, "u long, v long")
+
+
+def linked(some: Sequence[dict], others: Sequence[dict], percent: int) -> list[tuple[int, int]]:
+    """Links between two blocks of (node, label, set), one for each two labels."""
+    rows = [np.frombuffer(e["set"], np.uint64) for e in (*some, *others)]
+    sizes = np.array([len(r) for r in rows])
+    values, column = np.unique(np.concatenate(rows), return_inverse=True)
+    shared = np.zeros((len(some), len(others)), np.float32)
+    step = 1 << 16
+    row = np.repeat(np.arange(len(rows)), sizes)
+    for at in range(0, len(values), step):  # the matrices, a stretch of columns at a time
+        inside = (column >= at) & (column < at + step)
+        cells = np.zeros((len(rows), min(step, len(values) - at)), np.float32)
+        cells[row[inside], column[inside] - at] = 1
+        shared += cells[: len(some)] @ cells[len(some) :].T
+    union = sizes[: len(some), None] + sizes[None, len(some) :] - shared
+    found: dict[tuple[int, int], tuple[int, int]] = {}
+    for i, j in np.argwhere(100 * shared >= percent * union).tolist():
+        a, b = some[i], others[j]
+        if a["label"] != b["label"]:
+            found.setdefault((min(a["label"], b["label"]), max(a["label"], b["label"])), (max(a["node"], b["node"]), min(a["node"], b["node"])))
+    return list(found.values())
 
 
 def op1_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -119,6 +119,11 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parts_for(rows: int, each: int = 100_000) -> int:
+    """Partitions for so many small rows."""
+    return 1 + rows // each
+
+
 def running_totals(
     df: DataFrame, order: Sequence[str], values: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:

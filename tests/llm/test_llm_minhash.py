@@ -60,18 +60,30 @@ def test_components_equal_brute_force(documents, k):
     assert len(firsts) == len({r.component_id for r in got})
 
 
-def test_classes_outside_the_star_are_held_against_all(spark):
-    """b and c are similar, a is the smallest of their bucket and similar to neither."""
-    members = spark.createDataFrame([(9, 1, 1, 3), (9, 2, 1, 3), (9, 3, 1, 3)], "key long, node long, center long, n long")
-    sketches = [(1, bytes(20)), (2, b"x" * 20), (3, b"x" * 20)]
-    classes = spark.createDataFrame(sketches, "node long, sketch binary")
-    none = spark.createDataFrame([], "node long, label long")
-    tested = spark.createDataFrame([], "u long, v long")
-    got = minhash._across(members, classes, none, tested, 16).collect()
-    assert [tuple(r) for r in got] == [(3, 2)]
-    home = spark.createDataFrame([(1, 1), (2, 1)], "node long, label long")
-    got = minhash._across(members, classes, home, tested, 16).collect()
-    assert [tuple(r) for r in got] == [(3, 2)]
+def test_components_that_a_star_leaves_apart_are_joined(spark):
+    """b and c are similar, a, with which both are candidates, to neither."""
+    words = [f"w{i}" for i in range(100)]
+    texts = {1: words, 2: ["x"] * 20 + words[20:], 3: ["x", "y"] * 10 + words[22:], 4: words[1:], 5: ["z"]}
+    table = spark.createDataFrame([(n, " ".join(w)) for n, w in texts.items()], "node long, text string")
+    clusters = spark.createDataFrame([(n, 1) for n in texts], "node long, label long")
+    labels = spark.createDataFrame([(1, 1), (4, 1)], "node long, label long")
+    want = {
+        (max(i, j), min(i, j)) for i in texts for j in texts
+        if i != j and not {i, j} <= {1, 4} and 10 * len(shingles(" ".join(texts[i]), 2) & shingles(" ".join(texts[j]), 2)) >= 8 * len(shingles(" ".join(texts[i]), 2) | shingles(" ".join(texts[j]), 2))
+    }
+    got = {tuple(r) for r in minhash._across(clusters, table, labels, 2, 80).collect()}
+    assert got and got <= want and {tuple(sorted(p)) for p in got} == {(2, 3)}
+
+
+def test_blocks_link_as_pairs_do():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**60, 60, dtype=np.uint64)
+    some = [{"node": k, "label": k, "set": np.unique(np.concatenate([rng.choice(base, 50, replace=False), rng.integers(0, 2**60, int(rng.integers(0, 12)), dtype=np.uint64)])).tobytes()} for k in range(40)]
+    got = set(minhash.linked(some[:25], some[25:], 80))
+    read = [np.frombuffer(e["set"], np.uint64) for e in some]
+    assert got == {(j, i) for i in range(25) for j in range(25, 40) if minhash.similar(read[i], read[j], 80)}
+    same = [{**e, "label": 1} for e in some]
+    assert minhash.linked(same[:25], same[25:], 80) == []
 
 
 def test_half_keys_agree_for_equal_sets_only():
