@@ -1,6 +1,7 @@
 """Every named query against its SQL, and what its plan must not contain."""
 
 import os
+import re
 
 import pytest
 from compare import database, difference, load_entry
@@ -38,3 +39,20 @@ def test_entry(spark):
     df = ENTRY.entry(spark)
     assert df.count() == 6
     assert df.columns == ["trial", "metric", "months_outside", "months_total", "significant_months"]
+
+
+@pytest.mark.parametrize("key", ["price_histogram_by_group", "pack_size_histogram", "brand_affinity"])
+def test_lines_are_read_once(spark, key):
+    """Range and bins come from the same shuffle: one scan in the final plan and one in the initial."""
+    df = QUERIES[key](spark, ROOT)
+    df.collect()
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    text = df._jdf.queryExecution().explainString(mode)
+    assert text.count("lineitem.parquet") == 2
+
+
+@pytest.mark.parametrize("key", ["product_counts", "product_words"])
+def test_lines_are_added_up_before_they_meet_the_names(spark, key):
+    plan = QUERIES[key](spark, ROOT)._jdf.queryExecution().optimizedPlan().toString()
+    per_key = re.search(r"Aggregate \[(_part|l_partkey)#", plan)
+    assert per_key and plan.index("Join") < per_key.start()
