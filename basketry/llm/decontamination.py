@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketry.llm.shared import map_batches, plain_bytes, stage
+from basketry.llm.shared import map_batches, plain_bytes, remembered, stage
 
 #: Words of a window.
 WINDOW = 10
@@ -28,8 +28,6 @@ _FOUND = [
     T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),
 ]
 
-_automaton: tuple[str, object] = ("", None)
-
 
 def windows_of(benchmark: DataFrame, window: int = WINDOW) -> list[tuple[str, list[int]]]:
     """Distinct normalised windows of all items with the ids of the items that hold them.
@@ -71,16 +69,13 @@ def groups_of(windows: list[tuple[str, list[int]]], limit: int) -> list[list[tup
     return groups
 
 
-def _built(key: str, windows: Sequence[tuple[str, list[int]]]):
-    """The automaton of a group; a worker process keeps the last one it built."""
-    global _automaton
-    if _automaton[0] != key:
-        machine = ahocorasick.Automaton()
-        for text, items in windows:
-            machine.add_word(f" {text} ", (len(text) + 2, text.count(" ") + 1, items))
-        machine.make_automaton()
-        _automaton = (key, machine)
-    return _automaton[1]
+def _built(windows: Sequence[tuple[str, list[int]]]) -> ahocorasick.Automaton:
+    """The automaton of a group of windows."""
+    machine = ahocorasick.Automaton()
+    for text, items in windows:
+        machine.add_word(f" {text} ", (len(text) + 2, text.count(" ") + 1, items))
+    machine.make_automaton()
+    return machine
 
 
 def find(text: str | None, machine) -> tuple[int, list[int], list[tuple[int, int]]]:
@@ -162,7 +157,7 @@ def _scanned(rows: DataFrame, windows: list[tuple[str, list[int]]], taken: Seque
     schema = T.StructType([*[rows.schema[c] for c in kept], *_FOUND])
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _built(key, shared.value)
+        machine = remembered(key, lambda: _built(shared.value))
         for batch in batches:
             found = defaultdict(list)
             for text in batch.column("text").to_pylist():
@@ -179,7 +174,7 @@ def _scanned(rows: DataFrame, windows: list[tuple[str, list[int]]], taken: Seque
                 [*[batch.column(c) for c in kept], *new], names=[*kept, *[f.name for f in _FOUND]]
             )
 
-    return map_batches(rows, matched, schema)
+    return map_batches(rows, matched, schema, keeps=key)
 
 
 def _merged(rows: DataFrame, merged: DataFrame, taken: Sequence[str]) -> DataFrame:

@@ -33,6 +33,7 @@ _WORD_BYTE = bytes(
 
 _local_root: str | None = None
 _sent_to: str | None = None
+_kept: dict[str, object] = {}
 
 
 def blank_words(text: str | None) -> list[bytes]:
@@ -90,10 +91,25 @@ def staging_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/corpus-{uuid.uuid4().hex}"
 
 
-def map_batches(df: DataFrame, function: Callable, schema: T.StructType | str) -> DataFrame:
+def forget(but: str | None = None) -> None:
+    """Drop what this process keeps, but for one key."""
+    for key in [k for k in _kept if k != but]:
+        del _kept[key]
+
+
+def remembered(key: str, make: Callable):
+    """What ``make`` gives, kept by a worker process for later tasks of the same step."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def map_batches(df: DataFrame, function: Callable, schema: T.StructType | str, keeps: str | None = None) -> DataFrame:
     """``df.mapInArrow`` in batches of at most ``ROWS`` rows, so that long texts don't fill the memory.
 
-    The library is sent along, so that workers need not have it installed.
+    The library is sent along, so that workers need not have it installed. A worker process lives on
+    from step to step; it first forgets what it has kept, but for the key ``keeps``.
     """
     global _sent_to
     context = df.sparkSession.sparkContext
@@ -107,6 +123,7 @@ def map_batches(df: DataFrame, function: Callable, schema: T.StructType | str) -
         _sent_to = context.applicationId
 
     def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keeps)
         return function(b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS))
 
     return df.mapInArrow(in_slices, schema)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from basketry.llm.bitpack import PackedReader, PackedWriter, bits_for
-from basketry.llm.shared import map_batches, staging_folder
+from basketry.llm.shared import map_batches, remembered, staging_folder
 
 #: Id that ends every document.
 END_ID = 0
@@ -27,7 +27,7 @@ _OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\
 
 # Punctuation, and letters after which it always begins a piece.
 _PUNCTUATION = ".,;:!?*#&%$"
-_LETTER_END = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]$")
+_LETTERS = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() and c not in "\xaa\xb5\xba")
 
 
 def _even(text: str) -> bool:
@@ -62,7 +62,7 @@ class Encoder:
     words are remembered.
     """
 
-    def __init__(self, path: str, room: int = 1_200_000):
+    def __init__(self, path: str, room: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         pre = type(self.tokenizer.pre_tokenizer).__name__
@@ -111,7 +111,7 @@ class Encoder:
             for place, word in enumerate(waiting, at):
                 if word[-1:] in _PUNCTUATION:
                     stem = word.rstrip(_PUNCTUATION)
-                    if stem and _LETTER_END.search(stem):
+                    if stem and stem[-1] in _LETTERS:
                         joined.append(place)
                         halves.append(self.other[stem[1:]] if stem[0] == " " else self.first[stem])
                         halves.append(self.first[word[len(stem) :]])
@@ -187,23 +187,17 @@ class Encoder:
         return ids, counts
 
 
-_encoder: tuple[str, Encoder | None] = ("", None)
-
-
-def encoder_for(path: str) -> Encoder:
-    """The encoder of a tokenizer file; a worker process keeps the last one."""
-    global _encoder
-    if _encoder[0] != path:
-        _encoder = (path, Encoder(path))
-    return _encoder[1]
-
-
 def with_ends(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and counts with ``end_id`` after every document."""
     stops = np.cumsum(counts)
     return np.insert(ids, stops, end_id), counts + 1
 
 
+def _placed(folder: str) -> tuple[pa.fs.FileSystem, str]:
+    """File system and path of a folder, given as a path or a URI."""
+    return pa.fs.FileSystem.from_uri(folder) if re.match("[a-z0-9]+:", folder) else (pa.fs.LocalFileSystem(), folder)
+
+
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Encode all texts and write them in ascending ``doc_id`` order to packed files in ``folder``.
 
@@ -221,8 +215,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     width = max(bits_for(vocabulary), bits_for(end_id + 1))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(tokenizer_path)
-        system, root = pa.fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pa.fs.LocalFileSystem(), folder)
+        encoder = remembered(tokenizer_path, lambda: Encoder(tokenizer_path))
+        system, root = _placed(folder)
         name = f"tokens-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"
         system.create_dir(root, recursive=True)
         n_docs = 0
@@ -248,14 +242,14 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
         )
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = map_batches(ordered, write, "shard long, file string, n_docs long, n_ids long")
+    manifest = map_batches(ordered, write, "shard long, file string, n_docs long, n_ids long", keeps=tokenizer_path)
     manifest.write.parquet(f"{folder}/manifest")
     return spark.read.schema(manifest.schema).parquet(f"{folder}/manifest").withColumn("folder", F.lit(folder))
 
 
 def open_packed(folder: str, file: str):
     """A packed file, open for reading."""
-    system, root = pa.fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pa.fs.LocalFileSystem(), folder)
+    system, root = _placed(folder)
     return system.open_input_file(f"{root}/{file}")
 
 
@@ -268,26 +262,27 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     placed = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 with open_packed(row["folder"], row["file"]) as source:
-                    reader, start = PackedReader(source), row["base"]
-                    docs, starts, counts, sums = [], [], [], []
-                    for doc, pieces in reader.documents():
+                    start, found = row["base"], []
+                    for doc, pieces in PackedReader(source).documents():
                         crc, n = 0, 0
                         for ids in pieces:
                             crc = zlib.crc32(ids.astype("<u4").tobytes(), crc)
                             n += len(ids)
-                        docs.append(doc)
-                        starts.append(start)
-                        counts.append(n)
-                        sums.append(crc)
+                        found.append((doc, start, n, crc))
                         start += n
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, pa.int64()) for x in (docs, starts, counts, sums)],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+                        if len(found) == 4096:
+                            yield batch_of(found)
+                            found = []
+                    if found:
+                        yield batch_of(found)
 
     files = placed.repartitionByRange(max(1, manifest.count()), "shard")
     return map_batches(files, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
