@@ -17,10 +17,10 @@ SHINGLE = 5
 PERCENT = 80
 #: Hashes of a half key and half keys of each collection: GROUPS**2 tables from 2 * GROUPS * WIDTH hashes.
 WIDTH = 2
-GROUPS = 9
+GROUPS = 12
 #: Hashes of a sketch that must agree before a pair is compared; at similarity 0.8 fewer than one pair
 #: in a million has so few.
-AGREE = 16
+AGREE = 24
 #: Sets that are compared with as many others at a time.
 BLOCK = 64
 
@@ -159,7 +159,7 @@ def near_duplicates(
     minimum hashes, every pair of a half key of the first and one of the second is the key of a table.
     groups**2 tables of 2 * width hashes so need 2 * groups * width hashes instead of groups**2 times
     that. Two sets of similarity s meet in some table unless all half keys of a collection differ:
-    with the defaults one pair in 5,000 at s = 0.8 is missed, one in 300,000 at 0.9.
+    with the defaults one pair in 100,000 at s = 0.8 is missed, one in 200 million at 0.9.
 
     * Documents with equal sets form a class at once, by a 128-bit fingerprint combined in the tasks.
     * In each bucket all classes are paired with its smallest (no all-pairs), pairs whose sketches

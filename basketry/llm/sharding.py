@@ -43,9 +43,9 @@ def interleave(
     placed = running_totals(
         fraction.drop("_source", "_rank", "_n"), ["_fraction", *order, "source"], ["_one"]
     ).withColumnRenamed("_one_before", "_place")
-    total = docs.agg(F.count(F.lit(1)).alias("_total"))
+    total = docs.agg(F.count(F.lit(1))).scalar()
     shard = f"(_place * {shards}) div _total"
-    return placed.crossJoin(F.broadcast(total)).select(  # one row
+    return placed.withColumn("_total", total).select(
         "doc_id",
         "source",
         *taken,
