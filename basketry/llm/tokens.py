@@ -7,6 +7,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from basketry.llm.shared import map_batches, remembered, staging_folder
 END_ID = 0
 
 # White space other than single blanks and line ends; beside it a word can't be encoded by itself.
+_ASCII_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 # Punctuation, and letters after which it always begins a piece.
@@ -33,20 +35,52 @@ _LETTERS = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() and c not
 def _even(text: str) -> bool:
     """Whether white space occurs only as single blanks or line ends between other characters."""
     doubled = "  " in text or "\n\n" in text or " \n" in text or "\n " in text
-    return not doubled and not _OTHER_SPACE.search(text)
+    if doubled:
+        return False
+    if text.isascii():
+        return not any(c in text for c in _ASCII_SPACE)
+    return not _OTHER_SPACE.search(text)
+
+
+def _roomy(values: np.ndarray, needed: int) -> np.ndarray:
+    """The array, with a quarter more room where it is too short."""
+    if needed <= len(values):
+        return values
+    longer = np.zeros(needed + needed // 4, values.dtype)
+    longer[: len(values)] = values
+    return longer
+
+
+@dataclass
+class _New:
+    """Words that wait for their encoding, and words that are put together from two others."""
+
+    count: int = 0
+    words: list[str] = field(default_factory=list)
+    places: list[int] = field(default_factory=list)
+    joined: list[int] = field(default_factory=list)
+    halves: list[int] = field(default_factory=list)
 
 
 class _Memo(dict):
-    """Places of word encodings in a pool; words not seen before wait in ``new``."""
+    """Places of words in a pool of encodings; ``lead`` stands before each of them."""
 
-    def __init__(self, lead: str, new: list[str], count: list[int]):
+    def __init__(self, lead: str, new: _New, plain: _Memo | None = None):
         super().__init__()
-        self.lead, self.new, self.count = lead, new, count
+        self.lead, self.new, self.plain = lead, new, plain if plain is not None else self
 
     def __missing__(self, word: str) -> int:
-        place = self[word] = self.count[0]
-        self.count[0] += 1
-        self.new.append(self.lead + word)
+        new = self.new
+        place = self[word] = new.count
+        new.count += 1
+        if word[-1:] in _PUNCTUATION:
+            stem = word.rstrip(_PUNCTUATION)
+            if stem and stem[-1] in _LETTERS:
+                new.joined.append(place)
+                new.halves += (self[stem], self.plain[word[len(stem) :]])
+                return place
+        new.words.append(self.lead + word)
+        new.places.append(place)
         return place
 
 
@@ -62,7 +96,7 @@ class Encoder:
     words are remembered.
     """
 
-    def __init__(self, path: str, room: int = 1_000_000):
+    def __init__(self, path: str, room: int = 1_700_000, end_id: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         pre = type(self.tokenizer.pre_tokenizer).__name__
@@ -71,6 +105,7 @@ class Encoder:
             line_end = self._plain("\n")
             self.by_word = not self.tokenizer.pre_tokenizer.add_prefix_space and len(line_end) == 1
             self.line_end = line_end[0]
+        self.end_id = end_id
         self.room = room
         self._forget()
 
@@ -82,62 +117,39 @@ class Encoder:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _forget(self) -> None:
-        self.new: list[str] = []
-        self.count = [0]
-        self.first, self.other = _Memo("", self.new, self.count), _Memo(" ", self.new, self.count)
-        if self.by_word:  # the line end has the first place
-            self.first["\n"] = 0
-            self.count[0] = 1
-        self.pool = np.empty(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.lengths = np.zeros(1 << 14, np.int64)
-        if self.by_word:
-            self.pool[0], self.lengths[0] = self.line_end, 1
-        self.used = 1
+        self.new = _New(count=2)  # the first places are those of the line end and of a document's end
+        self.first = _Memo("", self.new)
+        self.other = _Memo(" ", self.new, self.first)
+        self.pool = np.zeros(1 << 16, np.uint32)
+        self.starts = np.zeros(1 << 14, np.int32)
+        self.lengths = np.zeros(1 << 14, np.int32)
+        self.starts[1] = 1
+        self.lengths[:2] = self.by_word, self.end_id is not None
+        self.pool[:2] = self.line_end if self.by_word else 0, self.end_id or 0
+        self.used = 2
 
     def _learn(self) -> None:
-        """Encode the waiting words and put them into the pool.
-
-        A word that ends in punctuation after a letter is put together from its two pieces.
-        """
-        at = self.count[0] - len(self.new)
-        whole: list[str] = []
-        places: list[int] = []
-        joined: list[int] = []
-        halves: list[int] = []
-        while self.new:
-            waiting = list(self.new)
-            self.new.clear()
-            for place, word in enumerate(waiting, at):
-                if word[-1:] in _PUNCTUATION:
-                    stem = word.rstrip(_PUNCTUATION)
-                    if stem and stem[-1] in _LETTERS:
-                        joined.append(place)
-                        halves.append(self.other[stem[1:]] if stem[0] == " " else self.first[stem])
-                        halves.append(self.first[word[len(stem) :]])
-                        continue
-                whole.append(word)
-                places.append(place)
-            at += len(waiting)
-        for i in range(0, len(whole), 4096):
-            found = whole[i : i + 4096]
+        """Encode the waiting words, put them into the pool, and join those that have two pieces."""
+        new = self.new
+        for i in range(0, len(new.words), 4096):
+            found = new.words[i : i + 4096]
             lines = np.fromiter(ids := self._plain("\n".join(found)), np.uint32, len(ids))
             cuts = np.concatenate([[-1], np.flatnonzero(lines == self.line_end), [len(lines)]])
             sizes = np.diff(cuts) - 1
             if len(sizes) != len(found):
                 raise ValueError("the tokenizer joins line ends with other text")
-            self._keep(np.array(places[i : i + 4096], np.int64), lines[lines != self.line_end], sizes)
-        if joined:
-            pieces = np.array(halves, np.int64)
+            self._keep(np.array(new.places[i : i + 4096], np.int64), lines[lines != self.line_end], sizes)
+        if new.joined:
+            pieces = np.array(new.halves, np.int64)
             sizes = self.lengths[pieces].reshape(-1, 2).sum(axis=1)
-            self._keep(np.array(joined, np.int64), self._gather(pieces), sizes)
+            self._keep(np.array(new.joined, np.int64), self._gather(pieces), sizes)
+        for waiting in (new.words, new.places, new.joined, new.halves):
+            waiting.clear()
 
     def _keep(self, places: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while self.count[0] > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+        self.pool = _roomy(self.pool, self.used + len(ids))
+        self.starts = _roomy(self.starts, self.new.count)
+        self.lengths = _roomy(self.lengths, self.new.count)
         self.pool[self.used : self.used + len(ids)] = ids
         self.starts[places] = self.used + np.cumsum(sizes) - sizes
         self.lengths[places] = sizes
@@ -146,53 +158,49 @@ class Encoder:
     def _gather(self, places: np.ndarray) -> np.ndarray:
         """Ids of the words at these places, one after the other."""
         sizes = self.lengths[places]
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(sizes, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
         return self.pool[np.repeat(self.starts[places] - (ends - sizes), sizes) + np.arange(total)]
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and the number of ids of each. Null is empty."""
-        if self.count[0] > self.room:
+        """Ids of all texts one after the other, and the number of ids of each. Null is empty.
+
+        With an ``end_id`` every text ends with it.
+        """
+        if self.new.count > self.room:
             self._forget()
         places: list[int] = []
         words = np.zeros(len(texts), np.int64)
         whole: list[tuple[int, np.ndarray]] = []
         for k, text in enumerate(texts):
-            if not text:
-                continue
-            if not self.by_word or not _even(text):
-                ids = self._plain(text)
-                whole.append((k, np.array(ids, np.uint32)))
-                continue
             before = len(places)
-            for line in text.split("\n"):
-                first, *rest = line.split(" ")
-                places.append(self.first[first])
-                places.extend(map(self.other.__getitem__, rest))
-                places.append(0)  # the line end
-            places.pop()
+            if text and not (self.by_word and _even(text)):
+                whole.append((k, np.array(self._plain(text), np.uint32)))
+            elif text:
+                for line in text.split("\n"):
+                    first, *rest = line.split(" ")
+                    places.append(self.first[first])
+                    places.extend(map(self.other.__getitem__, rest))
+                    places.append(0)  # the line end
+                places.pop()
+            if self.end_id is not None:
+                places.append(1)
             words[k] = len(places) - before
         self._learn()
         at = np.fromiter(places, np.int64, len(places))
         ids = self._gather(at)
-        upto = np.concatenate([[0], np.cumsum(self.lengths[at])])[np.concatenate([[0], np.cumsum(words)])]
+        upto = np.concatenate([[0], np.cumsum(self.lengths[at], dtype=np.int64)])[np.concatenate([[0], np.cumsum(words)])]
         counts = np.diff(upto)
         if whole:
             parts, done = [], 0
             for k, one in whole:
                 parts += [ids[done : upto[k]], one]
                 done = upto[k]
-                counts[k] = len(one)
+                counts[k] += len(one)
             ids = np.concatenate([*parts, ids[done:]])
         return ids, counts
 
 
-def with_ends(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and counts with ``end_id`` after every document."""
-    stops = np.cumsum(counts)
-    return np.insert(ids, stops, end_id), counts + 1
-
-
 def _placed(folder: str) -> tuple[pa.fs.FileSystem, str]:
     """File system and path of a folder, given as a path or a URI."""
     return pa.fs.FileSystem.from_uri(folder) if re.match("[a-z0-9]+:", folder) else (pa.fs.LocalFileSystem(), folder)
@@ -215,7 +223,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     width = max(bits_for(vocabulary), bits_for(end_id + 1))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = remembered(tokenizer_path, lambda: Encoder(tokenizer_path))
+        encoder = remembered(tokenizer_path, lambda: Encoder(tokenizer_path, end_id=end_id))
         system, root = _placed(folder)
         name = f"tokens-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"
         system.create_dir(root, recursive=True)
@@ -223,11 +231,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
         with system.open_output_stream(f"{root}/{name}") as out:
             writer = PackedWriter(out, width)
             for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    rows = batch.slice(at, 512)
-                    ids, counts = with_ends(*encoder.encode(rows.column("text").to_pylist()), end_id)
-                    writer.append(rows.column("doc_id").to_pylist(), ids, counts)
-                    n_docs += rows.num_rows
+                ids, counts = encoder.encode(batch.column("text").to_pylist())
+                writer.append(batch.column("doc_id").to_pylist(), ids, counts)
+                n_docs += batch.num_rows
             writer.close()
         if not n_docs:
             system.delete_file(f"{root}/{name}")

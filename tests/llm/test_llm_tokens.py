@@ -19,14 +19,16 @@ def plain():
 
 
 @pytest.mark.parametrize("room", [1, 10_000])
-def test_encoder_equals_the_tokenizer(plain, room):
-    encoder = tokens.Encoder(str(tokens.default_tokenizer()), room)
+@pytest.mark.parametrize("end", [None, 0, 7])
+def test_encoder_equals_the_tokenizer(plain, room, end):
+    encoder = tokens.Encoder(str(tokens.default_tokenizer()), room, end)
+    after = [] if end is None else [end]
     assert encoder.by_word
     for _ in range(2):
         for batch in (TEXTS[:7], TEXTS[7:], TEXTS):
             ids, counts = encoder.encode(batch)
             got = np.split(ids, np.cumsum(counts)[:-1])
-            assert [g.tolist() for g in got] == [plain.encode(t or "", add_special_tokens=False).ids for t in batch]
+            assert [g.tolist() for g in got] == [plain.encode(t or "", add_special_tokens=False).ids + after for t in batch]
 
 
 def test_other_tokenizers_encode_whole_texts():
