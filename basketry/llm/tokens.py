@@ -117,16 +117,19 @@ class Encoder:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _forget(self) -> None:
-        self.new = _New(count=2)  # the first places are those of the line end and of a document's end
+        # The first places are those of the line end, of a document's end, of nothing and of a blank at
+        # a text's end: words that are empty can't be told apart in lines encoded together.
+        own = [[self.line_end] if self.by_word else [], [] if self.end_id is None else [self.end_id], [], self._plain(" ")]
+        self.new = _New()
         self.first = _Memo("", self.new)
         self.other = _Memo(" ", self.new, self.first)
+        self.first[""], self.other[""] = 2, 3
+        self.new.count = len(own)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int32)
         self.lengths = np.zeros(1 << 14, np.int32)
-        self.starts[1] = 1
-        self.lengths[:2] = self.by_word, self.end_id is not None
-        self.pool[:2] = self.line_end if self.by_word else 0, self.end_id or 0
-        self.used = 2
+        self.used = 0
+        self._keep(np.arange(len(own)), np.array(sum(own, []), np.uint32), np.array([len(x) for x in own]))
 
     def _learn(self) -> None:
         """Encode the waiting words, put them into the pool, and join those that have two pieces."""

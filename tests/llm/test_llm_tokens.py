@@ -31,6 +31,17 @@ def test_encoder_equals_the_tokenizer(plain, room, end):
             assert [g.tolist() for g in got] == [plain.encode(t or "", add_special_tokens=False).ids + after for t in batch]
 
 
+def test_encoder_equals_the_tokenizer_on_random_texts(plain):
+    pieces = ["a", "b", "The", " ", " ", "\n", ".", ",", "!", "'s", "'", "1", "é", "İ", "中", "\u0308", "\u200b", "\xa0", "#", "?", "_", "😀"]
+    rng = np.random.default_rng(1)
+    encoder = tokens.Encoder(str(tokens.default_tokenizer()), end_id=0)
+    for _ in range(1000):
+        texts = ["".join(rng.choice(pieces, rng.integers(0, 15))) for _ in range(4)]
+        ids, counts = encoder.encode(texts)
+        got = np.split(ids, np.cumsum(counts)[:-1])
+        assert [g.tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+
+
 def test_other_tokenizers_encode_whole_texts():
     import public_tokenizers
 
