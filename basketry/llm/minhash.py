@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ GROUPS = 12
 #: Hashes of a sketch that must agree before a pair is compared; at similarity 0.8 fewer than one pair
 #: in a million has so few.
 AGREE = 24
+#: Members up to which a bucket with unlike rows is gone through centre by centre; larger ones are split.
+FEW = 8
 #: Sets that are compared with as many others at a time.
 BLOCK = 64
 
@@ -110,20 +113,68 @@ def signatures(docs: DataFrame, shingle: int, width: int, groups: int) -> DataFr
     return stage(signed.withColumn("row", F.monotonically_increasing_id()))
 
 
-def _agreeing(pairs: DataFrame, classes: DataFrame, agree: int) -> DataFrame:
-    """The pairs (u, v) of classes whose sketches agree in ``agree`` hashes at least."""
-    left = classes.select(F.col("node").alias("u"), F.col("sketch").alias("_s"))
-    right = classes.select(F.col("node").alias("v"), F.col("sketch").alias("_r"))
+def _compared(pairs: DataFrame, kept: str) -> DataFrame:
+    """The ``kept`` columns of rows that hold two sketches (_s, _r), with the hashes ``agreed`` on."""
+    names = [c.split(" ")[0] for c in kept.split(", ")]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s, r = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8) for c in ("_s", "_r")]
             if not batch.num_rows:
                 continue
-            near = (s == r).reshape(batch.num_rows, -1).sum(axis=1) >= agree
-            yield batch.select(["u", "v"]).filter(pa.array(near))
+            agreed = (s == r).reshape(batch.num_rows, -1).sum(axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(agreed)], names=[*names, "agreed"])
+
+    return map_batches(pairs.select(*dict.fromkeys([*names, "_s", "_r"])), compare, f"{kept}, agreed int")
+
 
-    return map_batches(pairs.join(left, "u").join(right, "v").select("u", "v", "_s", "_r"), compare, "u long, v long")
+def _agreements(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (u, v) of classes with the number of hashes in which their sketches agree."""
+    left = classes.select(F.col("node").alias("u"), F.col("sketch").alias("_s"))
+    right = classes.select(F.col("node").alias("v"), F.col("sketch").alias("_r"))
+    return _compared(pairs.join(left, "u").join(right, "v"), "u long, v long")
+
+
+def _recentred(members: DataFrame, met: DataFrame, classes: DataFrame, hashes: int, agree: int) -> list[DataFrame]:
+    """Agreements of bucket members that an unlike centre left untested, a staged table (u, v) a round.
+
+    ``members``: key, node, center, n (rows of the bucket); ``met``: the agreements with those centres. A
+    member that agrees with its centre in more than half of the hashes beyond ``agree`` is settled; all
+    others of a bucket in which the centre rejects a row meet the smallest of them as a new centre, until
+    each is settled, hangs together with the rest or is alone. A bucket of more than ``FEW`` rows is split
+    by one further hash a round, so unlike rows part and no bucket is ever compared pair by pair. At most
+    ``hashes`` splits leave equal sketches, which are settled, so the rounds end.
+    """
+    settled = agree + (hashes - agree) // 2
+    unlike = met.filter(F.col("agreed") < settled)
+    if unlike.filter(F.col("agreed") < agree).isEmpty():
+        return []
+    loose = stage(
+        members.join(unlike, (F.col("node") == F.col("u")) & (F.col("center") == F.col("v"))).select(
+            "key", "node", "n", (F.col("agreed") < agree).alias("open")
+        )
+    )
+    headed = loose.join(loose.filter("open").select("key").distinct(), "key", "left_semi")
+    rest = headed.join(classes.select("node", "sketch"), "node").withColumn("at", F.pmod("key", F.lit(hashes)).cast("long"))
+    rounds: list[DataFrame] = []
+    while True:
+        at = F.pmod(F.col("at") + len(rounds), F.lit(hashes)).cast("int") + 1
+        split = F.xxhash64("key", F.substring("sketch", at, F.lit(1)))
+        key = F.when(F.col("n") > FEW, split).otherwise(F.col("key"))
+        rest = stage(rest.select(key.alias("key"), "node", "at", "open", "sketch"))
+        heads = rest.groupBy("key").agg(
+            F.min(F.struct("node", "sketch")).alias("head"), F.count(F.lit(1)).alias("n"), F.max("open").alias("_any")
+        )
+        heads = heads.filter("n > 1 and _any").select("key", F.col("head.node").alias("center"), F.col("head.sketch").alias("_r"), "n")
+        paired = rest.join(heads, "key").filter("node <> center").withColumnRenamed("sketch", "_s")
+        found = stage(_compared(paired, "key long, node long, center long, n long, at long, _s binary"))
+        if found.isEmpty():
+            return rounds
+        near = found.filter(F.col("agreed") >= agree)
+        rounds.append(near.select(F.col("node").alias("u"), F.col("center").alias("v")).distinct())
+        rest = found.filter(F.col("agreed") < settled).select(
+            "key", "node", "n", "at", (F.col("agreed") < agree).alias("open"), F.col("_s").alias("sketch")
+        )
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -158,15 +209,20 @@ def near_duplicates(
     Tables are tensored: with two collections of ``groups`` half keys, each made of ``width``
     minimum hashes, every pair of a half key of the first and one of the second is the key of a table.
     groups**2 tables of 2 * width hashes so need 2 * groups * width hashes instead of groups**2 times
-    that. Two sets of similarity s meet in some table unless all half keys of a collection differ:
-    with the defaults one pair in 100,000 at s = 0.8 is missed, one in 200 million at 0.9.
+    that. Two sets of similarity s share some table unless all half keys of a collection differ:
+    with the defaults one pair in 100,000 at s = 0.8 shares none, one in 200 million at 0.9.
 
     * Documents with equal sets form a class at once, by a 128-bit fingerprint combined in the tasks.
-    * In each bucket all classes are paired with its smallest (no all-pairs), pairs whose sketches
-      agree are confirmed on the whole sets of both texts, and links give components.
+    * In each bucket all classes are paired with its smallest (no all-pairs). Members that this centre
+      rejects, or to which it is only half alike, get new centres among themselves (``_recentred``).
+      Pairs whose sketches agree are confirmed on the whole sets of both texts, and links give components.
     * Candidates that hang together but still lie in several components are compared in blocks, each
-      class outside the largest component with all others, so no pair that could join components
-      goes untested.
+      class outside the largest component with all others.
+
+    So a pair goes untested only if it shares no table, or if every bucket it shares has more than
+    ``FEW`` unlike rows and one of the further hashes that split these parts the pair (each with a chance
+    of 1 - s; a pair at 0.8 shares 59 of the 144 buckets on average), or by a settled row whose partner
+    the same centre rejects, which takes an agreement of the two far below their similarity.
 
     Texts move once, and only those of candidates are kept. Returns doc_id, ``n_shingles``,
     ``component_id`` (smallest doc_id in the component), ``_t`` (hash of the text) and ``first`` (true
@@ -192,11 +248,15 @@ def near_duplicates(
     tables = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))
     keys = classes.select("node", F.explode(tables).alias("key"))
     buckets = stage(
-        keys.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        keys.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     )
     members = keys.join(buckets, "key").filter("node <> center")
     stars = members.select(F.col("node").alias("u"), F.col("center").alias("v")).distinct()
-    candidates = stage(_agreeing(stars, classes, agree))
+    met = stage(_agreements(stars, classes))
+    candidates = met.filter(F.col("agreed") >= agree).select("u", "v")
+    more = _recentred(members, met, classes, 2 * groups * width, agree)
+    if more:
+        candidates = stage(reduce(DataFrame.union, more, candidates).distinct())
 
     wanted = candidates.select(F.col("u").alias("node")).union(candidates.select(F.col("v").alias("node"))).distinct()
     places = wanted.join(classes, "node").select(

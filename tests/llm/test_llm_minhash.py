@@ -75,6 +75,17 @@ def test_components_that_a_star_leaves_apart_are_joined(spark):
     assert got and got <= want and {tuple(sorted(p)) for p in got} == {(2, 3)}
 
 
+def test_unlike_rows_that_head_the_shared_buckets_hide_no_link(documents):
+    """Every bucket that a pair shares is headed by smaller rows like neither."""
+    rng = random.Random(400)
+    pool = [f"p{i}" for i in range(60)]
+    heads = [" ".join([*rng.sample(pool, 20), *(f"h{k}x{i}" for i in range(36))]) for k in range(400)]
+    pairs = [" ".join([*pool, *(f"q{k}{j}x{i}" for i in range(5))]) for k in range(5) for j in range(2)]
+    rows = list(enumerate([*heads, *pairs]))
+    got = minhash.near_duplicates(documents(rows), shingle=1, width=1, agree=12).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute(rows, 1)
+
+
 def test_blocks_link_as_pairs_do():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**60, 60, dtype=np.uint64)
