@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm.shared import blank_words, map_batches, mix, n_words, running_totals, stage
+from basketry.llm.shared import map_batches, mix, n_words, running_totals, stage
 
 #: Words of a block, blocks of an output shard, and how often a document may be taken at most.
 BLOCK = 128
@@ -22,6 +23,8 @@ MAX_SOURCES = 100_000
 
 SEED = 20_011
 
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
 
 @dataclass(frozen=True)
 class Source:
@@ -232,12 +235,40 @@ def mixture(
     return Mixture(sources, rows, pieces.join(slots, ["src", "block"]))
 
 
+def runs_of(ranges: Sequence[dict]) -> list[tuple[int, int]]:
+    """Ranges (first, words) in order, as (first word, end) with those that follow each other joined."""
+    runs: list[tuple[int, int]] = []
+    for r in ranges:
+        first, end = r["first"], r["first"] + r["words"]
+        if runs and runs[-1][1] == first:
+            runs[-1] = (runs[-1][0], end)
+        else:
+            runs.append((first, end))
+    return runs
+
+
+def mixed_passages(docs: DataFrame, **options) -> DataFrame:
+    """The mix as rows of ``docs``: one per run of blocks taken of a document in a pass.
+
+    ``text`` is cut out of the document from the first to the last word of the run, with all white space
+    in between, and ``n_chars`` its length; other columns stay. Blocks that don't follow each other give
+    rows of their own, so every text is a substring of its document. A document of which nothing is
+    taken is left out.
+    """
+    return _cut(docs, True, options)
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as rows of ``docs``: one per document and pass, with the words taken in that pass.
 
-    ``text`` holds those words, joined by single blanks, and ``n_chars`` its length; other columns
-    stay. A document of which nothing is taken is left out; one taken twice gives two rows.
+    ``text`` holds the passages of ``mixed_passages`` with a single blank between those that don't follow
+    each other, and ``n_chars`` its length; other columns stay. A document of which nothing is taken is
+    left out; one taken twice gives two rows.
     """
+    return _cut(docs, False, options)
+
+
+def _cut(docs: DataFrame, apart: bool, options: dict) -> DataFrame:
     keyed = docs.withColumn("_mix_text", F.xxhash64(*docs.columns))
     found = mixture(keyed, carry=["_mix_text"], **options).taken
     ranges = found.groupBy(F.col("doc_id").alias("_mix_doc"), "_mix_text", "start", "pass").agg(
@@ -255,12 +286,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         for batch in batches:
             rows, texts, sizes = [], [], []
             for k, (text, passes) in enumerate(zip(batch.column("text").to_pylist(), batch.column("_mix_all").to_pylist(), strict=True)):
-                words = blank_words(text)
+                whole = text.encode("utf-8", "surrogatepass")
+                words = [m.span() for m in _WORD.finditer(whole)]
                 for ranges in passes:
-                    line = b" ".join(w for r in ranges for w in words[r["first"] : r["first"] + r["words"]]).decode("utf-8", "surrogatepass")
-                    rows.append(k)
-                    texts.append(line)
-                    sizes.append(len(line))
+                    found = [whole[words[first][0] : words[end - 1][1]] for first, end in runs_of(ranges)]
+                    for passage in found if apart else [b" ".join(found)]:
+                        line = passage.decode("utf-8", "surrogatepass")
+                        rows.append(k)
+                        texts.append(line)
+                        sizes.append(len(line))
             taken = batch.take(pa.array(rows, pa.int64()))
             columns = list(taken.columns)
             columns[text_at] = pa.array(texts, pa.string())

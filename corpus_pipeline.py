@@ -27,8 +27,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes, a row per document and pass."""
-    return mixing.mixed_documents(docs)
+    """The passages that the mix takes, as they stand in their documents."""
+    return mixing.mixed_passages(docs)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from basketry.llm import mixing
 
 
@@ -82,6 +83,35 @@ def test_mixed_documents_hold_the_taken_words(corpus):
     assert got.filter(F.length("text") != F.col("n_chars")).isEmpty()
 
 
+def test_mixed_passages_are_substrings_of_their_documents(documents):
+    rng = np.random.default_rng(9)
+    gaps = [" ", "\n", "\n\n    ", "\t", "  ", "\r\n"]
+    rows = [(i, "\n" + "".join(f"d{i}w{k}é" + gaps[g] for k, g in enumerate(rng.integers(0, 6, int(rng.integers(0, 90))).tolist())), "ab"[i % 2]) for i in range(120)]
+    docs, texts = documents(rows), {i: t for i, t, _ in rows}
+    taken = {}
+    for r in mixing.mixture(docs, block=16, shard_blocks=32).taken.collect():
+        taken.setdefault((r.doc_id, r["pass"]), []).append((r.first, r.words))
+    want = []
+    for (i, _), ranges in taken.items():
+        held = sorted(f + k for f, n in ranges for k in range(n))
+        starts = [k for k in held if k - 1 not in held]
+        for k in starts:
+            end = next(e for e in range(k, len(texts[i])) if e + 1 not in held)
+            want.append((i, texts[i][texts[i].index(f"d{i}w{k}é") : texts[i].index(f"d{i}w{end}é") + len(f"d{i}w{end}é")]))
+    got = mixing.mixed_passages(docs, block=16, shard_blocks=32)
+    assert got.columns == docs.columns and got.filter(F.length("text") != F.col("n_chars")).isEmpty()
+    found = sorted((r.doc_id, r.text) for r in got.collect())
+    assert found == sorted(want) and all(t in texts[i] for i, t in found)
+    assert len(found) > len(taken) and any("\n\n    " in t for _, t in found)
+
+
+def test_the_pipeline_mixes_passages(spark, documents):
+    rows = [(i, "\n\n".join(f"line {k} of {i}\n    kept" for k in range(20)), "a") for i in range(30)]
+    texts = {i: t for i, t, _ in rows}
+    got = corpus_pipeline.mix_sources(spark, documents(rows), "").collect()
+    assert got and all(r.text in texts[r.doc_id] for r in got)
+
+
 def test_shards_follow_the_shares(spark):
     sources = [mixing.Source("a", 1, 1.0, 4000, 8000), mixing.Source("b", 1, 1.0, 9000, 2000)]
     rows = mixing.draw(spark, sources, shard_blocks=500).groupBy("shard").agg(F.count_if(F.col("src") == 0).alias("a"), F.count("*").alias("n")).collect()
