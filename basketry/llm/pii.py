@@ -32,6 +32,7 @@ ENDINGS = {
 
 _TITLE = "(?:" + "|".join(t for titles in TITLES.values() for t in titles) + ")\\.?"
 _SECRET = "(?i:password|passwd|secret|token|api_?key)\\s{0,2}[=:]\\s{0,2}[\"']?"
+_COUNTRY = "(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 #: Kinds of entities with the Java patterns that find them, in the order in which they are tried. A
@@ -90,12 +91,18 @@ def _gender(e: Column) -> Column:
     return form
 
 
+def _country(e: Column) -> Column:
+    """Digits of the country code of a phone number: none without plus sign; no code begins another."""
+    digits = F.regexp_replace(e, "[^0-9]", "")
+    return F.when(e.startswith("+"), F.length(F.regexp_extract(digits, f"^{_COUNTRY}", 0))).otherwise(0)
+
+
 def _canonical(kind: Column, e: Column) -> Column:
-    """What mentions of the same entity share: digits of numbers, lower case of addresses."""
+    """What mentions of the same entity share: digits of numbers (of phones without country), lower case of addresses and names."""
     digits = F.regexp_replace(e, "[^0-9]", "")
     return (
-        F.when(kind == "email", F.lower(e))
-        .when(kind == "phone", F.right(digits, F.lit(10)))
+        F.when(kind.isin("email", "name"), F.lower(e))
+        .when(kind == "phone", F.substring(digits, _country(e) + 1, F.length(digits)))
         .when(kind.isin("card", "ssn"), digits)
         .when(kind == "iban", F.replace(e, F.lit(" "), F.lit("")))
         .otherwise(e)
@@ -107,11 +114,15 @@ def _byte(h: Column, at: Column) -> Column:
     return F.conv(F.substring(h, (at % _CHARACTERS * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
 
 
-def _letters(h: Column, text: Column, first: Column | int = 0) -> Column:
-    """Every ASCII letter and digit replaced by one of its class and case; the rest stays."""
+def _letters(h: Column, text: Column, ranked: bool = False) -> Column:
+    """Every ASCII letter and digit replaced by one of its class and case; the rest stays.
+
+    Places are counted over all characters, or (``ranked``, for short texts) over letters and digits only.
+    """
 
     def one(c: Column, i: Column) -> Column:
-        b = _byte(h, i + first)
+        rank = F.length(F.regexp_replace(F.substring(text, F.lit(1), i.cast("int")), "[^A-Za-z0-9]", ""))
+        b = _byte(h, rank if ranked else i)
         return (
             F.when(c.rlike("[0-9]"), (b % 10).cast("string"))
             .when(c.rlike("[a-z]"), F.char(b % 26 + 97))
@@ -223,15 +234,14 @@ def _surrogate(s: Column, attempt: Column, key: str) -> Column:
     h = F.sha2(F.concat_ws("|", F.lit(key), kind, s["canonical"], attempt.cast("string")), 512)
     hexadecimal = e.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
     more = F.when(attempt > 4, attempt.cast("string")).otherwise("")
-    country = F.length(F.regexp_extract(e, "^\\+([0-9]{1,3})[ .(-]", 1))
     return (
         F.when(kind == "email", F.concat(more, _email(h, e, key)))
-        .when(kind == "phone", _digits(h, e, country))
+        .when(kind == "phone", _digits(h, e, _country(e)))
         .when(kind == "ssn", _digits(h, e))
         .when(kind == "card", _card(h, e))
         .when(kind == "ip", _ip(h, e))
         .when(kind == "key", F.concat(F.lit("AKIA"), _letters(h, F.substring(e, 5, 16))))
-        .when(kind == "iban", F.concat(F.substring(e, 1, 2), _letters(h, F.substring(e, F.lit(3), F.length(e)))))
+        .when(kind == "iban", F.concat(F.substring(e, 1, 2), _letters(h, F.substring(e, F.lit(3), F.length(e)), ranked=True)))
         .when(kind == "name", F.concat(_name(e, s["gender"], attempt, key), more))
         .otherwise(F.concat(F.when(hexadecimal, _hex(h, e)).otherwise(_letters(h, e)), more))
     )
@@ -247,22 +257,34 @@ def _entities(text: Column) -> Column:
     )
     return F.transform(
         valued,
-        lambda s: F.struct(s["whole"], s["kind"], s["e"], _canonical(s["kind"], s["e"]).alias("canonical"), s["gender"]),
+        lambda s: F.struct(
+            s["whole"], s["kind"], s["e"], _gendered(_canonical(s["kind"], s["e"]), s["e"], s["kind"], s["gender"]).alias("canonical"), s["gender"]
+        ),
     )
 
 
+def _gendered(canonical: Column, e: Column, kind: Column, gender: Column) -> Column:
+    """The canonical form, for a full name under a title of a gender with this gender."""
+    full = (kind == "name") & (gender != "n") & e.contains(" ")
+    return F.when(full, F.concat(canonical, F.lit("|"), gender)).otherwise(canonical)
+
+
+def _plain(kind: Column, canonical: Column) -> Column:
+    return F.when(kind == "name", F.regexp_replace(canonical, "\\|[mf]$", "")).otherwise(canonical)
+
+
 def collisions(entities: DataFrame, key: str) -> DataFrame:
     """Entities whose first surrogate is taken, with the attempt that gives them one of their own.
 
     ``entities``: distinct kind, canonical, e, gender. A surrogate is taken if an entity of the kind
-    is called so, or if another entity with a smaller canonical form has it. Rounds go on until all
+    is called so (under whatever title), or if another entity with a smaller canonical form has it. Rounds go on until all
     surrogates are distinct.
     """
     state = stage(entities.withColumn("attempt", F.lit(0)))
-    real = entities.select(F.col("kind").alias("_k"), F.col("canonical").alias("_made")).distinct()
+    real = entities.select(F.col("kind").alias("_k"), _plain(F.col("kind"), F.col("canonical")).alias("_made")).distinct()
     while True:
         s = F.struct("kind", "e", "canonical", "gender")
-        made = state.withColumn("made", _surrogate(s, F.col("attempt"), key))
+        made = stage(state.withColumn("made", _surrogate(s, F.col("attempt"), key)))
         made = made.withColumn("_made", _canonical(F.col("kind"), F.col("made")))
         owner = made.groupBy(F.col("kind").alias("_k"), "_made").agg(
             F.min(F.struct("attempt", "canonical")).alias("owner"), F.count(F.lit(1)).alias("n")
@@ -293,7 +315,8 @@ def replaced(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     Kinds: email, phone, ip, card, ssn, iban, key (cloud access key), secret (value after password,
     token and the like) and name (after a title). The surrogate follows from key, kind and the entity's
     canonical form: equal entities agree everywhere, also in other formats; case, separators, country
-    code, check digit, script and gender are kept. Distinct entities get distinct surrogates: the
+    code, check digit, script and gender are kept. A full name under titles of both genders is two
+    entities; under a title without gender it is the one with a gender, if there is just one such. Distinct entities get distinct surrogates: the
     distinct entities, counted in the tasks first, are checked for collisions, and the few entities
     that need another attempt are joined to the documents that hold them, by the listed mentions. Spark picks the join by
     the size of what was written; without collisions texts don't move.
@@ -307,20 +330,39 @@ def replaced(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     listed = stage(
         rows.select(*keys, F.explode("_pii_found").alias("s")).select(*keys, "s.kind", "s.canonical", "s.e", "s.gender")
     )
+    named = listed.filter("kind = 'name'").groupBy(_plain(F.col("kind"), F.col("canonical")).alias("_name"))
+    genders = named.agg(*[F.max(F.col("canonical").endswith(f"|{g}")).alias(f"_{g}") for g in "mf"])
+    settled = genders.filter("_m <> _f").select(
+        F.lit("name").alias("kind"), F.col("_name").alias("canonical"), F.when(F.col("_m"), "m").otherwise("f").alias("_settled")
+    )
+    listed = listed.join(stage(settled), ["kind", "canonical"], "left").select(
+        *keys,
+        "kind",
+        F.concat_ws("|", "kind", "canonical").alias("_mention"),
+        F.concat_ws("|", "canonical", "_settled").alias("canonical"),
+        "e",
+        F.coalesce("_settled", "gender").alias("gender"),
+        "_settled",
+    )
+    listed = stage(listed)
     distinct = stage(listed.groupBy("kind", "canonical").agg(F.min("e").alias("e"), F.max("gender").alias("gender")))
     touched = (
-        listed.join(collisions(distinct, key), ["kind", "canonical"])
-        .select(*keys, "kind", "canonical", "attempt")
+        listed.join(collisions(distinct, key), ["kind", "canonical"], "left")
+        .filter("attempt > 0 or _settled is not null")
+        .select(*keys, "_mention", F.struct(F.coalesce("attempt", F.lit(0)).alias("attempt"), "_settled").alias("fix"))
         .distinct()
         .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canonical"), "attempt"))).alias("_pii_fix"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("_mention", "fix"))).alias("_pii_fix"))
     )
     met = rows.join(stage(touched), [*keys], "left")
 
     def swapped(s: Column) -> Column:
-        attempt = F.coalesce(F.try_element_at("_pii_fix", F.concat_ws("|", s["kind"], s["canonical"])), F.lit(0))
+        fix = F.try_element_at("_pii_fix", F.concat_ws("|", s["kind"], s["canonical"]))
+        attempt = F.coalesce(fix["attempt"], F.lit(0))
+        gender = F.coalesce(fix["_settled"], s["gender"])
         word = F.substring(s["whole"], F.lit(1), F.length(s["whole"]) - F.length(s["e"]))
-        return F.concat(word, _surrogate(s, attempt, key))
+        settled = F.struct(s["kind"].alias("kind"), s["e"].alias("e"), F.concat_ws("|", s["canonical"], fix["_settled"]).alias("canonical"), gender.alias("gender"))
+        return F.concat(word, _surrogate(settled, attempt, key))
 
     made = F.concat(F.transform("_pii_found", swapped), F.array(F.lit("")))
     parts = F.split(text, PATTERN, -1)

@@ -58,6 +58,34 @@ def test_mentions_in_other_formats_agree(documents):
     assert words[1] == words[2] == words[3] == words[5] and words[4] == words[0].upper()
 
 
+def test_all_forms_of_an_entity_agree(documents):
+    texts = [
+        "+15551234567 / +1 555 123 4567 / +1 (555) 123-4567 / (555) 123-4567", "+442079460958 / +44 20 7946 0958",
+        "DE89370400440532013000 / DE89 3704 0044 0532 0130 00", "Mrs Kim Lee / Dr Kim Lee / Dr. KIM Lee / Mrs. Kim LEE",
+    ]
+    phones, british, ibans, names = (t.split(" / ") for t, _ in run(documents, texts))
+    numbers = [re.sub("[^0-9]", "", p) for p in phones]
+    assert {n[-10:] for n in numbers} == {numbers[3]} and all(n[0] == "1" for n in numbers[:3]) and numbers[3] != "5551234567"
+    assert british[0].startswith("+44") and british[0] == british[1].replace(" ", "") != "+442079460958"
+    assert ibans[0] == ibans[1].replace(" ", "") and ibans[0].startswith("DE") and ibans[0] != "DE89370400440532013000"
+    assert len({n.split(" ", 1)[1].lower() for n in names}) == 1
+    assert re.search(r"(na|lia|ra) \w+$", names[1])
+
+
+def test_every_gender_of_a_name_is_checked(documents, monkeypatch):
+    seen = []
+    check = pii.collisions
+
+    def checked(entities, key):
+        seen.extend((r.canonical.split("|")[0], r.gender) for r in entities.collect())
+        return check(entities, key)
+
+    monkeypatch.setattr(pii, "collisions", checked)
+    texts = [t for t, _ in run(documents, ["Mr Kim Lee", "Mrs Kim Lee", "Dr Kim Lee", "Dr Ann Low", "Mrs Ann Low"])]
+    assert sorted(seen) == [("ann low", "f"), *(("kim lee", g) for g in "fmn")]
+    assert len({t.split(" ", 1)[1] for t in texts}) == 4
+
+
 def test_gender_and_script(documents):
     male, female, cyrillic = (t for t, _ in run(documents, ["Mr Kim Lee", "Mrs Kim Lee", "Господин Иван Иванов"]))
     assert re.search(r"(n|rd|s) \w+$", male) and re.search(r"(na|lia|ra) \w+$", female)
