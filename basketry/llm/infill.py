@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm.shared import map_batches
+from basketry.llm.shared import map_batches, portions
 
 #: Marks before the prefix, the suffix and the middle.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
@@ -26,19 +26,6 @@ _BETWEEN = b"\xff"
 _BYTES = 32 << 20
 
 
-def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch that hold at most ``_BYTES`` of text, or a single row."""
-    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-    at, held = 0, 0
-    for row, size in enumerate(sizes.tolist()):
-        if row > at and held + size > _BYTES:
-            yield batch.slice(at, row - at)
-            at, held = row, 0
-        held += size
-    if at < batch.num_rows:
-        yield batch.slice(at)
-
-
 def unit_lists(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
     """Units of all texts as a list array of bytes, each list with an empty one at its end, and their number."""
     marked = pc.replace_substring_regex(texts.cast(pa.large_binary()), pattern=_UNIT, replacement=b"\\0" + _BETWEEN)
@@ -125,7 +112,7 @@ def fill_in_middle(docs: DataFrame, seed: int | str = 42, rate: int = 50, spm: i
 
     def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for portion in _portions(batch):
+            for portion in portions(batch, _BYTES):
                 yield _transformed(portion)
 
     return map_batches(

@@ -14,6 +14,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -129,6 +130,19 @@ def map_batches(df: DataFrame, function: Callable, schema: T.StructType | str, k
     return df.mapInArrow(in_slices, schema)
 
 
+def portions(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold at most so many bytes of text, or a single row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+    at, held = 0, 0
+    for row, size in enumerate(sizes):
+        if row > at and held + size > most:
+            yield batch.slice(at, row - at)
+            at, held = row, 0
+        held += size
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to shared storage and read it back; a lost executor then costs a re-read."""
     path = staging_folder(df.sparkSession)

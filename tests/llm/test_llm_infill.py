@@ -1,10 +1,12 @@
 import hashlib
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from basketry.llm import infill
+from basketry.llm.shared import portions
 
 UNIT = re.compile("[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
 
@@ -49,14 +51,11 @@ def test_odd_rows(odd, nothing, monkeypatch):
     assert infill.fill_in_middle(nothing).collect() == []
 
 
-def test_portions_hold_all_rows(monkeypatch):
-    import pyarrow as pa
-
-    monkeypatch.setattr(infill, "_BYTES", 10)
+def test_portions_hold_all_rows():
     texts = ["x" * 30, None, "", "abc", "defghij", "k", "l" * 11, "m"]
-    portions = list(infill._portions(pa.RecordBatch.from_pydict({"text": texts})))
-    assert [t for p in portions for t in p.column("text").to_pylist()] == texts and len(portions) == 5
-    assert list(infill._portions(pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())}))) == []
+    got = list(portions(pa.RecordBatch.from_pydict({"text": texts}), 10))
+    assert [t for p in got for t in p.column("text").to_pylist()] == texts and len(got) == 5
+    assert list(portions(pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())}), 10)) == []
 
 
 def test_texts_are_not_shuffled(spark, tiny):
