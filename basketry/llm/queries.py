@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import decontamination, infill, licenses, lines, minhash, mixing, periods, pii, quality, sharding, substrings, tokens
+from basketry.llm import decontamination, infill, licenses, lines, minhash, mixing, packing, periods, pii, quality, sharding, substrings, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         decontamination.op8_benchmark_hits,
         sharding.op9_stratified_interleaving,
         substrings.op10_repeated_passages,
+        packing.op11_packed_sequences,
         periods.op12_periodic_runs,
         infill.op13_fill_in_middle,
     ]
