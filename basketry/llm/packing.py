@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-from collections import ChainMap
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -26,44 +25,138 @@ EACH = 100_000
 FAN = 8
 SLACK = 16
 
-# Words that an encoder remembers, the longest of them, and bytes of text encoded at a time.
-_ROOM = 1_000_000
-_LONGEST = 64
+# Words that an encoder remembers, words encoded together, and bytes of text encoded at a time.
+_ROOM = 1_200_000
+_TOGETHER = 2048
 _BYTES = 8 << 20
 
+# Pieces that leave a task together.
+_PIECES = 4096
+
+# Control characters at which str.split splits, though they are no white space.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+# Punctuation, and letters (lower-cased: letters too) after which it always begins a piece of the tokenizer.
+_PUNCTUATION = ".,;:!?*#&%$"
+_LETTERS = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() and c.lower().isalpha() and c not in "\xaa\xb5\xba")
+
+
+class _Places(dict):
+    """Places of words; a new word gets the next one and waits to be encoded, or joined from two others."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.words: list[str] = []
+        self.at: list[int] = []
+        self.joined: list[tuple[int, int, int]] = []
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        if word[-1:] in _PUNCTUATION:
+            stem = word.rstrip(_PUNCTUATION)
+            if stem and stem[-1] in _LETTERS:
+                self.joined.append((place, self[stem], self[word[len(stem) :]]))
+                return place
+        self.words.append(word)
+        self.at.append(place)
+        return place
+
 
 class WordEncoder:
     """Encodes texts with a tokenizer that drops white space, every distinct word only once.
 
-    Such a tokenizer gives a text the ids of its words between ASCII blanks, one after the other; other
-    white space stays in a word and is dropped there. At most ``_ROOM`` words are remembered.
+    Such a tokenizer gives a text the ids of its words, one after the other, and begins a piece where
+    punctuation follows a letter. New words are encoded many at a time, told apart by a special token
+    between them. At most about ``_ROOM`` words are remembered.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, between: str = "<|startoftext|>"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        blank, apart, together = self._ids([" ", "a b", " a\t\r\nb\n"])
-        if blank or apart != together or apart != sum(self._ids(["a", "b"]), []):
-            raise ValueError("the tokenizer keeps white space")
-        self.known: dict[bytes, bytes] = {}
-
-    def _ids(self, texts: Sequence[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: Sequence[str | None], end_id: int) -> list[bytes]:
-        """The ids of each text (null: empty) and ``end_id``, as little-endian unsigned 32-bit integers."""
-        if len(self.known) > _ROOM:
-            self.known.clear()
-        lists = [blank_words(t) for t in texts]
-        new = list({w for words in lists for w in words if w not in self.known})
-        passing: dict[bytes, bytes] = {}
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for word, ids in zip(some, self._ids([w.decode("utf-8", "replace") for w in some]), strict=True):
-                (self.known if len(word) <= _LONGEST else passing)[word] = np.array(ids, "<u4").tobytes()
-        known = ChainMap(self.known, passing) if passing else self.known
-        end = end_id.to_bytes(4, "little")
-        return [b"".join(map(known.__getitem__, words)) + end for words in lists]
+        self.between = between
+        self.between_id = self.tokenizer.token_to_id(between)
+        a, b = self._ids("a"), self._ids("b.")
+        if self.between_id is None or self._ids(" a\t\r\nb. ") != a + b or self._ids(f"a{between}b.") != [*a, self.between_id, *b]:
+            raise ValueError("the tokenizer keeps white space or lacks the special token")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places = _Places()
+        self.pool = np.empty(0, np.uint32)
+        self.starts = np.empty(0, np.int64)
+        self.lengths = np.empty(0, np.int64)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _learn(self) -> None:
+        """Encode the waiting words, and put together those that have two parts."""
+        new = self.places
+        if not new.words and not new.joined:
+            return
+        alone = [k for k, w in enumerate(new.words) if "<|" in w]
+        chosen = set(alone)
+        order = [k for k in range(len(new.words)) if k not in chosen]
+        at, ids, sizes = [], [], []
+        for i in range(0, len(order), _TOGETHER):
+            some = order[i : i + _TOGETHER]
+            found = np.array(self._ids(self.between.join([new.words[k] for k in some])), np.uint32)
+            cuts = np.flatnonzero(found == self.between_id)
+            if len(cuts) != len(some) - 1:
+                raise ValueError("the tokenizer joins the special token with other text")
+            sizes.append(np.diff(np.concatenate([[-1], cuts, [len(found)]])) - 1)
+            ids.append(found[found != self.between_id])
+            at += [new.at[k] for k in some]
+        for k in alone:
+            ids.append(np.array(self._ids(new.words[k]), np.uint32))
+            sizes.append(np.array([len(ids[-1])]))
+            at.append(new.at[k])
+        self._keep(np.array(at, np.int64), np.concatenate([np.empty(0, np.uint32), *ids]), np.concatenate([np.empty(0, np.int64), *sizes]))
+        if new.joined:
+            parts = np.array(new.joined, np.int64)
+            self._keep(parts[:, 0], self._gather(parts[:, 1:].ravel()), self.lengths[parts[:, 1:]].sum(axis=1))
+        new.words.clear()
+        new.at.clear()
+        new.joined.clear()
+
+    def _keep(self, at: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        longer = len(self.places) - len(self.starts)
+        if longer > 0:
+            self.starts = np.append(self.starts, np.zeros(longer, np.int64))
+            self.lengths = np.append(self.lengths, np.zeros(longer, np.int64))
+        self.starts[at] = len(self.pool) + np.cumsum(sizes) - sizes
+        self.lengths[at] = sizes
+        self.pool = np.append(self.pool, ids)
+
+    def _gather(self, places: np.ndarray) -> np.ndarray:
+        """Ids of the words at these places, one after the other."""
+        sizes = self.lengths[places]
+        shift = self.starts[places] - (np.cumsum(sizes) - sizes)
+        return self.pool[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))]
+
+    def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and the number of ids of each. Null is empty."""
+        if len(self.places) > _ROOM:
+            self._forget()
+        found: list[int] = []
+        words = []
+        for text in texts:
+            before = len(found)
+            found += map(self.places.__getitem__, _words(text))
+            words.append(len(found) - before)
+        self._learn()
+        at = np.array(found, np.int64)
+        upto = np.concatenate([[0], np.cumsum(self.lengths[at])])
+        return self._gather(at), np.diff(upto[np.concatenate([[0], np.cumsum(words, dtype=np.int64)])])
+
+
+def _words(text: str | None) -> list[str]:
+    """Words between white space, which the tokenizer drops."""
+    if not text:
+        return []
+    if any(c in text for c in _SEPARATORS):
+        return [w.decode("utf-8", "replace") for w in blank_words(text)]
+    return text.split()
 
 
 def encoded_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -79,19 +172,30 @@ def encoded_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for portion in portions(batch, _BYTES):
-                documents = encoder.encode(portion.column("text").to_pylist(), end_id)
-                sizes = np.array([len(d) // 4 for d in documents], np.int64)
-                counts = -(-sizes // capacity)
-                of = np.repeat(np.arange(len(sizes)), counts)
-                piece = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+                ids, counts = encoder.encode(portion.column("text").to_pylist())
+                sizes = counts + 1
+                ends = np.cumsum(sizes)
+                every = np.full(int(ends[-1]), end_id, "<u4")
+                inner = np.ones(len(every), bool)
+                inner[ends - 1] = False
+                every[inner] = ids
+                pieces = -(-sizes // capacity)
+                of = np.repeat(np.arange(len(sizes)), pieces)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
                 start = piece * capacity
                 length = np.minimum(sizes[of] - start, capacity)
-                ids = [documents[d][4 * s : 4 * e] for d, s, e in zip(of.tolist(), start.tolist(), (start + length).tolist(), strict=True)]
-                made = (piece.astype(np.int32), start, length, ids, row + np.arange(len(of)))
-                yield pa.RecordBatch.from_arrays(
-                    [portion.column("doc_id").take(pa.array(of)), *map(pa.array, made)],
-                    names=["doc_id", "piece", "start", "length", "ids", "row"],
-                )
+                numbers = row + np.arange(len(of))
+                doc = portion.column("doc_id").take(pa.array(of))
+                at = np.concatenate([[0], np.cumsum(length)])
+                for i in range(0, len(of), _PIECES):
+                    part = slice(i, i + _PIECES)
+                    cuts = at[i : i + _PIECES + 1] - at[i]
+                    of_part = pa.py_buffer(every[at[i] : at[i] + cuts[-1]])
+                    held = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((4 * cuts).astype(np.int32)), of_part])
+                    yield pa.RecordBatch.from_arrays(
+                        [doc[part], pa.array(piece[part], pa.int32()), *map(pa.array, (start[part], length[part])), held, pa.array(numbers[part])],
+                        names=["doc_id", "piece", "start", "length", "ids", "row"],
+                    )
                 row += len(of)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -48,13 +48,20 @@ def check(rows, capacity):
 
 def test_encoder_equals_the_tokenizer(plain, monkeypatch):
     rng = np.random.default_rng(1)
-    pieces = ["a", "B", "The", " ", " ", "\n", ".", ",", "'s", "'", "1", "é", "İ", "中", "̈", "​", "\xa0", "#", "_", "\x1c", "<|endoftext|>", " "]
+    pieces = ["a", "B", "The", " ", " ", "!?", "<|startoftext|>", "%", "#a", "\n", ".", ",", "'s", "'", "1", "é", "İ", "中", "̈", "​", "\xa0", "#", "_", "\x1c", "<|endoftext|>", " "]
     texts = TEXTS + ["".join(rng.choice(pieces, rng.integers(0, 20))) for _ in range(2000)]
-    want = [np.array(whole_ids(plain, t), "<u4").tobytes() for t in texts]
+    want = [whole_ids(plain, t)[:-1] for t in texts]
     encoder = packing.WordEncoder(packing.default_tokenizer())
-    assert encoder.encode(texts, 1) == want and encoder.encode(texts, 1) == want
+    monkeypatch.setattr(packing, "_TOGETHER", 5)
+
+    def encoded(some):
+        ids, counts = encoder.encode(some)
+        return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+    assert encoded(texts) == want and encoded(texts) == want
     monkeypatch.setattr(packing, "_ROOM", 3)
-    assert [encoder.encode([t], 1)[0] for t in texts] == want
+    assert [encoded([t])[0] for t in texts] == want
+    assert encoder.encode([None, ""])[1].tolist() == [0, 0]
 
 
 def test_other_tokenizers_are_refused():
@@ -108,7 +115,8 @@ def test_small_bins_find_larger_ones_of_other_partitions(spark):
     assert packing.underfull(bins, 100, 2, 2)["bin"].tolist() == [4, 1, 2]
 
 
-def test_pieces_and_sequences_hold_the_ids(documents, plain, spark):
+def test_pieces_and_sequences_hold_the_ids(documents, plain, monkeypatch):
+    monkeypatch.setattr(packing, "_PIECES", 3)
     rows = [(i, TEXTS[i % len(TEXTS)]) for i in range(150)] + [(500, "one two three " * 40), (None, "no id"), (3, "twice"), (3, "twice")]
     pieces, places = packing.packed_documents(documents(rows, clashing=True).repartition(5), packing.default_tokenizer(), 50, each=40)
     ids = {i: whole_ids(plain, t) for i, t in rows}
