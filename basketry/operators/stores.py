@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.dates import yearmonth
-from basketry.functions.values import known_number, n_unique
+from basketry.functions.values import known_number
 
 METRICS = ("totSales", "nCustomers")
 
@@ -42,20 +42,36 @@ class TrialDesign:
         return F.col("YEARMONTH").between(self.trial_start, self.trial_end)
 
 
-def store_month_measures(txns: DataFrame) -> DataFrame:
+def store_month_measures(txns: DataFrame, co_located: bool = False) -> DataFrame:
     """Sales, customers, transactions per customer, units per transaction and unit price.
 
-    Both distinct counts come from one pass. The distinct values are merged per
-    (store, month, value) before the counts, so a store with very many rows is spread over
-    all tasks. NaN is a missing number, as NULL is.
+    The lines are added up per (store, month, customer), and told apart per (store, month, transaction);
+    both then count by store and month. So no line is copied for the two distinct counts, the tasks
+    combine first, and a store with very many rows is spread over all of them. NaN is a missing number, as
+    NULL is; missing ids count as one.
+
+    ``co_located`` is for tables bucketed by store and month, in which both are known: nothing is moved then.
     """
-    months = txns.withColumn("YEARMONTH", yearmonth(F.col("DATE")))
-    sums = months.groupBy("STORE_NBR", "YEARMONTH").agg(
-        F.sum(known_number("TOT_SALES")).alias("totSales"),
-        n_unique("LYLTY_CARD_NBR").alias("nCustomers"),
-        n_unique("TXN_ID").alias("txns"),
-        F.sum(known_number("PROD_QTY")).alias("units"),
+    months = txns if "YEARMONTH" in txns.columns else txns.withColumn("YEARMONTH", yearmonth(F.col("DATE")))
+    key = ["STORE_NBR", "YEARMONTH"]
+    per_customer = months.groupBy(*key, "LYLTY_CARD_NBR").agg(
+        F.sum(known_number("TOT_SALES")).alias("sales"), F.sum(known_number("PROD_QTY")).alias("units")
+    )
+    sums = per_customer.groupBy(*key).agg(
+        F.sum("sales").alias("totSales"), F.sum("units").alias("units"), F.count(F.lit(1)).alias("nCustomers")
     )
+    txns_of = months.select(*key, "TXN_ID").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("txns"))
+    if co_located:
+        met = sums.join(txns_of.hint("merge"), key)
+    else:
+        other = txns_of.withColumnsRenamed({k: f"_{k}" for k in key})
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+        met = sums.join(other, same[0] & same[1])
+    return measures_of_sums(met)
+
+
+def measures_of_sums(sums: DataFrame) -> DataFrame:
+    """The measures from totSales, units, nCustomers and txns per store and month."""
     return sums.select(
         "STORE_NBR",
         "YEARMONTH",
@@ -69,9 +85,9 @@ def store_month_measures(txns: DataFrame) -> DataFrame:
 
 def sales_and_customers(txns: DataFrame) -> DataFrame:
     """The two measures that the trial steps use, summed per customer before they are counted."""
+    months = txns if "YEARMONTH" in txns.columns else txns.withColumn("YEARMONTH", yearmonth(F.col("DATE")))
     per_customer = (
-        txns.withColumn("YEARMONTH", yearmonth(F.col("DATE")))
-        .groupBy("STORE_NBR", "YEARMONTH", "LYLTY_CARD_NBR")
+        months.groupBy("STORE_NBR", "YEARMONTH", "LYLTY_CARD_NBR")
         .agg(F.sum(known_number("TOT_SALES")).alias("sales"))
     )
     return per_customer.groupBy("STORE_NBR", "YEARMONTH").agg(

@@ -323,6 +323,34 @@ FROM diff JOIN banded USING (trial, metric, YEARMONTH) JOIN t USING (trial, metr
 WHERE {_IN_TRIAL} GROUP BY trial, metric"""
 
 
+def _handoff() -> dict[str, str]:
+    measures = f"""STORE_NBR, YEARMONTH, {_r("sum(TOT_SALES)", '"totSales"', 2)}, count(DISTINCT LYLTY_CARD_NBR) AS "nCustomers",
+  {_r("count(DISTINCT TXN_ID) / count(DISTINCT LYLTY_CARD_NBR)", '"nTxnPerCust"')},
+  {_r("sum(PROD_QTY) / count(DISTINCT TXN_ID)", '"nChipsPerTxn"')}, {_r("sum(TOT_SALES) / sum(PROD_QTY)", '"avgPricePerUnit"')}"""
+    dated = """dated AS (SELECT *, CAST(year("DATE") * 100 + month("DATE") AS INTEGER) AS YEARMONTH,
+  CAST(year("DATE") * 10 + quarter("DATE") AS INTEGER) AS QUARTER FROM txn)"""
+    nulls = " ".join(
+        f"UNION ALL SELECT 'null_{c}', CAST(count(*) - count(\"{c}\") AS VARCHAR) FROM e"
+        for c in [*_TXN_TYPES, "PACK_SIZE", "BRAND", "LIFESTAGE", "PREMIUM_CUSTOMER"]
+    )
+    return {
+        "store_measures_bucketed": f"WITH {_TXN}, {dated} SELECT {measures} FROM dated GROUP BY STORE_NBR, YEARMONTH",
+        "store_measures_from_state": f"""WITH {_TXN}, {dated} SELECT {measures} FROM dated
+WHERE YEARMONTH <> {fx.RESTATED_MONTH} OR PROD_QTY >= {fx.RESTATED_QTY} GROUP BY STORE_NBR, YEARMONTH""",
+        "store_customers_quarter": f"""WITH {_TXN}, {dated} SELECT STORE_NBR, QUARTER, count(DISTINCT LYLTY_CARD_NBR) AS "nCustomers"
+FROM dated GROUP BY STORE_NBR, QUARTER""",
+        "segment_customers_quarter": f"""WITH {_TXN}, {dated} SELECT LIFESTAGE, PREMIUM_CUSTOMER, QUARTER, count(DISTINCT LYLTY_CARD_NBR) AS CUSTOMERS
+FROM dated LEFT JOIN cust USING (LYLTY_CARD_NBR) GROUP BY ALL""",
+        "handoff_checks": f"""WITH {_GAPPED},
+e AS (SELECT * FROM gapped_enr WHERE PROD_NAME IS NULL OR NOT contains(PROD_NAME, '{fx.EXCLUDED}'))
+SELECT 'n' AS "check", CAST(count(*) AS VARCHAR) AS value FROM e {nulls}
+UNION ALL SELECT 'first_day', CAST(min("DATE") AS VARCHAR) FROM e UNION ALL SELECT 'last_day', CAST(max("DATE") AS VARCHAR) FROM e
+UNION ALL SELECT 'n_days', CAST(count(DISTINCT "DATE") AS VARCHAR) FROM e
+UNION ALL SELECT 'n_excluded', CAST(count(*) AS VARCHAR) FROM e WHERE contains(PROD_NAME, '{fx.EXCLUDED}')
+UNION ALL SELECT 'n_unmatched', CAST(count(*) AS VARCHAR) FROM e WHERE LIFESTAGE IS NULL""",
+    }
+
+
 _TXN_TYPES = {
     "DATE": "date",
     "STORE_NBR": "bigint",
@@ -470,6 +498,7 @@ WHERE (PROD_NAME IS NULL OR NOT contains(PROD_NAME, '{fx.EXCLUDED}')) AND LYLTY_
         "trial_t_values": t_values,
         "trial_bands": _bands("raw"),
         "trial_bands_scaled": _bands("scaled"),
+        **_handoff(),
         "trial_verdict": _verdict(),
         "trial_verdict_as_written": _verdict(mixed=True, other=True, all_months=True),
     }

@@ -38,3 +38,7 @@ DESIGN = TrialDesign(
 # As-written variants of the original run concern its second trial store.
 SECOND_TRIAL = DESIGN.trials[1]
 FIRST_TRIAL = DESIGN.trials[0]
+
+# A month that is delivered again, then without the lines of fewer units.
+RESTATED_MONTH = 199912
+RESTATED_QTY = 10

@@ -6,12 +6,12 @@ import re
 import pytest
 from compare import database, difference, load_entry
 
-from basketry.plans import customer_review, store_trial
+from basketry.plans import customer_review, handoff, store_trial
 from basketry.plans.duckdb_sql import statements
 
 ENTRY = load_entry()
 SQL = statements()
-QUERIES = {**{q.__name__: q for q in customer_review.QUERIES}, **store_trial.QUERIES}
+QUERIES = {**{q.__name__: q for q in customer_review.QUERIES}, **store_trial.QUERIES, **handoff.QUERIES}
 ROOT = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas")
 
