@@ -1,4 +1,4 @@
-"""Exact column summaries and histograms that never gather a column in one task."""
+"""Row numbers and histograms that never gather a column in one task."""
 
 from __future__ import annotations
 
@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from basketry.functions.values import known_number
 from basketry.session import stage
 
-QUARTILES = (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
-
-
 def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """Add row numbers 1..n in the given total order without a single-task window.
 
@@ -35,152 +32,6 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     )
 
 
-# Rank error of the bracket around a quartile, as a part of all rows.
-_ACCURACY = 10_000
-
-
-def _natural(df: DataFrame, name: str) -> Column:
-    """Whole numbers as bigint, dates as days since 1970, others as double with NaN as missing."""
-    kind = dict(df.dtypes)[name]
-    if kind == "date":
-        return F.unix_date(name).cast("bigint")
-    if kind in ("tinyint", "smallint", "int", "bigint"):
-        return F.col(name).cast("bigint")
-    return known_number(name)
-
-
-def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, missing, min, quartiles, mean and max per column.
-
-    Quartiles are exact with linear interpolation between order statistics. A first pass finds
-    two values around each quartile, by approximate percentiles whose rank error is bounded; a
-    second counts the rows below, and a third groups only the values in between, a few
-    thousandths of the rows. So no column is moved, nothing is written, and ranks are compared on
-    the values themselves: whole numbers stay whole, also beyond 2^53. ``min_whole`` and
-    ``max_whole`` give their exact ends.
-    """
-    base = df.select(*[_natural(df, c).alias(c) for c in columns])
-    whole = {c: dict(base.dtypes)[c] == "bigint" for c in columns}
-    shares = [max(p - 3 / _ACCURACY, 0.0) for _, p in QUARTILES]
-    shares += [min(p + 3 / _ACCURACY, 1.0) for _, p in QUARTILES]
-    first = base.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count(c).alias(f"n_{c}") for c in columns],
-        *[F.min(c).alias(f"min_{c}") for c in columns],
-        *[F.max(c).alias(f"max_{c}") for c in columns],
-        *[F.avg(F.col(c).cast("double")).alias(f"mean_{c}") for c in columns],
-        *[F.percentile_approx(c, shares, _ACCURACY).alias(f"near_{c}") for c in columns],
-    )
-    known = first.select(F.struct(*first.columns).alias("s")).scalar()
-    around = base.withColumn("_s", known)
-
-    def bound(c: str, quartile: int, side: int) -> Column:
-        near = F.col(f"_s.near_{c}")[quartile + side * len(QUARTILES)]
-        if not whole[c]:
-            return near
-        # Percentiles of whole numbers come by way of doubles: allow for their rounding.
-        slack = F.floor(F.abs(near) / 2**52).cast("bigint") + 2
-        if side == 0:
-            return F.coalesce(F.try_subtract(near, slack), near)
-        return F.coalesce(F.try_add(near, slack), near)
-
-    below = around.agg(
-        *[
-            F.count_if(F.col(c) < bound(c, q, 0)).alias(f"{c}_{q}")
-            for c in columns
-            for q in range(len(QUARTILES))
-        ]
-    )
-    places = [(i, c, q) for i, c in enumerate(columns) for q in range(len(QUARTILES))]
-    inside = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.col(c).between(bound(c, q, 0), bound(c, q, 1)),
-                    F.struct(
-                        F.lit(i).alias("i"),
-                        F.lit(q).alias("q"),
-                        (F.col(c) if whole[c] else F.lit(None).cast("bigint")).alias("whole"),
-                        (F.lit(None).cast("double") if whole[c] else F.col(c)).alias("part"),
-                    ),
-                )
-                for i, c, q in places
-            ]
-        )
-    )
-    values = around.select(F.explode(inside).alias("v")).groupBy("v").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    upto = Window.partitionBy("v.i", "v.q").orderBy("v.whole", "v.part")
-    ranked = values.withColumn(
-        "upto", F.sum("n").over(upto.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    per_place = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                F.lit(q).alias("q"),
-                F.lit(QUARTILES[q][1]).alias("p"),
-                F.col(f"_s.n_{c}").alias("n"),
-                F.col(f"_b.{c}_{q}").alias("below"),
-            )
-            for i, c, q in places
-        ]
-    )
-    one = first.sparkSession.range(1)
-    asked = (
-        one.withColumn("_s", known)
-        .withColumn("_b", below.select(F.struct(*below.columns)).scalar())
-        .select(F.explode(per_place).alias("t"))
-        .select("t.*")
-        .filter("n > 0")
-    )
-    rank = (F.col("n") - 1) * F.col("p")
-    asked = asked.withColumns(
-        {
-            "share": rank - F.floor(rank),
-            "low": F.floor(rank) + 1 - F.col("below"),
-            "high": F.ceil(rank) + 1 - F.col("below"),
-        }
-    )
-    met = asked.join(
-        ranked.select(F.col("v.i").alias("i"), F.col("v.q").alias("q"), "v", F.col("n").alias("m"), "upto"),
-        ["i", "q"],
-    )
-
-    def at(place: str) -> Column:
-        here = (F.col(place) <= F.col("upto")) & (F.col(place) > F.col("upto") - F.col("m"))
-        return F.max(F.when(here, F.coalesce(F.col("v.whole").cast("decimal(28,6)").cast("double"), "v.part")))
-
-    found = met.groupBy("i", "q").agg(at("low").alias("a"), at("high").alias("b"), F.max("share").alias("share"))
-    checked = F.when(
-        F.col("a").isNull() | F.col("b").isNull(), F.raise_error(F.lit("a quartile lies outside its bracket"))
-    ).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("share"))
-    quartiles = found.groupBy("i").agg(
-        *[F.max(F.when(F.col("q") == q, checked)).alias(name) for q, (name, _) in enumerate(QUARTILES)]
-    )
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                F.lit(c).alias("column"),
-                F.col(f"_s.n_{c}").alias("n"),
-                (F.col("_s.rows") - F.col(f"_s.n_{c}")).alias("n_null"),
-                F.col(f"_s.min_{c}").cast("double").alias("min"),
-                F.col(f"_s.max_{c}").cast("double").alias("max"),
-                F.col(f"_s.mean_{c}").alias("mean"),
-                (F.col(f"_s.min_{c}") if whole[c] else F.lit(None).cast("bigint")).alias("min_whole"),
-                (F.col(f"_s.max_{c}") if whole[c] else F.lit(None).cast("bigint")).alias("max_whole"),
-            )
-            for i, c in enumerate(columns)
-        ]
-    )
-    basic = one.withColumn("_s", known).select(F.explode(rows).alias("r")).select("r.*")
-    return basic.join(quartiles, "i", "left").select(
-        "column", "n", "n_null", "min", "q1", "median", "mean", "q3", "max", "min_whole", "max_whole"
-    )
-
-
 def histogram(
     df: DataFrame, value: str, bins: int, by: str | None = None, weight: str | None = None
 ) -> DataFrame:

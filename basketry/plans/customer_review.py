@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.functions.dates import date_to_serial, serial_to_date
+from basketry.functions.dates import date_to_serial, serial_to_date, yearmonth
 from basketry.functions.values import largest_first, smallest_first
 from basketry.operators import affinity as aff
-from basketry.operators import cleaning, distribution, inference, profiling, segments
+from basketry.operators import cleaning, distribution, inference, profiling, quantiles, segments
 from basketry.plans import fixture as fx
 from basketry.plans.rounding import fixed
-from basketry.session import staging_path
+from basketry.session import stage, staging_path
 from basketry.sources import tables, tpch
 from basketry.sources.calendar import calendar_between, calendar_of
 
@@ -152,16 +152,25 @@ _NUMERIC = ("DATE", "STORE_NBR", CARD, "TXN_ID", "PROD_QTY", "TOT_SALES")
 
 def numeric_summary(spark, root):
     txns = _clean(spark, root, *_NUMERIC)
-    return fixed(distribution.numeric_summary(txns, _NUMERIC), mean=4)
+    return fixed(quantiles.numeric_summary(txns, _NUMERIC), mean=4)
 
 
 def numeric_summary_uncleaned(spark, root):
     txns = _products_excluded(spark, root, *_NUMERIC)
-    return fixed(distribution.numeric_summary(txns, _NUMERIC), mean=4)
+    return fixed(quantiles.numeric_summary(txns, _NUMERIC), mean=4)
+
+
+def numeric_summary_year(spark, root):
+    """The summary of a year's months, from sketches that are stored per month."""
+    txns = _products_excluded(spark, root, *_NUMERIC).withColumn("YEARMONTH", yearmonth(F.col("DATE")))
+    base = stage(quantiles.naturals(txns, _NUMERIC, by=["YEARMONTH"]))
+    state = stage(quantiles.sketch_state(base, _NUMERIC, by=["YEARMONTH"]))
+    summary = quantiles.summary_of_parts(base, state, _NUMERIC, "YEARMONTH", fx.YEAR_MONTHS)
+    return fixed(summary, mean=4)
 
 
 def customer_summary(spark, root):
-    return fixed(distribution.numeric_summary(tpch.customers(spark, root), [CARD]), mean=4)
+    return fixed(quantiles.numeric_summary(tpch.customers(spark, root), [CARD]), mean=4)
 
 
 def text_summary(spark, root):
@@ -440,6 +449,7 @@ QUERIES = [
     repeat_card_txn,
     numeric_summary,
     numeric_summary_uncleaned,
+    numeric_summary_year,
     customer_summary,
     text_summary,
     daily_counts,

@@ -406,6 +406,7 @@ WHERE NOT regexp_matches(Words, '\p{Nd}') AND regexp_matches(Words, '\p{L}') GRO
         "distinct_cards": "SELECT DISTINCT LYLTY_CARD_NBR FROM kept",
         "numeric_summary": _summary("clean", _NUMERIC),
         "numeric_summary_uncleaned": _summary("kept", _NUMERIC),
+        "numeric_summary_year": _summary("""(SELECT * FROM kept WHERE year("DATE") = 1999)""", _NUMERIC),
         "customer_summary": _summary("cust", ("LYLTY_CARD_NBR",)),
         "daily_counts": 'SELECT "DATE", count(*) AS count FROM clean GROUP BY "DATE"',
         "date_coverage": """SELECT min("DATE") AS first_day, max("DATE") AS last_day, count(DISTINCT "DATE") AS n_days,

@@ -42,3 +42,6 @@ FIRST_TRIAL = DESIGN.trials[0]
 # A month that is delivered again, then without the lines of fewer units.
 RESTATED_MONTH = 199912
 RESTATED_QTY = 10
+
+# The year whose months are summed up from their sketches.
+YEAR_MONTHS = tuple(199901 + m for m in range(12))

@@ -1,7 +1,8 @@
 """Both analyses over a user's own tables: transactions, customers and the enriched hand-off.
 
 Every function returns lazy DataFrames by name; nothing runs before an action, except that
-``prepare`` writes the hand-off table and ``trial`` writes the monthly measures once. The
+``prepare`` writes the hand-off table, ``trial`` writes the monthly measures once, and ``summaries``
+writes the numeric columns and passes over them. The
 defaults are the original run's fixed values.
 """
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.values import largest_first, smallest_first
-from basketry.operators import cleaning, control, distribution, inference, profiling
+from basketry.operators import cleaning, control, distribution, inference, profiling, quantiles
 from basketry.operators import affinity as aff
 from basketry.operators import segments, stores, uplift
 from basketry.session import stage
@@ -82,9 +83,9 @@ def summaries(
     kept = cleaning.exclude_products(txns, excluded)
     clean = cleaning.exclude_customers(kept, cards)
     return {
-        "before": distribution.numeric_summary(kept, _NUMERIC),
-        "after": distribution.numeric_summary(clean, _NUMERIC),
-        "customers": distribution.numeric_summary(customers, [CARD]),
+        "before": quantiles.numeric_summary(kept, _NUMERIC),
+        "after": quantiles.numeric_summary(clean, _NUMERIC),
+        "customers": quantiles.numeric_summary(customers, [CARD]),
         "transaction_text": profiling.text_summary(txns),
         "customer_text": profiling.text_summary(customers),
     }

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from basketry.operators import affinity, cleaning, distribution, inference, profiling, segments
+from basketry.operators import affinity, cleaning, distribution, inference, profiling, quantiles, segments
 from basketry.sources.calendar import calendar_between, calendar_of
 
 SCHEMA = (
@@ -138,7 +138,7 @@ def test_summary_matches_brute_force(spark):
     rows = [(v, i * 3 % 1000, DAY + dt.timedelta(days=i % 90)) for i, v in enumerate(hot)]
     rows += [(None, 1, DAY), (float("nan"), 2, DAY)]
     df = spark.createDataFrame(rows, "x double, k bigint, d date").repartition(5)
-    got = {r.column: r for r in distribution.numeric_summary(df, ["x", "k", "d"]).collect()}
+    got = {r.column: r for r in quantiles.numeric_summary(df, ["x", "k", "d"]).collect()}
     epoch = dt.date(1970, 1, 1)
     columns = {
         "x": hot,
@@ -165,7 +165,7 @@ def test_summary_matches_brute_force(spark):
 )
 def test_quartiles(spark, data, want):
     df = spark.createDataFrame([(v,) for v in data], "x double")
-    r = distribution.numeric_summary(df, ["x"]).first()
+    r = quantiles.numeric_summary(df, ["x"]).first()
     assert (r.n, r.n_null, r.q1, r.median, r.q3) == want
 
 
@@ -408,7 +408,7 @@ def test_welch_leaves_nan_out(spark):
 
 def test_summary_keeps_large_whole_numbers(spark):
     df = spark.createDataFrame([(9007199254740993,), (9007199254740992,), (None,)], "k bigint")
-    r = distribution.numeric_summary(df, ["k"]).first()
+    r = quantiles.numeric_summary(df, ["k"]).first()
     assert (r.min_whole, r.max_whole) == (9007199254740992, 9007199254740993)
     assert (r.n, r.n_null) == (2, 1)
 
@@ -416,11 +416,11 @@ def test_summary_keeps_large_whole_numbers(spark):
 def test_summary_of_many_rows_moves_no_column(spark):
     df = spark.range(200_000).select((F.xxhash64("id") % 1_000_003).alias("k"), (F.rand(5) * 100).alias("x"))
     df = df.withColumn("d", F.date_add(F.lit("2019-01-01").cast("date"), (F.col("k") % 400).cast("int")))
-    got = {r.column: r for r in distribution.numeric_summary(df, ["k", "x", "d"]).collect()}
+    got = {r.column: r for r in quantiles.numeric_summary(df, ["k", "x", "d"]).collect()}
     for name, value in (("k", "k"), ("x", "x"), ("d", "unix_date(d)")):
         want = df.select(F.expr(f"percentile({value}, array(0.25D, 0.5D, 0.75D))")).first()[0]
         assert [got[name].q1, got[name].median, got[name].q3] == pytest.approx(want, rel=1e-12)
-    plan = distribution.numeric_summary(df, ["k", "x"])._jdf.queryExecution().executedPlan().toString()
+    plan = quantiles.numeric_summary(df, ["k", "x"])._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan and "parquet" not in plan.lower()
 
 
