@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,6 +155,36 @@ def test_quantile_far_in_the_tail(spark, p, df, q):
     assert got == pytest.approx(q, rel=2e-5, abs=1e-9)
 
 
+def _by_integration(t, df, n=40_000):
+    """The upper tail by Simpson's rule over theta, with t = sqrt(df) * tan(theta)."""
+    far = min(math.pi / 2 - 1e-12, 60 / math.sqrt(df)) if df > 50 else math.pi / 2 - 1e-12
+    near = math.atan(t / math.sqrt(df))
+    step = (far - near) / n
+
+    def density(theta):
+        return math.exp(-(df - 1) / 2 * math.log1p(math.tan(theta) ** 2))
+
+    total = density(near) + density(far) + 4 * sum(density(near + (2 * i + 1) * step) for i in range(n // 2))
+    total += 2 * sum(density(near + 2 * i * step) for i in range(1, n // 2))
+    a = df / 2
+    ratio = math.lgamma(a + 0.5) - math.lgamma(a) if df < 1e3 else math.log(a) / 2 - 1 / (8 * a) + 1 / (192 * a**3)
+    return total * step / 3 * math.exp(ratio) / math.sqrt(math.pi)
+
+
+def test_tail_and_quantile_are_precise_for_every_row(spark):
+    """Both take a column of degrees of freedom; 1e-10 from 1 to a million."""
+    points = [(t, df) for df in (1.0, 2.0, 3.5, 7.0, 39.9, 40.1, 72.0, 1000.0, 1e4, 1e6) for t in (0.05, 0.7, 1.5, 2.5, 4.0)]
+    df = spark.createDataFrame(points, "t double, df double").repartition(2)
+    quantile = stats.t_quantile(0.975, F.col("df"))
+    got = df.select("t", "df", stats.t_upper_tail(F.col("t"), F.col("df")).alias("tail"), quantile.alias("q")).collect()
+    for r in got:
+        assert r.tail == pytest.approx(_by_integration(r.t, r.df), rel=2e-10), (r.t, r.df)
+        assert _by_integration(r.q, r.df) == pytest.approx(0.025, rel=2e-9)
+    both = spark.range(1).select(stats.t_upper_tail(F.lit(-1.5), F.lit(7.0)) + stats.t_upper_tail(F.lit(1.5), F.lit(7.0)))
+    assert both.first()[0] == pytest.approx(1, abs=1e-15)
+    assert spark.range(1).select(stats.t_upper_tail(F.lit(None).cast("double"), F.lit(7.0))).first()[0] is None
+
+
 def test_order_puts_missing_and_nan_last(spark):
     df = spark.createDataFrame([(1, None), (2, float("nan")), (3, 0.5), (4, 2.0)], "k int, x double")
     down = [r.k for r in df.orderBy(values.largest_first("x"), "k").collect()]
