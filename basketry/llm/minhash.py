@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm.components import components
-from basketry.llm.shared import lower_blank_words, map_batches, mix, parts_for, stage, word_hashes
+from basketry.llm.shared import lower_blank_words, map_batches, mix, parts_for, spare, stage, word_hashes
 
 #: Words of a shingle, and the similarity in percent from which documents are linked.
 SHINGLE = 5
@@ -307,7 +307,7 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     Documents without words are linked with nothing and stay. Of rows with the same doc_id and text
     one stays.
     """
-    keys = ["_near_doc", "_near_text"]
+    keys = [spare("_near_doc", docs), spare("_near_text", docs)]
     first = near_duplicates(docs, **options).filter("first").select(
         F.coalesce("doc_id", F.lit(0)).alias(keys[0]), F.col("_t").alias(keys[1])
     )

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm.shared import map_batches, mix, n_words, running_totals, stage
+from basketry.llm.shared import map_batches, mix, n_words, running_totals, spare, stage
 
 #: Words of a block, blocks of an output shard, and how often a document may be taken at most.
 BLOCK = 128
@@ -269,15 +269,16 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def _cut(docs: DataFrame, apart: bool, options: dict) -> DataFrame:
-    keyed = docs.withColumn("_mix_text", F.xxhash64(*docs.columns))
-    found = mixture(keyed, carry=["_mix_text"], **options).taken
-    ranges = found.groupBy(F.col("doc_id").alias("_mix_doc"), "_mix_text", "start", "pass").agg(
-        F.array_sort(F.collect_list(F.struct("first", "words"))).alias("_mix_ranges")
+    own, doc, chosen_ranges, passes_of = (spare(f"_mix_{part}", docs) for part in ("text", "doc", "ranges", "all"))
+    keyed = docs.withColumn(own, F.xxhash64(*docs.columns))
+    found = mixture(keyed, carry=[own], **options).taken
+    ranges = found.groupBy(F.col("doc_id").alias(doc), own, "start", "pass").agg(
+        F.array_sort(F.collect_list(F.struct("first", "words"))).alias(chosen_ranges)
     )
-    chosen = ranges.groupBy("_mix_doc", "_mix_text").agg(F.collect_list("_mix_ranges").alias("_mix_all"))
-    texts = keyed.groupBy(F.col("doc_id").alias("_mix_doc"), "_mix_text").agg(*[F.first(c).alias(c) for c in docs.columns])
-    same = texts["_mix_doc"].eqNullSafe(chosen["_mix_doc"]) & (texts["_mix_text"] == chosen["_mix_text"])
-    both = texts.join(chosen, same).select(*[texts[c] for c in docs.columns], "_mix_all")
+    chosen = ranges.groupBy(doc, own).agg(F.collect_list(chosen_ranges).alias(passes_of))
+    texts = keyed.groupBy(F.col("doc_id").alias(doc), own).agg(*[F.first(c).alias(c) for c in docs.columns])
+    same = texts[doc].eqNullSafe(chosen[doc]) & (texts[own] == chosen[own])
+    both = texts.join(chosen, same).select(*[texts[c] for c in docs.columns], passes_of)
 
     names = docs.columns
     text_at, chars_at = names.index("text"), names.index("n_chars")
@@ -285,7 +286,7 @@ def _cut(docs: DataFrame, apart: bool, options: dict) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, texts, sizes = [], [], []
-            for k, (text, passes) in enumerate(zip(batch.column("text").to_pylist(), batch.column("_mix_all").to_pylist(), strict=True)):
+            for k, (text, passes) in enumerate(zip(batch.column("text").to_pylist(), batch.column(passes_of).to_pylist(), strict=True)):
                 whole = text.encode("utf-8", "surrogatepass")
                 words = [m.span() for m in _WORD.finditer(whole)]
                 for ranges in passes:

@@ -6,10 +6,12 @@ determine, so mentions of one entity agree over the whole corpus and nothing nee
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.shared import stage
+from basketry.llm.shared import spare, stage
 
 # Titles by gender, and syllables of invented names by script.
 TITLES = {
@@ -35,10 +37,16 @@ _SECRET = "(?i:password|passwd|secret|token|api_?key)\\s{0,2}[=:]\\s{0,2}[\"']?"
 _COUNTRY = "(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
+# A domain of any number of labels. A label with its dot is taken for good where two letters or another label
+# and dot follow, so nothing is tried again and long ones need no stack; where the end then doesn't fit, the
+# first two labels may.
+_DOMAIN = "(?=[A-Za-z0-9])(?:[A-Za-z0-9-]*+\\.(?=[A-Za-z]{2}|[A-Za-z0-9-]*+\\.))++[A-Za-z]{2,24}+"
+_SHORT_DOMAIN = "[A-Za-z0-9][A-Za-z0-9-]*+\\.[A-Za-z]{2,24}+"
+
 #: Kinds of entities with the Java patterns that find them, in the order in which they are tried. A
 #: secret is found with the word before it and a name with its title; both words stay.
 PATTERNS: tuple[tuple[str, str], ...] = (
-    ("email", "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*\\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"),
+    ("email", f"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:{_DOMAIN}|{_SHORT_DOMAIN})(?![A-Za-z0-9])"),
     ("secret", _SECRET + "[A-Za-z0-9+/_-]{6,}"),
     ("key", "(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"),
     ("iban", "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
@@ -52,6 +60,9 @@ PATTERNS: tuple[tuple[str, str], ...] = (
     ),
     ("name", f"(?<!\\p{{L}}){_TITLE}\\s\\p{{Lu}}\\p{{L}}+(?: \\p{{Lu}}\\p{{L}}+)?"),
 )
+#: Attempts after which a surrogate may leave the original's length or network, since the free ones may be too few.
+WIDENED = 4
+
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
 _CHARACTERS = 64
 
@@ -109,6 +120,11 @@ def _canonical(kind: Column, e: Column) -> Column:
     )
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, not for every character that needs it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _byte(h: Column, at: Column) -> Column:
     """Byte ``at`` (from 0, wrapping) of a hash in hex."""
     return F.conv(F.substring(h, (at % _CHARACTERS * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
@@ -182,12 +198,14 @@ def _card(h: Column, e: Column) -> Column:
     return F.concat(F.substring(made, F.lit(1), F.length(made) - 1), end.cast("string"))
 
 
-def _ip(h: Column, e: Column) -> Column:
-    """An address; octets that mark a private network stay."""
+def _ip(h: Column, e: Column, attempt: Column) -> Column:
+    """An address; octets that mark a private network stay, or give way to those of a larger private one."""
     kept = F.when(e.startswith("10."), 1).when(e.startswith("192.168."), 2).when(e.startswith("127."), 1).otherwise(0)
+    wide = (kept == 2) & (attempt > WIDENED)
 
     def one(o: Column, i: Column) -> Column:
-        return F.when(i < kept, o).otherwise((_byte(h, i) % 254 + 1).cast("string"))
+        own = F.when((i < kept) & ~wide, o).otherwise((_byte(h, i) % 254 + 1).cast("string"))
+        return F.when(wide & (i == 0), "10").otherwise(own)
 
     return F.array_join(F.transform(F.split(e, "\\."), one), ".")
 
@@ -198,7 +216,7 @@ def _email(h: Column, e: Column, key: str) -> Column:
     top = F.substring_index(domain, ".", -1)
     stem = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
     home = F.sha2(F.concat(F.lit(key + "|domain|"), F.lower(domain)), 512)
-    return F.concat(_letters(h, local), F.lit("@"), _letters(home, stem), top)
+    return F.concat(_letters(h, local), F.lit("@"), _once(home, lambda own: _letters(own, stem)), top)
 
 
 def _name(e: Column, gender: Column, attempt: Column, key: str) -> Column:
@@ -231,20 +249,28 @@ def _name(e: Column, gender: Column, attempt: Column, key: str) -> Column:
 def _surrogate(s: Column, attempt: Column, key: str) -> Column:
     """The replacement of an entity given as (kind, e, canonical, gender)."""
     kind, e = s["kind"], s["e"]
-    h = F.sha2(F.concat_ws("|", F.lit(key), kind, s["canonical"], attempt.cast("string")), 512)
+    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, s["canonical"], attempt.cast("string")), 512)
     hexadecimal = e.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
-    more = F.when(attempt > 4, attempt.cast("string")).otherwise("")
-    return (
-        F.when(kind == "email", F.concat(more, _email(h, e, key)))
-        .when(kind == "phone", _digits(h, e, _country(e)))
-        .when(kind == "ssn", _digits(h, e))
-        .when(kind == "card", _card(h, e))
-        .when(kind == "ip", _ip(h, e))
-        .when(kind == "key", F.concat(F.lit("AKIA"), _letters(h, F.substring(e, 5, 16))))
-        .when(kind == "iban", F.concat(F.substring(e, 1, 2), _letters(h, F.substring(e, F.lit(3), F.length(e)), ranked=True)))
-        .when(kind == "name", F.concat(_name(e, s["gender"], attempt, key), more))
-        .otherwise(F.concat(F.when(hexadecimal, _hex(h, e)).otherwise(_letters(h, e)), more))
-    )
+    more = F.when(attempt > WIDENED, attempt.cast("string")).otherwise("")
+    port = F.when(attempt > 3 * WIDENED, F.concat(F.lit(":"), attempt.cast("string"))).otherwise("")
+
+    def made(h: Column) -> Column:
+        return (
+            F.when(kind == "email", F.concat(more, _email(h, e, key)))
+            .when(kind == "phone", F.concat(_digits(h, e, _country(e)), more))
+            .when(kind == "ssn", F.concat(_digits(h, e), more))
+            .when(kind == "card", F.concat(_card(h, e), more))
+            .when(kind == "ip", F.concat(_ip(h, e, attempt), port))
+            .when(kind == "key", F.concat(F.lit("AKIA"), _letters(h, F.substring(e, 5, 16)), more))
+            .when(
+                kind == "iban",
+                F.concat(F.substring(e, 1, 2), _letters(h, F.substring(e, F.lit(3), F.length(e)), ranked=True), more),
+            )
+            .when(kind == "name", F.concat(_name(e, s["gender"], attempt, key), more))
+            .otherwise(F.concat(F.when(hexadecimal, _hex(h, e)).otherwise(_letters(h, e)), more))
+        )
+
+    return _once(digest, made)
 
 
 def _entities(text: Column) -> Column:
@@ -278,7 +304,9 @@ def collisions(entities: DataFrame, key: str) -> DataFrame:
 
     ``entities``: distinct kind, canonical, e, gender. A surrogate is taken if an entity of the kind
     is called so (under whatever title), or if another entity with a smaller canonical form has it. Rounds go on until all
-    surrogates are distinct.
+    surrogates are distinct. They end also where a form has fewer free surrogates than entities: after ``WIDENED``
+    attempts the number of the attempt is put to the surrogate (an address of a small private network
+    goes to a large one first), so that every round draws from values of its own and settles a share of what is left.
     """
     state = stage(entities.withColumn("attempt", F.lit(0)))
     real = entities.select(F.col("kind").alias("_k"), _plain(F.col("kind"), F.col("canonical")).alias("_made")).distinct()
@@ -325,10 +353,11 @@ def replaced(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     repeated rows. Columns named like a result are replaced.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    keys = {"_pii_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_pii_text": F.xxhash64("text")}
-    rows = docs.drop("n_entities", "kinds").withColumns({**keys, "_pii_found": _entities(text)})
+    doc, own, held, fixes = (spare(f"_pii_{part}", docs) for part in ("doc", "text", "found", "fix"))
+    keys = {doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), own: F.xxhash64("text")}
+    rows = docs.drop("n_entities", "kinds").withColumns({**keys, held: _entities(text)})
     listed = stage(
-        rows.select(*keys, F.explode("_pii_found").alias("s")).select(*keys, "s.kind", "s.canonical", "s.e", "s.gender")
+        rows.select(*keys, F.explode(held).alias("s")).select(*keys, "s.kind", "s.canonical", "s.e", "s.gender")
     )
     named = listed.filter("kind = 'name'").groupBy(_plain(F.col("kind"), F.col("canonical")).alias("_name"))
     genders = named.agg(*[F.max(F.col("canonical").endswith(f"|{g}")).alias(f"_{g}") for g in "mf"])
@@ -352,26 +381,26 @@ def replaced(docs: DataFrame, key: str = "surrogates") -> DataFrame:
         .select(*keys, "_mention", F.struct(F.coalesce("attempt", F.lit(0)).alias("attempt"), "_settled").alias("fix"))
         .distinct()
         .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("_mention", "fix"))).alias("_pii_fix"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("_mention", "fix"))).alias(fixes))
     )
     met = rows.join(stage(touched), [*keys], "left")
 
     def swapped(s: Column) -> Column:
-        fix = F.try_element_at("_pii_fix", F.concat_ws("|", s["kind"], s["canonical"]))
+        fix = F.try_element_at(fixes, F.concat_ws("|", s["kind"], s["canonical"]))
         attempt = F.coalesce(fix["attempt"], F.lit(0))
         gender = F.coalesce(fix["_settled"], s["gender"])
         word = F.substring(s["whole"], F.lit(1), F.length(s["whole"]) - F.length(s["e"]))
         settled = F.struct(s["kind"].alias("kind"), s["e"].alias("e"), F.concat_ws("|", s["canonical"], fix["_settled"]).alias("canonical"), gender.alias("gender"))
         return F.concat(word, _surrogate(settled, attempt, key))
 
-    made = F.concat(F.transform("_pii_found", swapped), F.array(F.lit("")))
+    made = F.concat(F.transform(held, swapped), F.array(F.lit("")))
     parts = F.split(text, PATTERN, -1)
     line = F.array_join(F.flatten(F.zip_with(parts, made, lambda p, s: F.array(p, s))), "")
     kept = [c for c in docs.columns if c not in ("n_entities", "kinds")]
     return met.select(
-        *[F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.when(F.size("_pii_found") == 0, F.col("text")).otherwise(line)).alias("text") if c == "text" else F.col(c) for c in kept],
-        F.size("_pii_found").cast("long").alias("n_entities"),
-        F.array_join(F.array_sort(F.array_distinct(F.col("_pii_found.kind"))), ",").alias("kinds"),
+        *[F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.when(F.size(held) == 0, F.col("text")).otherwise(line)).alias("text") if c == "text" else F.col(c) for c in kept],
+        F.size(held).cast("long").alias("n_entities"),
+        F.array_join(F.array_sort(F.array_distinct(F.col(f"{held}.kind"))), ",").alias("kinds"),
     )
 
 

@@ -143,6 +143,14 @@ def portions(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at)
 
 
+def spare(name: str, df: DataFrame) -> str:
+    """``name``, with as many marks behind it as it takes to differ from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to shared storage and read it back; a lost executor then costs a re-read."""
     path = staging_folder(df.sparkSession)

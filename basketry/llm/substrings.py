@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,10 +132,24 @@ def _signed(values: np.ndarray) -> pa.Array:
 
 
 def _texts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+    """Rows with the words of their texts, which may be packed."""
+    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
-            yield part, [blank_words(t) for t in part.column("text").to_pylist()]
+            if "packed" in part.schema.names:
+                yield part, [unpack.decompress(t).split() for t in part.column("packed").to_pylist()]
+            else:
+                yield part, [blank_words(t) for t in part.column("text").to_pylist()]
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, so that they move and are stored at about half their size."""
+    pack = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        texts = [pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+        names = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(texts, pa.binary())], names=[*names, "packed"])
 
 
 def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -147,7 +162,8 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     differ, a factor ends inside, and there the windows themselves are looked up. Both tests are exact
     up to 128-bit hashes; nothing is sampled.
 
-    Texts move once, to meet the marks of their blocks; only those with marks are kept from there on.
+    Texts move compressed: all to meet the marks of their blocks, and those with marks once more to meet the
+    windows found in them.
 
     Returns doc_id, ``n_words``, ``n_removed``, ``kept_sha256`` (kept words joined by one blank),
     ``removed`` (spans of words, [first, one past the last]) and ``factors`` (first word, words, the
@@ -194,7 +210,8 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     marked = marks.groupBy("_d", "_t").agg(
         F.collect_set(F.struct("first", "count", "same", "reference")).alias("marks")
     )
-    met = stage(base.join(marked, ["_d", "_t"]))
+    packed = map_batches(base, _pack, f"doc_id {dict(base.dtypes)['doc_id']}, _d long, _t long, packed binary")
+    met = stage(packed.join(marked, ["_d", "_t"]))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, words in _texts(batches, 64):
@@ -217,7 +234,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 names=["_d", "_t", "seed", "value", "at"],
             )
 
-    open_texts = met.filter(F.exists("marks", lambda m: ~m["same"])).select("_d", "_t", "text", "marks")
+    open_texts = met.filter(F.exists("marks", lambda m: ~m["same"])).select("_d", "_t", "packed", "marks")
     windows = map_batches(open_texts, look_up, "_d long, _t long, seed long, value long, at int")
     found = stage(
         windows.groupBy("seed", "value").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("seed", "value")
@@ -243,7 +260,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rest = map_batches(known, untouched, f"_d long, _t long, {columns}")
     rest = rest.join(met.select("_d", "_t").distinct(), ["_d", "_t"], "left_anti").drop("_d", "_t")
     parsed = parsed.withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rest.union(map_batches(parsed.select("doc_id", "text", "marks", "windows"), parse, columns))
+    return rest.union(map_batches(parsed.select("doc_id", "packed", "marks", "windows"), parse, columns))
 
 
 def factors_of(marks: Sequence[dict], window: int) -> list[list[int]]:

@@ -3,6 +3,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from basketry.llm import components, minhash
 
 
@@ -123,3 +125,10 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = spark.createDataFrame([*chain, *star, *star, (7, 7)], "u long, v long")
     got = {r.node: r.label for r in components.components(edges).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys([*range(100, 140), 5000], 100)}
+
+
+def test_columns_named_like_helpers_stay(documents):
+    docs = documents([(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "")])
+    docs = docs.withColumns({name: F.lit(7) for name in ("_near_doc", "_Near_Text")})
+    got = minhash.deduplicated(docs).collect()
+    assert sorted(r.doc_id for r in got) == [1, 3] and all(r["_near_doc"] == r["_Near_Text"] == 7 for r in got)

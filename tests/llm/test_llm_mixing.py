@@ -128,3 +128,12 @@ def test_odd_rows(odd, nothing):
     out = mixing.mixed_documents(odd, block=4)
     assert out.columns == odd.columns and out.filter(F.col("text") == "").isEmpty()
     assert mixing.mixture(nothing).rows.isEmpty() and mixing.mixed_documents(nothing).isEmpty()
+
+
+def test_passages_of_odd_rows_and_of_columns_named_like_helpers(odd, nothing):
+    names = ("_mix_text", "_MIX_doc", "_mix_ranges", "_mix_all")
+    docs = odd.withColumns({name: F.lit(7) for name in names})
+    got = mixing.mixed_passages(docs).collect()
+    texts = {r.text for r in docs.collect()}
+    assert got and all(any(r.text in (t or "") for t in texts) and all(r[n] == 7 for n in names) for r in got)
+    assert mixing.mixed_passages(nothing).isEmpty()

@@ -134,3 +134,43 @@ def test_odd_rows(odd, nothing):
     assert got.count() == 9 and got.filter("n_entities > 0").isEmpty()
     assert got.drop("n_entities", "kinds").exceptAll(odd.drop("n_entities", "kinds")).isEmpty()
     assert pii.replaced(nothing).isEmpty()
+
+
+def test_long_runs_of_characters_end(documents):
+    """None of the patterns needs a stack as deep as the text is long."""
+    n = 20_000
+    texts = [
+        "x@" + "a." * n + "com", "x@a" + "." * n, "a@" + "b-" * n, "1" * n, "1 " * n, "+1" + " 23" * n, "DE89" + " 3704" * n, "token=" + "a1" * n,
+        "Mr A" + "b" * n, "1." * n, "4111-" * n, "(555) " * n, "AKIA" * n,
+    ]
+    got = run(documents, texts)
+    assert len(got) == len(texts) and got[0][0] != texts[0] and got[0][0].endswith(".com")
+
+
+def test_addresses_are_found_up_to_their_end(documents):
+    texts = ["x@a.com.", "x@a.com-foo", "x@a.com.5", "x@mail.3com.com, y", "x@a.b.co.uk.", "x@a.com.x.", "(x@a-b.org)", "x@A.B.Com\n"]
+    for text, (made, n) in zip(texts, run(documents, texts), strict=True):
+        assert "x@" not in made and re.search(r"@[A-Za-z0-9.-]+", made) and len(made) == len(text), text
+
+
+def test_full_ranges_end(spark):
+    """All addresses of a private network: more entities than surrogates of the same form."""
+    octet = spark.range(256)
+    pairs = octet.select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(255))).alias("b"))
+    e = F.concat_ws(".", F.lit("192.168"), "a", "b")
+    entities = pairs.select(F.lit("ip").alias("kind"), e.alias("canonical"), e.alias("e"), F.lit("n").alias("gender"))
+    fixes = pii.collisions(entities, "k")
+    s = F.struct("kind", "e", "canonical", "gender")
+    made = entities.join(fixes, ["kind", "canonical"], "left").withColumn("made", pii._surrogate(s, F.coalesce("attempt", F.lit(0)), "k"))
+    assert made.select("made").distinct().count() == 65_536
+    assert made.join(entities.select(F.col("canonical").alias("made")), "made").isEmpty()
+    assert made.filter("made NOT LIKE '192.168.%' AND made NOT LIKE '10.%'").isEmpty()
+
+
+def test_columns_named_like_helpers_stay(documents):
+    docs = documents([(1, "mail x@a.com"), (2, "none")])
+    for name in ("_pii_doc", "_PII_text", "_pii_found", "_pii_fix"):
+        docs = docs.withColumn(name, F.lit(7))
+    got = pii.replaced(docs).collect()
+    assert all(r["_pii_doc"] == r["_PII_text"] == r["_pii_found"] == r["_pii_fix"] == 7 for r in got)
+    assert {r.n_entities for r in got} == {0, 1}
