@@ -27,6 +27,54 @@ def welch_greater(
         F.count(x).alias("n_x"),
         F.count(y).alias("n_y"),
     )
+    return _tested(moments, level)
+
+
+def value_moments(df: DataFrame, value: str, by: str) -> DataFrame:
+    """Number, mean and variance of the values per ``by``; missing values and NaN are left out.
+
+    One row per card in place of its lines: a heavy card is one row in the join to the customers.
+    """
+    x = known_number(value)
+    return df.groupBy(by).agg(
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.var_pop(x).alias("variance")
+    )
+
+
+def welch_of_moments(
+    moments: DataFrame, first: Column, second: Column, level: float = 0.95
+) -> DataFrame:
+    """The test of ``welch_greater`` from the ``value_moments`` of parts.
+
+    The means are taken from a centre, the mean of all chosen values, so that squares of large means
+    don't hide a small variance.
+    """
+    chosen = moments.filter((first | second) & (F.col("n") > 0))
+    centre = chosen.agg(F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n"))).scalar()
+    centred = chosen.withColumn("_centre", centre).withColumn("_off", F.col("mean") - F.col("_centre"))
+    sums = []
+    for name, side in (("x", first), ("y", second)):
+        n, off = F.when(side, F.col("n")), F.col("_off")
+        sums += [
+            F.coalesce(F.sum(n), F.lit(0)).alias(f"n_{name}"),
+            F.sum(n * off).alias(f"off_{name}"),
+            F.sum(n * (F.col("variance") + off * off)).alias(f"square_{name}"),
+        ]
+    merged = centred.agg(F.first("_centre").alias("_centre"), *sums)
+    for name in ("x", "y"):
+        n, off = F.col(f"n_{name}"), F.col(f"off_{name}")
+        merged = merged.withColumns(
+            {
+                f"mean_{name}": F.col("_centre") + F.try_divide(off, n),
+                f"var_{name}": F.try_divide(
+                    F.greatest(F.col(f"square_{name}") - F.try_divide(off * off, n), F.lit(0.0)), n - 1
+                ),
+            }
+        )
+    return _tested(merged, level)
+
+
+def _tested(moments: DataFrame, level: float) -> DataFrame:
     vx = F.try_divide("var_x", "n_x")
     vy = F.try_divide("var_y", "n_y")
     parts = moments.withColumns({"vx": vx, "vy": vy})

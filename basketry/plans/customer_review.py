@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from basketry.functions.dates import date_to_serial, serial_to_date, yearmonth
 from basketry.functions.values import largest_first, smallest_first
 from basketry.operators import affinity as aff
-from basketry.operators import cleaning, distribution, inference, profiling, quantiles, segments
+from basketry.operators import cleaning, distribution, inference, outliers, profiling, quantiles, segments
 from basketry.plans import fixture as fx
 from basketry.plans.rounding import fixed
 from basketry.session import stage, staging_path
@@ -117,6 +117,14 @@ def outlier_customer_txns(spark, root):
     return txns.filter(F.col(CARD) == fx.OUTLIER_CARD).select(*_OUTLIER_COLUMNS)
 
 
+def outlier_cards(spark, root):
+    """The cards that stand out once the fixture's rule makes one of them buy far too much."""
+    txns = _products_excluded(spark, root, CARD, "PROD_QTY")
+    planted = F.when(F.col(CARD) == fx.OUTLIER_CARD, F.col("PROD_QTY") * fx.OUTLIER_FACTOR)
+    found = outliers.outlier_cards(txns.withColumn("PROD_QTY", planted.otherwise(F.col("PROD_QTY"))))
+    return fixed(found, units=2, largest=2, median=2)
+
+
 # --- loyalty cards and repeats ----------------------------------------------------------
 
 
@@ -381,11 +389,12 @@ def segment_customer_share(spark, root):
 
 def price_ttest(spark, root):
     priced = cleaning.with_price(_clean(spark, root, "PROD_QTY", "TOT_SALES"))
-    chosen = segments.enrich(priced, tpch.customers(spark, root)).filter(
+    per_card = inference.value_moments(priced, "price", CARD)
+    chosen = segments.enrich(per_card, tpch.customers(spark, root)).filter(
         F.col("LIFESTAGE").isin(list(fx.TTEST_LIFESTAGES))
     )
     mainstream = F.col("PREMIUM_CUSTOMER") == fx.PREMIUM
-    tested = inference.welch_greater(chosen, "price", mainstream, ~mainstream)
+    tested = inference.welch_of_moments(chosen, mainstream, ~mainstream)
     # The logarithm shows a small p-value to the same relative precision as a large one.
     return fixed(tested.withColumn("p_log10", F.log10("p_value")), df=4, ci_low=4)
 
@@ -397,22 +406,24 @@ def price_by_group_sample(spark, root):
 
 def price_histogram_by_group(spark, root):
     priced = cleaning.with_price(_clean(spark, root, "PROD_QTY", "TOT_SALES"))
-    grouped = segments.with_price_group(segments.enrich(priced, tpch.customers(spark, root)))
-    return fixed(distribution.histogram(grouped, "price", 9, by="GROUP"))
+    merged = priced.groupBy(CARD, "price").agg(F.count(F.lit(1)).alias("n"))
+    grouped = segments.with_price_group(segments.enrich(merged, tpch.customers(spark, root)))
+    return fixed(distribution.histogram(grouped, "price", 9, by="GROUP", weight="n"))
 
 
 # --- affinity ---------------------------------------------------------------------------
 
 
 def _affinity(spark, root, by):
-    named = _clean(spark, root, "PROD_NAME", "PROD_QTY")
-    enriched = segments.enrich(named, tpch.customers(spark, root))
-    units = aff.segment_units(
+    per_card = tpch.card_part_units(spark, root, fx.EXCLUDED, [fx.OUTLIER_CARD])
+    enriched = segments.enrich(per_card, tpch.customers(spark, root))
+    per_part = aff.segment_units(
         enriched,
-        "PROD_NAME",
+        tpch.PART,
         aff.in_target(fx.LIFESTAGE, fx.PREMIUM),
         aff.in_comparison(fx.LIFESTAGE, fx.PREMIUM),
     )
+    units = tpch.with_names(spark, root, per_part)
     return fixed(aff.affinity_of_units(cleaning.product_features(units, fx.BRAND_ALIASES), by))
 
 
@@ -443,6 +454,7 @@ QUERIES = [
     clean_transactions,
     qty_outliers,
     outlier_customer_txns,
+    outlier_cards,
     distinct_cards,
     repeat_customers_top50,
     repeat_txns_top10,

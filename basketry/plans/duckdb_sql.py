@@ -388,6 +388,7 @@ FROM long a JOIN long b ON a.YEARMONTH = b.YEARMONTH AND a.metric = b.metric WHE
         )
         return f"WITH {_store_ctes()} {rows}"
 
+    planted = f"PROD_QTY * CASE WHEN LYLTY_CARD_NBR = {fx.OUTLIER_CARD} THEN {fx.OUTLIER_FACTOR} ELSE 1 END"
     script_one = {
         "load_transactions": f"SELECT {_CONTRACT}{_MONEY} FROM txn",
         "load_customers": "SELECT * FROM cust",
@@ -403,6 +404,13 @@ WHERE NOT regexp_matches(Words, '\p{Nd}') AND regexp_matches(Words, '\p{L}') GRO
         "clean_transactions": f"SELECT {_CONTRACT}{_MONEY} FROM clean",
         "qty_outliers": f"SELECT {outlier} FROM kept WHERE PROD_QTY = {fx.OUTLIER_QTY}",
         "outlier_customer_txns": f"SELECT {outlier} FROM kept WHERE LYLTY_CARD_NBR = {fx.OUTLIER_CARD}",
+        "outlier_cards": f"""SELECT LYLTY_CARD_NBR, n_lines, {_r("units", "units", 2)}, {_r("largest", "largest", 2)}, {_r("middle", "median", 2)},
+  {_r("(units - middle) / spread", "deviations")}
+FROM (SELECT LYLTY_CARD_NBR, count(*) AS n_lines, sum({planted}) AS units, max({planted}) AS largest FROM kept
+      WHERE LYLTY_CARD_NBR IS NOT NULL GROUP BY ALL),
+  (SELECT median(units) AS middle, 1.482602218505602 * mad(units) AS spread
+   FROM (SELECT sum({planted}) AS units FROM kept WHERE LYLTY_CARD_NBR IS NOT NULL GROUP BY LYLTY_CARD_NBR))
+WHERE abs(units - middle) > 10 * spread""",
         "distinct_cards": "SELECT DISTINCT LYLTY_CARD_NBR FROM kept",
         "numeric_summary": _summary("clean", _NUMERIC),
         "numeric_summary_uncleaned": _summary("kept", _NUMERIC),
@@ -490,7 +498,10 @@ WHERE (PROD_NAME IS NULL OR NOT contains(PROD_NAME, '{fx.EXCLUDED}')) AND LYLTY_
         "store_pairs": pair_rows,
         "store_correlation": by_metric("corrs", "corr", "corr_measure"),
         "store_magnitude": by_metric("mags", "mag", "mag_measure"),
+        "store_correlation_function": by_metric("corrs", "corr", "corr_measure"),
+        "store_magnitude_function": by_metric("mags", "mag", "mag_measure"),
         "control_store": _control(),
+        "control_store_function": _control(),
         "control_store_mixed_magnitude": _control(mixed=True),
         **{key: f"WITH {_assess_ctes()}\n{sql}" for key, sql in assessed.items()},
         "trial_vs_control_pct_diff": _pct(),

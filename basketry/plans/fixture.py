@@ -8,6 +8,7 @@ from basketry.sources.tpch import Gaps
 EXCLUDED = "gizmo"
 OUTLIER_QTY = 50
 OUTLIER_CARD = 12
+OUTLIER_FACTOR = 100  # the outlier card's units are so many times as large where it is to be found
 BRAND_ALIASES = {"OLD": "NEW", "HOT": "COLD"}
 PACK_SIZE = 27
 LIFESTAGE = "BUILDING"

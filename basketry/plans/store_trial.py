@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.dates import month_start, yearmonth
 from basketry.functions.values import smallest_first
-from basketry.operators import control, stores, uplift
+from basketry.operators import control, stores, table_functions, uplift
 from basketry.plans import fixture as fx
 from basketry.plans.rounding import fixed
 from basketry.session import stage
@@ -111,6 +111,34 @@ def control_store_mixed_magnitude(spark, root):
     return fixed(control.control_store(_scores(spark, root, [fx.SECOND_TRIAL])))
 
 
+def _asked(spark, root, call: str) -> DataFrame:
+    """A table function in SQL, called for every trial store and metric."""
+    table_functions.register(_pre(_staged_measures(spark, root)), view="pre_trial")
+    calls = [
+        f"SELECT *, '{m}' AS metric FROM {call}('{m}', {t})" for t in DESIGN.trials for m in stores.METRICS
+    ]
+    return spark.sql(" UNION ALL ".join(calls))
+
+
+def store_correlation_function(spark, root):
+    return fixed(_asked(spark, root, table_functions.CORRELATION))
+
+
+def store_magnitude_function(spark, root):
+    return fixed(_asked(spark, root, table_functions.MAGNITUDE))
+
+
+def control_store_function(spark, root):
+    """The control stores by one SQL statement over the functions."""
+    table_functions.register(_pre(_staged_measures(spark, root)), view="pre_trial")
+    weight = DESIGN.corr_weight
+    calls = [f"SELECT * FROM {table_functions.SCORES}({t}, {weight}D)" for t in DESIGN.trials]
+    ranked = f"""SELECT *, row_number() OVER (
+  PARTITION BY Store1 ORDER BY finalControlScore DESC NULLS LAST, Store2) AS place
+FROM ({" UNION ALL ".join(calls)}) WHERE Store1 <> Store2"""
+    return fixed(spark.sql(f"SELECT Store1, Store2, finalControlScore FROM ({ranked}) WHERE place = 1"))
+
+
 # --- trends and assessment --------------------------------------------------------------
 
 
@@ -198,6 +226,9 @@ QUERIES = {
             control_scores,
             control_store,
             control_store_mixed_magnitude,
+            store_correlation_function,
+            store_magnitude_function,
+            control_store_function,
             store_type_labels,
             store_type_trend,
             scaling_factors,

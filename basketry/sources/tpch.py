@@ -16,6 +16,9 @@ from basketry.sources.tables import TRANSACTIONS
 
 ALL_COLUMNS = tuple(TRANSACTIONS.names)
 
+# The key of a product, where lines are added up before they meet its name.
+PART = "_part"
+
 
 # The columns that are read. A stated schema spares a look into the files for every query.
 SCHEMAS = {
@@ -121,6 +124,25 @@ def product_totals(
     return totals.join(_parts(spark, root), "_part", "left").select("PROD_NAME", "n", *sums)
 
 
+def card_part_units(
+    spark: SparkSession, root: str, without: str, cards: Iterable[int] = ()
+) -> DataFrame:
+    """Units per card and part key, without the parts whose name contains ``without`` and without ``cards``.
+
+    The tasks add up a heavy card before anything is moved, and no name is read per line.
+    """
+    lines = _lines(spark, root, {"LYLTY_CARD_NBR"})
+    kept = lines.filter(~F.col("LYLTY_CARD_NBR").isin(list(cards)))
+    excluded = _parts(spark, root).filter(F.col("PROD_NAME").contains(without)).select(PART)
+    units = kept.groupBy("LYLTY_CARD_NBR", PART).agg(F.sum("PROD_QTY").alias("PROD_QTY"))
+    return units.join(excluded, PART, "left_anti")
+
+
+def with_names(spark: SparkSession, root: str, per_part: DataFrame) -> DataFrame:
+    """PROD_NAME in place of the part key."""
+    return per_part.join(_parts(spark, root), PART, "left").drop(PART)
+
+
 def customers(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "customer").select(
         F.col("c_custkey").alias("LYLTY_CARD_NBR"),

@@ -439,3 +439,27 @@ def test_calendar_reports_days_at_both_ends(spark):
     clean = cleaning.clean_transactions(txns)
     days = profiling.missing_days(clean, calendar_between(spark, dt.date(2019, 1, 1), dt.date(2019, 1, 5)))
     assert [r.DATE.day for r in days.orderBy("DATE").collect()] == [1, 4, 5]
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e7])
+def test_welch_test_from_moments_of_cards(spark, shift):
+    """Equal to the test on the lines, also for means far from zero, with missing values and a heavy card."""
+    rows = [(i % 13 if i % 3 else 1, "a" if (i % 13 if i % 3 else 1) % 2 else "b", shift + (i * 37 % 101) / 7) for i in range(900)]
+    rows += [(1, "a", None), (2, "b", float("nan")), (40, "a", None), (None, "b", 3.0 + shift), (41, None, 5.0)]
+    df = spark.createDataFrame(rows, "card int, g string, price double")
+    first, second = F.col("g") == "a", F.col("g") == "b"
+    cards = inference.value_moments(df, "price", "card").join(df.select("card", "g").distinct(), "card", "left")
+    known = df.filter("card IS NOT NULL")
+    got = inference.welch_of_moments(cards, first, second).first()
+    plain = inference.welch_greater(known, "price", first, second).first()
+    assert (got.n_x, got.n_y) == (plain.n_x, plain.n_y)
+    assert [got[c] for c in ("mean_x", "t", "df", "p_value", "ci_low")] == pytest.approx(
+        [plain[c] for c in ("mean_x", "t", "df", "p_value", "ci_low")], rel=1e-7
+    )
+
+
+def test_welch_test_from_no_moments(spark):
+    none = spark.createDataFrame([], "card int, g string, price double")
+    cards = inference.value_moments(none, "price", "card").withColumn("g", F.lit("a"))
+    got = inference.welch_of_moments(cards, F.col("g") == "a", F.col("g") == "b").first()
+    assert (got.n_x, got.n_y, got.t, got.p_value) == (0, 0, None, None)
