@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketry.llm.shared import map_batches, plain_bytes, remembered, stage
+from basketry.llm.shared import map_batches, plain_bytes, remembered, running_totals, spare, stage
 
 #: Words of a window.
 WINDOW = 10
@@ -23,18 +23,18 @@ AUTOMATON_BYTES = 8_000_000
 _FOUND = [
     T.StructField("n_words", T.LongType()),
     T.StructField("n_hit", T.LongType()),
-    T.StructField("items", T.ArrayType(T.LongType())),
+    T.StructField("found", T.ArrayType(T.LongType())),
     T.StructField("runs", T.ArrayType(T.ArrayType(T.LongType()))),
     T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),
 ]
 
 
-def windows_of(benchmark: DataFrame, window: int = WINDOW) -> list[tuple[str, list[int]]]:
-    """Distinct normalised windows of all items with the ids of the items that hold them.
+def windows_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Distinct normalised windows of all items, each with the ids of items that hold it: window, item; staged.
 
     An item of fewer words than a window is one window; an item without words, or without text,
-    has none. An item without id still marks words but is not listed. Spark splits the items and
-    merges equal windows; the driver gets the distinct ones, which it must hold to build from.
+    has none. An item without id still gives its windows, with a null. Items of a window are rows, so
+    one that a third of the items holds is gathered nowhere.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,40 +51,36 @@ def windows_of(benchmark: DataFrame, window: int = WINDOW) -> list[tuple[str, li
             )
 
     cuts = map_batches(benchmark.select(F.col("item_id").cast("long"), "text"), cut, "window string, item long")
-    merged = cuts.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    return [(r["window"], list(r["items"])) for r in merged.toLocalIterator()]
-
-
-def groups_of(windows: list[tuple[str, list[int]]], limit: int) -> list[list[tuple[str, list[int]]]]:
-    """The windows in groups of at most ``limit`` bytes of text (one window at least)."""
-    groups: list[list[tuple[str, list[int]]]] = [[]]
-    held = 0
-    for window in sorted(windows):
-        size = len(window[0].encode())
-        if groups[-1] and held + size > limit:
-            groups.append([])
-            held = 0
-        groups[-1].append(window)
-        held += size
-    return groups
-
-
-def _built(windows: Sequence[tuple[str, list[int]]]) -> ahocorasick.Automaton:
-    """The automaton of a group of windows."""
+    return stage(cuts.distinct())
+
+
+def grouped(windows: DataFrame, limit: int) -> DataFrame:
+    """Distinct windows with a ``number`` each and the ``part`` it is in; staged.
+
+    A part holds at most ``limit`` bytes of text and one window. Numbers and parts follow from running totals in the
+    windows' order, so neither the driver nor a task sees them all.
+    """
+    sized = windows.select("window").distinct().select("window", F.octet_length("window").cast("long").alias("size"), F.lit(1).cast("long").alias("one"))
+    totals = running_totals(sized, ["window"], ["size", "one"])
+    return stage(totals.select("window", F.col("one_before").alias("number"), F.expr(f"size_before div {limit}").alias("part")))
+
+
+def _built(windows: Sequence[tuple[str, int]]) -> ahocorasick.Automaton:
+    """The automaton of a part of the windows."""
     machine = ahocorasick.Automaton()
-    for text, items in windows:
-        machine.add_word(f" {text} ", (len(text) + 2, text.count(" ") + 1, items))
+    for text, number in windows:
+        machine.add_word(f" {text} ", (len(text) + 2, text.count(" ") + 1, number))
     machine.make_automaton()
     return machine
 
 
 def find(text: str | None, machine) -> tuple[int, list[int], list[tuple[int, int]]]:
-    """Words of the text, items found, and maximal runs of hit words as (first, one past the last)."""
+    """Words of the text, numbers of windows found, and maximal runs of hit words as (first, one past the last)."""
     words = plain_bytes(text).split()
     if not words:
         return 0, [], []
     line = f" {b' '.join(words).decode()} "
-    matches = [(end - length + 1, count, items) for end, (length, count, items) in machine.iter(line)] if len(machine) else []
+    matches = [(end - length + 1, count, number) for end, (length, count, number) in machine.iter(line)] if len(machine) else []
     if not matches:
         return len(words), [], []
     blanks = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), np.uint32) == 32)
@@ -94,8 +90,8 @@ def find(text: str | None, machine) -> tuple[int, list[int], list[tuple[int, int
     np.add.at(step, firsts + np.array([count for _, count, _ in matches]), -1)
     hit = np.concatenate([[0], (np.cumsum(step)[:-1] > 0).astype(np.int8), [0]])
     turns = np.flatnonzero(np.diff(hit))
-    items = sorted({i for _, _, found in matches for i in found})
-    return len(words), items, list(zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True))
+    numbers = sorted({number for _, _, number in matches})
+    return len(words), numbers, list(zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True))
 
 
 def original_spans(text: str, runs: Sequence[tuple[int, int]]) -> list[list[int]]:
@@ -116,8 +112,9 @@ def scan(
     carry: Sequence[str] = (),
     window: int = WINDOW,
     automaton_bytes: int = AUTOMATON_BYTES,
+    items: bool = True,
 ) -> DataFrame:
-    """Every document with the benchmark words it holds; each text is read once.
+    """Every document with the benchmark words it holds.
 
     Texts and items are normalised alike: A-Z lower-cased, words of ASCII letters, digits and all
     other characters beyond ASCII. A word inside any occurrence of a window is hit.
@@ -125,32 +122,69 @@ def scan(
     Returns doc_id, the columns in ``carry``, ``n_words``, ``n_hit``, ``items`` (sorted distinct
     ids), ``runs`` (hit words, [first, one past the last]) and ``spans`` (the same as characters of
     the original text). An empty or null text has no words and no hits; an empty benchmark hits
-    nothing; repeated rows are judged each by itself.
+    nothing; repeated rows are judged each by itself. Very long texts are scanned whole, row by row. Columns that
+    bear the name of a result are replaced by it, all others in ``carry`` stay as they are.
+
+    The automaton holds windows and their numbers. Which items hold a window stays in a staged table, and
+    the windows that a document holds are joined to it; without ``items`` that column and the join are left
+    out, and no carried text moves.
 
-    The windows are broadcast only up to ``automaton_bytes``. A larger benchmark is cut into groups
-    of that size; every group scans the documents with its own automaton and the runs of a row are
+    The windows are broadcast only up to ``automaton_bytes`` (and one window). A larger benchmark is cut into parts
+    of that size, read one at a time; every part scans the documents with its own automaton and the runs of a row are
     merged, so memory stays bounded and nothing is left out.
     """
-    taken = [c for c in carry if c not in {"doc_id", *[f.name for f in _FOUND]}]
-    wanted = list(dict.fromkeys(["doc_id", "text", *taken]))
-    groups = groups_of(windows_of(benchmark, window), automaton_bytes)
-    rows = docs.select(*wanted)
-    if len(groups) == 1:
-        return _scanned(rows, groups[0], taken)
-    rows = stage(rows.withColumn("_row", F.monotonically_increasing_id()))
-    parts = [_scanned(rows.select("_row", "doc_id", "text"), g, ["_row"]) for g in groups]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.union(part)
-    merged = every.groupBy("_row").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.flatten(F.collect_list("runs")).alias("_runs"),
+    results = {"doc_id", "items", *[f.name for f in _FOUND]}
+    taken = [c for c in carry if c not in results]
+    rows = docs.select(*dict.fromkeys(["doc_id", "text", *taken]))
+    row = spare("_row", rows)
+    cuts = windows_of(benchmark, window)
+    windows = grouped(cuts, automaton_bytes)
+    last = windows.agg(F.max("part")).first()[0]
+    if not last:
+        marked = rows.withColumn(row, F.monotonically_increasing_id()) if items else rows
+        every = _scanned(marked, _part(windows, 0), [*taken, *([row] if items else [])])
+    else:
+        rows = stage(rows.withColumn(row, F.monotonically_increasing_id()))
+        every = None
+        for part in range(last + 1):
+            found = _scanned(rows.select(row, "doc_id", "text"), _part(windows, part), [row])
+            every = every.union(found) if every is not None else found
+        merged = every.groupBy(row).agg(
+            F.max("n_words").alias("n_words"),
+            F.flatten(F.collect_list("found")).alias("found"),
+            F.flatten(F.collect_list("runs")).alias("runs"),
+        )
+        every = _merged(rows.join(merged, row), [*taken, row])
+    if not items:
+        return every.select("doc_id", *taken, "n_words", "n_hit", "runs", "spans")
+    every = stage(every)
+    names = cuts.filter("item is not null").join(windows, "window").select("number", "item")
+    at = spare("_at", every)
+    held = every.select(F.col(row).alias(at), F.explode("found").alias("number")).join(names, "number")
+    listed = held.groupBy(at).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    none = F.array().cast("array<bigint>")
+    return every.join(listed, F.col(row) == F.col(at), "left").select(
+        "doc_id", *[every[c] for c in taken], "n_words", "n_hit", F.coalesce("items", none).alias("items"), "runs", "spans"
     )
-    return _merged(rows, merged, taken)
 
 
-def _scanned(rows: DataFrame, windows: list[tuple[str, list[int]]], taken: Sequence[str]) -> DataFrame:
+def without_hits(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` in which no word is hit, with all their columns, whatever these are called.
+
+    Rows without text have no words and stay; repeated rows all stay or all go; an empty benchmark leaves all.
+    """
+    names = {c: f"_own{i}" for i, c in enumerate(docs.columns) if c not in {"doc_id", "text"}}
+    renamed = docs.select(*[F.col(c).alias(names.get(c, c)) for c in docs.columns])
+    found = scan(renamed, benchmark, carry=["text", *names.values()], items=False, **options)
+    return found.filter("n_hit = 0").select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+
+
+def _part(windows: DataFrame, part: int) -> list[tuple[str, int]]:
+    """The windows of one part with their numbers, on the driver."""
+    return [tuple(r) for r in windows.filter(F.col("part") == part).select("window", "number").toLocalIterator()]
+
+
+def _scanned(rows: DataFrame, windows: list[tuple[str, int]], taken: Sequence[str]) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(windows)
     key = uuid.uuid4().hex
     kept = ["doc_id", *taken]
@@ -161,10 +195,10 @@ def _scanned(rows: DataFrame, windows: list[tuple[str, list[int]]], taken: Seque
         for batch in batches:
             found = defaultdict(list)
             for text in batch.column("text").to_pylist():
-                n, items, runs = find(text, machine)
+                n, numbers, runs = find(text, machine)
                 found["n_words"].append(n)
                 found["n_hit"].append(sum(b - a for a, b in runs))
-                found["items"].append(items)
+                found["found"].append(numbers)
                 found["runs"].append([list(r) for r in runs])
                 found["spans"].append(original_spans(text, runs) if runs else [])
             pairs = pa.list_(pa.list_(pa.int64()))
@@ -177,15 +211,16 @@ def _scanned(rows: DataFrame, windows: list[tuple[str, list[int]]], taken: Seque
     return map_batches(rows, matched, schema, keeps=key)
 
 
-def _merged(rows: DataFrame, merged: DataFrame, taken: Sequence[str]) -> DataFrame:
+def _merged(rows: DataFrame, taken: Sequence[str]) -> DataFrame:
+    """Rows with the runs of all parts: runs that meet joined, and what follows from them."""
     kept = ["doc_id", *taken]
-    both = rows.join(merged, "_row").select(*dict.fromkeys([*kept, "text"]), "n_words", "items", "_runs")
+    both = rows.select(*dict.fromkeys([*kept, "text"]), "n_words", "found", "runs")
     schema = T.StructType([*[both.schema[c] for c in kept], *_FOUND])
 
     def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs_of, spans_of = [], []
-            for text, runs in zip(batch.column("text").to_pylist(), batch.column("_runs").to_pylist(), strict=True):
+            for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
                 joined: list[list[int]] = []
                 for a, b in sorted(runs):
                     if joined and a <= joined[-1][1]:
@@ -197,7 +232,7 @@ def _merged(rows: DataFrame, merged: DataFrame, taken: Sequence[str]) -> DataFra
             pairs = pa.list_(pa.list_(pa.int64()))
             hits = pa.array([sum(b - a for a, b in r) for r in runs_of], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in kept], batch.column("n_words"), hits, batch.column("items"), pa.array(runs_of, pairs), pa.array(spans_of, pairs)],
+                [*[batch.column(c) for c in kept], batch.column("n_words"), hits, batch.column("found"), pa.array(runs_of, pairs), pa.array(spans_of, pairs)],
                 names=[*kept, *[f.name for f in _FOUND]],
             )
 

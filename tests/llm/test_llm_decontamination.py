@@ -56,11 +56,37 @@ def test_hits_equal_brute_force(case, limit):
             assert normal(texts[r.doc_id][start:end]) == words[a:b]
 
 
-def test_groups_keep_every_window():
-    windows = [(f"w{i} x", [i]) for i in range(10)]
-    groups = decontamination.groups_of(windows, 12)
-    assert len(groups) == 4 and sorted(w for g in groups for w in g) == windows
-    assert decontamination.groups_of([], 12) == [[]]
+def test_parts_keep_every_window(spark):
+    rows = [(f"w{i} x", item) for i in range(10) for item in range(3)]
+    windows = spark.createDataFrame(rows, "window string, item long")
+    parts = decontamination.grouped(windows, 12).collect()
+    assert sorted(r.window for r in parts) == sorted({w for w, _ in rows}) and sorted(r.number for r in parts) == list(range(10))
+    sizes = [sum(len(r.window) for r in parts if r.part == p) for p in {r.part for r in parts}]
+    assert len(sizes) == 4 and max(sizes) <= 12 + 4
+    assert decontamination.grouped(windows.limit(0), 12).isEmpty()
+
+
+@pytest.mark.parametrize("limit", [10**6, 400])
+def test_a_window_that_most_items_hold(spark, documents, limit):
+    """Each document names all items, and the items of a window are rows, never one list for the driver."""
+    benchmark = spark.createDataFrame([(i, f"the same start of it {'end' if i % 2 else f'x{i}'}") for i in range(60)], "item_id long, text string")
+    docs = documents([(1, "so: The same start of it."), (2, "nothing here"), (3, "same start of it x4")])
+    got = {r.doc_id: r for r in decontamination.scan(docs, benchmark, window=5, automaton_bytes=limit).collect()}
+    assert got[1]["items"] == list(range(60)) and got[1].spans == [[4, 24]]
+    assert got[2]["items"] == [] and got[3]["items"] == [4]  # the last five words of item 4
+    assert decontamination.windows_of(benchmark, 5).filter("window = 'the same start of it'").count() == 60
+    lean = decontamination.scan(docs, benchmark, window=5, automaton_bytes=limit, items=False)
+    assert lean.columns == ["doc_id", "n_words", "n_hit", "runs", "spans"]
+    assert {r.doc_id: r.n_hit for r in lean.collect()} == {1: 5, 2: 0, 3: 5}
+
+
+@pytest.mark.parametrize("limit", [10**6, 20])
+def test_clean_rows_keep_all_columns(odd, spark, limit):
+    benchmark = spark.createDataFrame([(2, "word"), (1, "same text here for all of us to read now")], "item_id long, text string")
+    rows = odd.withColumn("_row", odd.doc_id * 2).withColumn("found", odd.text).withColumn("runs", odd.doc_id).withColumn("items", odd.lang)
+    left = decontamination.without_hits(rows, benchmark, automaton_bytes=limit)
+    assert left.schema == rows.schema
+    assert sorted(map(str, left.collect())) == sorted(str(r) for r in rows.collect() if r.doc_id not in (4, 6, 7))
 
 
 def test_odd_rows(odd, nothing, spark):
