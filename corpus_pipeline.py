@@ -22,8 +22,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    found = decontamination.scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=docs.columns)
-    return found.filter("n_hit = 0").select(*docs.columns)
+    return decontamination.without_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
