@@ -110,3 +110,21 @@ def test_odd_rows(odd, nothing):
     assert got[1].n_tokens == got[2].n_tokens == 1 and got[6].ids_crc32 == got[7].ids_crc32
     assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(9)]
     assert tokens.read_tokens(tokens.write_tokens(nothing, str(tokens.default_tokenizer()))).isEmpty()
+
+
+def test_rows_of_one_id_go_to_many_tasks(spark, documents, plain):
+    """Rows without id, and rows of one id, are spread over files; the places still follow each other."""
+    rows = [(None, f"text {i} {TEXTS[i % len(TEXTS)]}") for i in range(300)] + [(9, f"w{i}") for i in range(300)] + [(4, "a")]
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = tokens.write_tokens(documents(rows), str(tokens.default_tokenizer()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    files = [r.n_docs for r in manifest.collect()]
+    assert sum(files) == 601 and len(files) >= 4 and max(files) < 200
+    got = sorted(tokens.read_tokens(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 300 + [4] + [9] * 300
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(601)]
+    want = sorted((str(d), zlib.crc32(np.array(plain.encode(t, add_special_tokens=False).ids + [0], "<u4").tobytes())) for d, t in rows)
+    assert sorted((str(r.doc_id), r.ids_crc32) for r in got) == want
