@@ -18,6 +18,8 @@ from basketry.llm.shared import map_batches, mix, n_words, running_totals, spare
 BLOCK = 128
 SHARD_BLOCKS = 1024
 MOST = 3
+#: Output shards, about, whose slots a task lists.
+TASK_SHARDS = 64
 #: Sources that the plan, one row for each on the driver and in each task, may have.
 MAX_SOURCES = 100_000
 
@@ -177,7 +179,8 @@ def draw(spark: SparkSession, sources: Sequence[Source], shard_blocks: int = SHA
                     names=["shard", "slot", "src", "pass", "block"],
                 )
 
-    whole = placed.groupBy("shard").agg(
+    spread = placed.repartition(1 + shards // TASK_SHARDS, "shard")  # each row becomes a shard's slots: no merging by bytes
+    whole = spread.groupBy("shard").agg(
         F.collect_list(F.struct("src", F.col("n_before").alias("first"), "n")).alias("parts")
     )
     return map_batches(whole, dealt, "shard long, slot long, src long, pass long, block long")
