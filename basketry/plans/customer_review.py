@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from basketry.functions.dates import date_to_serial, serial_to_date, yearmonth
 from basketry.functions.values import largest_first, smallest_first
 from basketry.operators import affinity as aff
-from basketry.operators import cleaning, distribution, inference, outliers, profiling, quantiles, segments
+from basketry.operators import aliases, cleaning, distribution, inference, outliers, profiling, quantiles, segments
 from basketry.plans import fixture as fx
 from basketry.plans.rounding import fixed
 from basketry.session import stage, staging_path
@@ -258,6 +258,25 @@ def brand_cleaned(spark, root):
     return cleaning.unify_brands(kept, fx.BRAND_ALIASES).select("raw", "BRAND")
 
 
+def _respelt(spark, root):
+    """Product names with some first words shortened by the fixture's rule, so that there are aliases to be found."""
+    named = cleaning.product_features(_merged(spark, root), {})
+    brand, size = F.col("BRAND"), F.col("PACK_SIZE")
+    short = F.when(size % fx.BARE_PACKS == 0, aliases.skeleton(brand)).when(
+        size % fx.CUT_PACKS == 0, F.expr("left(BRAND, length(BRAND) - 1)")
+    )
+    rest = F.substr("PROD_NAME", F.length(brand) + 1)
+    return named.select(F.concat(F.coalesce(short, brand), rest).alias("PROD_NAME"), "n")
+
+
+def brand_aliases_proposed(spark, root):
+    return aliases.propose(_respelt(spark, root))
+
+
+def brand_aliases_resolved(spark, root):
+    return aliases.resolved(aliases.propose(_respelt(spark, root)))
+
+
 def distinct_brands(spark, root):
     named = cleaning.product_features(_names(spark, root), fx.BRAND_ALIASES)
     return named.select("BRAND").distinct()
@@ -473,6 +492,8 @@ QUERIES = [
     product_features,
     brand_raw,
     brand_cleaned,
+    brand_aliases_proposed,
+    brand_aliases_resolved,
     distinct_brands,
     pack_size_counts,
     brand_counts,

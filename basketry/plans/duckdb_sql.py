@@ -49,6 +49,39 @@ seg AS (
   FROM enr GROUP BY ALL)
 """
 
+def _bare(word: str) -> str:
+    return f"(left({word}, 1) || regexp_replace(substr({word}, 2), '[AEIOU]', '', 'g'))"
+
+
+# Links between brand spellings, from products whose first word the fixture's rule shortens.
+_ALIASES = f"""respelt AS (
+  SELECT CASE WHEN PACK_SIZE % {fx.BARE_PACKS} = 0 THEN {_bare("RAW")} WHEN PACK_SIZE % {fx.CUT_PACKS} = 0 THEN left(RAW, len(RAW) - 1)
+              ELSE RAW END || substr(PROD_NAME, len(RAW) + 1) AS name FROM branded WHERE PROD_NAME IS NOT NULL),
+prod AS (SELECT upper(split_part(name, ' ', 1)) AS b, regexp_extract_all(upper(name), '[A-Z]+') AS w, count(*) AS n FROM respelt GROUP BY ALL),
+br AS (SELECT b, CAST(sum(n) AS BIGINT) AS n FROM prod WHERE b <> '' GROUP BY b),
+short AS (
+  SELECT 'letters' AS rule, left(b, 1) || b[i] AS key, b FROM br, unnest(range(2, len(b) + 1)) AS t(i) WHERE regexp_full_match(b, '[A-Z]{{4,30}}')
+  UNION SELECT 'letters', left(b, 1) || b[i] || b[j], b FROM br, unnest(range(2, len(b))) AS t(i), unnest(range(i + 1, len(b) + 1)) AS u(j)
+    WHERE regexp_full_match(b, '[A-Z]{{4,30}}')
+  UNION SELECT 'truncated', left(b, len(b) - k), b FROM br, (VALUES (1), (2)) AS t(k) WHERE len(b) - k >= 4
+  UNION SELECT 'initials', array_to_string(list_transform(w[1:k], lambda x: left(x, 1)), ''), b FROM prod, (VALUES (3), (4), (5)) AS t(k)
+    WHERE len(w) >= k AND b <> ''),
+spelt AS (
+  SELECT {_bare("b")} AS key, b FROM br WHERE regexp_full_match(b, '[A-Z]+') AND len({_bare("b")}) >= 4
+  UNION SELECT {_bare("(w[1] || w[2])")}, b FROM prod WHERE len(w) > 1 AND b <> '' AND len({_bare("(w[1] || w[2])")}) >= 4),
+ranked AS (
+  SELECT rule, key, b, n, row_number() OVER (PARTITION BY rule, key ORDER BY n DESC, len(b) DESC, b DESC) AS place
+  FROM (SELECT * FROM short WHERE key <> b UNION ALL SELECT 'spelling', key, b FROM spelt) JOIN br USING (b)),
+near AS (
+  SELECT r.rule, a.b AS x, a.n AS nx, r.b AS y, r.n AS ny FROM br a JOIN ranked r ON r.key = a.b
+  WHERE place = 1 AND rule <> 'spelling' AND (rule <> 'letters' OR (len(a.b) IN (2, 3) AND {_bare("a.b")} = a.b))
+  UNION SELECT l.rule, l.b, l.n, h.b, h.n FROM ranked l JOIN ranked h ON h.rule = 'spelling' AND l.rule = 'spelling' AND h.key = l.key AND h.place = 1),
+links AS (
+  SELECT CASE WHEN up THEN x ELSE y END AS alias, CASE WHEN up THEN y ELSE x END AS brand, CASE WHEN up THEN nx ELSE ny END AS n_alias,
+         CASE WHEN up THEN ny ELSE nx END AS n_brand, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules
+  FROM (SELECT *, (nx, len(x), x) < (ny, len(y), y) AS up FROM near WHERE x <> y) GROUP BY 1, 2, 3, 4)
+"""
+
 G = fx.GAPS
 # The transactions with the fixture's missing and unknown values, after the product filter, and joined.
 _GAPPED = f"""{_TXN},
@@ -423,6 +456,11 @@ WHERE abs(units - middle) > 10 * spread""",
         "product_features": f"SELECT {enriched} FROM feat",
         "brand_raw": "SELECT DISTINCT PROD_NAME, RAW AS BRAND FROM branded",
         "brand_cleaned": f"SELECT DISTINCT RAW AS raw, CASE RAW {_ALIAS} ELSE RAW END AS BRAND FROM branded",
+        "brand_aliases_proposed": f"SELECT * FROM (WITH {_ALIASES} SELECT * FROM links)",
+        "brand_aliases_resolved": f"""SELECT * FROM (WITH RECURSIVE {_ALIASES},
+best AS (SELECT alias, brand FROM links QUALIFY row_number() OVER (PARTITION BY alias ORDER BY n_brand DESC, len(brand) DESC, brand DESC) = 1),
+chain AS (SELECT alias, brand FROM best UNION ALL SELECT c.alias, b.brand FROM chain c JOIN best b ON c.brand = b.alias)
+SELECT alias, brand FROM chain WHERE brand NOT IN (SELECT alias FROM best))""",
         "distinct_brands": "SELECT DISTINCT BRAND FROM feat",
         "pack_size_counts": "SELECT PACK_SIZE, count(*) AS count FROM feat GROUP BY PACK_SIZE",
         "brand_counts": "SELECT RAW AS BRAND, count(*) AS count FROM branded GROUP BY RAW",

@@ -11,6 +11,8 @@ OUTLIER_CARD = 12
 OUTLIER_FACTOR = 100  # the outlier card's units are so many times as large where it is to be found
 BRAND_ALIASES = {"OLD": "NEW", "HOT": "COLD"}
 PACK_SIZE = 27
+# Names with such pack sizes spell their first word without vowels, or without its last letter.
+BARE_PACKS, CUT_PACKS = 5, 7
 LIFESTAGE = "BUILDING"
 TTEST_LIFESTAGES = ("BUILDING", "MACHINERY")
 PREMIUM = "Mainstream"
