@@ -22,6 +22,8 @@ from basketry.llm.shared import map_batches, remembered, staging_folder
 
 #: Id that ends every document.
 END_ID = 0
+#: Characters of a text that, after its doc_id, choose its file.
+RANGE_CHARS = 64
 
 # White space other than single blanks and line ends; beside it a word can't be encoded by itself.
 _ASCII_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
@@ -212,9 +214,9 @@ def _placed(folder: str) -> tuple[pa.fs.FileSystem, str]:
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Encode all texts and write them in ascending ``doc_id`` order to packed files in ``folder``.
 
-    Documents are range-partitioned and sorted by doc_id (null first) and a hash of the text, so rows without
-    id, or of one id, that are a third of the table go to many tasks; only equal texts of one id stay together. The
-    files, one per partition, follow each other. Texts move once; ids go from the tokenizer straight
+    Documents are range-partitioned by doc_id (null first) and the start of the text, and sorted by doc_id and
+    text, so rows without id, or of one id, that are a third of the table go to many tasks; only texts of one id
+    with the same start stay together. The files, one per partition, follow each other. Texts move once; ids go from the tokenizer straight
     to the file, with one unfinished block and the index in memory. A file gets a name of its own per
     attempt and counts only if its task succeeds, so retried or lost tasks leave nothing that is read.
 
@@ -251,8 +253,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
             }
         )
 
-    order = ["doc_id", F.xxhash64("text"), "text"]
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+    start = F.substring("text", 1, RANGE_CHARS)  # in the order of the texts, and short enough for the bounds of ranges
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id", start).sortWithinPartitions("doc_id", "text")
     manifest = map_batches(ordered, write, "shard long, file string, n_docs long, n_ids long", keeps=tokenizer_path)
     manifest.write.parquet(f"{folder}/manifest")
     return spark.read.schema(manifest.schema).parquet(f"{folder}/manifest").withColumn("folder", F.lit(folder))
