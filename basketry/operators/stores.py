@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.dates import yearmonth
 from basketry.functions.values import known_number
+from basketry.session import spread
 
 METRICS = ("totSales", "nCustomers")
 
@@ -42,25 +43,41 @@ class TrialDesign:
         return F.col("YEARMONTH").between(self.trial_start, self.trial_end)
 
 
+def _dated(txns: DataFrame) -> DataFrame:
+    return txns if "YEARMONTH" in txns.columns else txns.withColumn("YEARMONTH", yearmonth(F.col("DATE")))
+
+
+def by_customer(txns: DataFrame) -> DataFrame:
+    """The lines with their month, dealt out by (store, month, customer) for sums per customer.
+
+    Customers of a store and month are nearly as many as its lines, so the task that reads the lines would
+    hold almost all of them in a hash table without making them fewer.
+    """
+    return spread(_dated(txns), "STORE_NBR", "YEARMONTH", "LYLTY_CARD_NBR")
+
+
 def store_month_measures(txns: DataFrame, co_located: bool = False) -> DataFrame:
     """Sales, customers, transactions per customer, units per transaction and unit price.
 
     The lines are added up per (store, month, customer), and told apart per (store, month, transaction);
-    both then count by store and month. So no line is copied for the two distinct counts, the tasks
-    combine first, and a store with very many rows is spread over all of them. NaN is a missing number, as
-    NULL is; missing ids count as one.
+    both then count by store and month. So no line is copied for the two distinct counts, and a store with
+    very many rows is spread over all tasks; a task holds the customers of its share of the
+    partitions that the session names, however few cores there are. NaN is a missing number, as NULL is;
+    missing ids count as one.
 
     ``co_located`` is for tables bucketed by store and month, in which both are known: nothing is moved then.
     """
-    months = txns if "YEARMONTH" in txns.columns else txns.withColumn("YEARMONTH", yearmonth(F.col("DATE")))
     key = ["STORE_NBR", "YEARMONTH"]
+    months = _dated(txns) if co_located else by_customer(txns)
+    baskets = _dated(txns).select(*key, "TXN_ID")
     per_customer = months.groupBy(*key, "LYLTY_CARD_NBR").agg(
         F.sum(known_number("TOT_SALES")).alias("sales"), F.sum(known_number("PROD_QTY")).alias("units")
     )
     sums = per_customer.groupBy(*key).agg(
         F.sum("sales").alias("totSales"), F.sum("units").alias("units"), F.count(F.lit(1)).alias("nCustomers")
     )
-    txns_of = months.select(*key, "TXN_ID").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("txns"))
+    baskets = baskets if co_located else spread(baskets, *key, "TXN_ID")
+    txns_of = baskets.distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("txns"))
     if co_located:
         met = sums.join(txns_of.hint("merge"), key)
     else:
@@ -84,10 +101,12 @@ def measures_of_sums(sums: DataFrame) -> DataFrame:
 
 
 def sales_and_customers(txns: DataFrame) -> DataFrame:
-    """The two measures that the trial steps use, summed per customer before they are counted."""
-    months = txns if "YEARMONTH" in txns.columns else txns.withColumn("YEARMONTH", yearmonth(F.col("DATE")))
+    """The two measures that the trial steps use, summed per customer before they are counted.
+
+    Lines that are not bucketed by store and month come through ``by_customer``.
+    """
     per_customer = (
-        months.groupBy("STORE_NBR", "YEARMONTH", "LYLTY_CARD_NBR")
+        _dated(txns).groupBy("STORE_NBR", "YEARMONTH", "LYLTY_CARD_NBR")
         .agg(F.sum(known_number("TOT_SALES")).alias("sales"))
     )
     return per_customer.groupBy("STORE_NBR", "YEARMONTH").agg(

@@ -171,7 +171,7 @@ def trial(
     first, second = (list(design.trials) + [None, None])[:2]
     odd = as_written and second is not None
     monthly = stage(
-        stores.with_observed_months(stores.sales_and_customers(enriched), design), folder
+        stores.with_observed_months(stores.sales_and_customers(stores.by_customer(enriched)), design), folder
     )
     pre = stores.pre_trial_measures(monthly, design)
     scores = control.control_scores(pre, design, [second] if odd else ())

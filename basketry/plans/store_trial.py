@@ -24,7 +24,7 @@ def _measures(spark: SparkSession, root: str) -> DataFrame:
 def _staged_measures(spark: SparkSession, root: str) -> DataFrame:
     """Measures the trial steps need, written once: several branches read them."""
     txns = tpch.transactions(spark, root, ("DATE", "STORE_NBR", "LYLTY_CARD_NBR", "TOT_SALES"))
-    monthly = stores.with_observed_months(stores.sales_and_customers(txns), DESIGN)
+    monthly = stores.with_observed_months(stores.sales_and_customers(stores.by_customer(txns)), DESIGN)
     return stage(monthly)
 
 

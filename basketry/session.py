@@ -50,3 +50,13 @@ def stage(df: DataFrame, folder: str | None = None) -> DataFrame:
     path = staging_path(spark, folder)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal the rows out by ``keys`` over as many tasks as ``spark.sql.shuffle.partitions`` names.
+
+    For groups by ``keys`` (or by these and more columns) that are nearly as many as the rows. Adaptive execution
+    merges small partitions until there is one per core, and a core's share of all groups is then held in one
+    task's hash table; a number that is asked for is left as it is.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

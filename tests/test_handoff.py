@@ -241,3 +241,13 @@ def test_checks_of_no_rows_and_far_dates(spark, txns, tmp_path):
     with pytest.raises(ValueError):
         far = spark.createDataFrame([(dt.date(1950, 1, 1), 1, 1, 1, "a", 1.0, 1.0)], SCHEMA).withColumn("LIFESTAGE", F.lit("x"))
         handoff.write_checked(far, str(tmp_path / "far"), "Salsa")
+
+
+# --- work of a task, whatever the table's size ------------------------------------------------
+
+
+def test_measures_deal_customers_and_baskets_out(spark, txns):
+    """Sums per customer and distinct transactions lie behind exchanges that adaptive execution doesn't merge."""
+    plan = stores.store_month_measures(txns)._jdf.queryExecution().executedPlan().toString()
+    for ids in ("LYLTY_CARD_NBR", "TXN_ID"):
+        assert any(ids in line and "REPARTITION_BY_NUM" in line for line in plan.splitlines())
