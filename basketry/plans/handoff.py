@@ -30,7 +30,8 @@ def _kept_months(spark: SparkSession, root: str) -> handoff.MonthlyHandoff:
 def store_measures_bucketed(spark: SparkSession, root: str) -> DataFrame:
     """The monthly measures from a hand-off bucketed by store and month."""
     table = f"handoff_{uuid.uuid4().hex}"
-    handoff.write_bucketed(tpch.transactions(spark, root, _COLUMNS), table, 16)
+    buckets = handoff.buckets_for(tpch.table(spark, root, "lineitem").count(), 16)  # a count of the file footers
+    handoff.write_bucketed(tpch.transactions(spark, root, _COLUMNS), table, buckets)
     return fixed(stores.store_month_measures(spark.table(table), co_located=True), totSales=2)
 
 

@@ -16,15 +16,24 @@ from basketry.session import stage, staging_path
 
 KEY = ("STORE_NBR", "YEARMONTH")
 
+#: Rows of a bucket, about: whoever reads it groups them in one task.
+BUCKET_ROWS = 500_000
+
 # --- bucketed by store and month ----------------------------------------------------------
 
 
+def buckets_for(rows: int, least: int) -> int:
+    """Buckets for so many rows: at least ``least``, and so many that a bucket's size doesn't grow with the table."""
+    return max(least, -(-rows // BUCKET_ROWS))
+
+
 def write_bucketed(enriched: DataFrame, table: str, buckets: int = 64, folder: str | None = None) -> None:
     """Write the enriched rows as a table bucketed by store and month, a file per bucket, sorted within.
 
     The buckets are those of Spark's own hash exchange, so whatever groups or joins by store and month, or
     by these and more columns, reads the table without moving a row. A store that holds a third of all
-    rows is spread over the buckets of its months. Rows without store or date raise.
+    rows is spread over the buckets of its months. Rows without store or date raise. A task reads a bucket
+    whole, so their number should follow the rows (``buckets_for``).
     """
     path = staging_path(enriched.sparkSession, folder)
     known = F.col("STORE_NBR").isNotNull() & F.col("DATE").isNotNull()

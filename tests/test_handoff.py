@@ -246,6 +246,19 @@ def test_checks_of_no_rows_and_far_dates(spark, txns, tmp_path):
 # --- work of a task, whatever the table's size ------------------------------------------------
 
 
+def test_buckets_follow_the_rows(spark, tiny, monkeypatch):
+    assert [handoff.buckets_for(n, 16) for n in (0, 8_000_000, 8_000_001, 216_000_000)] == [16, 16, 17, 432]
+    from basketry.plans import handoff as plans
+
+    seen = []
+    write = handoff.write_bucketed
+    monkeypatch.setattr(handoff, "BUCKET_ROWS", 250)
+    monkeypatch.setattr(handoff, "write_bucketed", lambda df, table, buckets: (seen.append(buckets), write(df, table, buckets)))
+    n = plans.store_measures_bucketed(spark, tiny).count()
+    lines = spark.read.parquet(f"{tiny}/lineitem.parquet").count()
+    assert n > 0 and seen == [-(-lines // 250)] and seen[0] > 16
+
+
 def test_measures_deal_customers_and_baskets_out(spark, txns):
     """Sums per customer and distinct transactions lie behind exchanges that adaptive execution doesn't merge."""
     plan = stores.store_month_measures(txns)._jdf.queryExecution().executedPlan().toString()
