@@ -13,60 +13,96 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketry.session import spread
+
 #: Most ids of a bucket that are listed; a list of more would be no smaller than the bitmap.
 LISTED = 2048
 
 
-def _held(points: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Distinct (by, bucket, position) rows as one row per bucket: the positions and the bitmap of them."""
-    return points.groupBy(*by, "bucket").agg(
-        F.sort_array(F.collect_list("position")).alias("positions"),  # a bucket has 32,768 positions at most
-        F.bitmap_construct_agg("position").alias("bitmap"),
-    )
+def _with_bits(bitmap: Column, positions: Column) -> Column:
+    """The bitmap (none: empty) with the bits of the ascending positions set; its eight-byte words pass as hex digits.
+
+    Laid out as by ``bitmap_construct_agg``: bit ``p % 8`` of byte ``p // 8``, 4,096 bytes.
+    """
+    base = F.coalesce(F.hex(bitmap), F.repeat(F.lit("0"), F.lit(8192)))
+
+    def stored(word: Column) -> Column:
+        return F.conv(F.substring(base, word * 16 + 1, F.lit(16)), 16, -10).cast("bigint")
+
+    def digits(bits: Column) -> Column:
+        return F.lpad(F.hex(bits), 16, "0")
+
+    def put(done: Column, position: Column) -> Column:
+        p = position.cast("int")
+        word = F.shiftright(p, 6)
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), 56 - F.shiftright(p % 64, 3) * 8 + p % 8)
+        same = word == done["word"]
+        between = F.substring(base, (done["word"] + 1) * 16 + 1, (word - done["word"] - 1) * 16)
+        begun = F.when(done["word"] < 0, between).otherwise(F.concat(done["text"], digits(done["bits"]), between))
+        return F.struct(
+            F.when(same, done["text"]).otherwise(begun).alias("text"),
+            word.alias("word"),
+            F.when(same, done["bits"]).otherwise(stored(word)).bitwiseOR(bit).alias("bits"),
+        )
+
+    def whole(done: Column) -> Column:
+        rest = F.substring(base, (done["word"] + 1) * 16 + 1, F.lit(8192))
+        return F.unhex(F.when(done["word"] < 0, rest).otherwise(F.concat(done["text"], digits(done["bits"]), rest)))
 
+    nothing = F.struct(F.lit("").alias("text"), F.lit(-1).alias("word"), F.lit(0).cast("bigint").alias("bits"))
+    return F.aggregate(positions, nothing, put, whole)
 
-def _smaller(held: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Keep the positions of thin buckets and the bitmaps of full ones."""
-    thin = F.bitmap_count("bitmap") <= LISTED
+
+def _held(points: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows (by, bucket, position, bitmap), of which either is null, as one row per bucket; at most one has a bitmap.
+
+    Thin buckets list their positions. Only a fuller one, or one that has a bitmap, gets a bitmap: most
+    states have very many thin buckets, and 4 KB for each would outweigh their ids a hundred times.
+    """
+    held = points.groupBy(*by, "bucket").agg(
+        F.sort_array(F.collect_set("position")).alias("positions"),  # a bucket has 32,768 positions at most
+        F.max("bitmap").alias("bitmap"),
+    )
+    known, full = F.col("bucket").isNotNull(), F.col("bitmap").isNotNull() | (F.size("positions") > LISTED)
     return held.select(
         *by,
         "bucket",
-        F.when(F.col("bucket").isNotNull() & thin, F.col("positions")).alias("positions"),
-        F.when(F.col("bucket").isNotNull() & ~thin, F.col("bitmap")).alias("bitmap"),
+        F.when(known & ~full, F.col("positions")).alias("positions"),
+        F.when(known & full, _with_bits(F.col("bitmap"), F.col("positions"))).alias("bitmap"),
     )
 
 
 def member_state(df: DataFrame, by: Sequence[str], ids: str) -> DataFrame:
     """The state of the column ``ids`` per ``by``: by, bucket, positions (smallint array), bitmap.
 
-    Equal ids are merged first, so a key or an id that holds a third of the rows costs one row per task.
+    The rows are dealt out by key and bucket, so a key with a third of the rows is spread over the tasks by its
+    buckets, and a task lists only the buckets of its share.
     """
     c = F.col(ids).cast("bigint")
     points = df.select(
         *by,
         F.bitmap_bucket_number(c).alias("bucket"),
         F.bitmap_bit_position(c).cast("smallint").alias("position"),
-    ).distinct()
-    return _smaller(_held(points, by), by)
+        F.lit(None).cast("binary").alias("bitmap"),
+    )
+    return _held(spread(points, *by, "bucket"), by)
 
 
 def merge_members(state: DataFrame, by: Sequence[str]) -> DataFrame:
     """The union of states over everything but ``by``; again a state.
 
-    Listed positions are merged as rows, and meet the bitmaps only in buckets that have some.
+    Listed positions are merged as rows, spread by key and id, bitmaps as they are; both meet in buckets that
+    have some of each.
     """
     listed = state.filter("bitmap IS NULL AND bucket IS NOT NULL")
-    points = listed.select(*by, "bucket", F.explode("positions").alias("position")).distinct()
-    full = state.filter("bitmap IS NOT NULL").select(
-        *by, "bucket", F.lit(None).cast("array<smallint>").alias("positions"), "bitmap"
-    )
-    met = _held(points, by).unionByName(full).groupBy(*by, "bucket")
-    # A union with a bitmap is longer than a list may be, so a list is always the only one of its bucket.
-    merged = met.agg(F.max("positions").alias("positions"), F.bitmap_or_agg("bitmap").alias("bitmap"))
-    return _smaller(merged, by).unionByName(_missing(state, by))
+    points = listed.select(*by, "bucket", F.explode("positions").alias("position"))
+    full = state.filter("bitmap IS NOT NULL").groupBy(*by, "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+    none = F.lit(None).cast("smallint").alias("position")
+    ids = spread(points, *by, "bucket", "position").distinct().withColumn("bitmap", F.lit(None).cast("binary"))
+    return _held(ids.unionByName(full.select(*by, "bucket", none, "bitmap")), by).unionByName(_missing(state, by))
 
 
 def _missing(state: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -246,6 +246,43 @@ def test_checks_of_no_rows_and_far_dates(spark, txns, tmp_path):
 # --- work of a task, whatever the table's size ------------------------------------------------
 
 
+def test_state_and_merge_build_no_bitmap_for_thin_buckets(spark):
+    """Neither aggregates 4 KB per thin bucket; a state takes one exchange, not merged down to the cores."""
+    state = members.member_state(spark.createDataFrame(lines(), SCHEMA), ["STORE_NBR"], "LYLTY_CARD_NBR")
+    plan = state._jdf.queryExecution().executedPlan().toString()
+    assert "bitmap_construct_agg" not in plan and plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 1
+    merged = members.merge_members(state.withColumn("a", F.lit("a")), ["a"])
+    assert "bitmap_construct_agg" not in merged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bits_are_set_as_the_bitmap_aggregate_sets_them(spark):
+    rng = random.Random(3)
+    cases = [([], []), ([0, 7, 8, 63, 64, 32767], []), ([], [5, 63]), ([56, 63, 32704], [0, 57, 70, 32767])]
+    cases += [(rng.sample(range(32768), n), rng.sample(range(32768), 300)) for n in (1, 40, 5000, 32768)]
+    rows = [(i, sorted(new), sorted(old)) for i, (new, old) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "i int, new array<smallint>, old array<smallint>")
+
+    def whole(column):
+        return df.select("i", F.explode(column).alias("p")).groupBy("i").agg(F.bitmap_construct_agg(F.col("p").cast("bigint")).alias("b"))
+
+    want = {r.i: bytes(r.b) for r in whole(F.concat("new", "old")).collect()}
+    base = whole(F.col("old"))
+    got = df.join(base, "i", "left").select("i", members._with_bits(F.col("b"), F.col("new")).alias("b")).collect()
+    assert {r.i: bytes(r.b) for r in got} == {i: want.get(i, bytes(4096)) for i in range(len(rows))}
+
+
+def test_lists_and_bitmaps_of_a_bucket_merge(spark):
+    """One key has a bitmap and the other a list of the same bucket; a third part is listed alone."""
+    df = spark.range(0, 6000).select(F.lit(1).alias("k"), "id").union(
+        spark.createDataFrame([(2, i) for i in (5999, 6000, 32767, 40000, None)], "k int, id bigint")
+    )
+    state = members.member_state(df, ["k"], "id").withColumn("a", F.lit("a"))
+    merged = members.merge_members(state, ["a"])
+    rows = {r.bucket: r for r in merged.collect()}
+    assert set(rows) == {0, 1, 2, None} and sum(b.bit_count() for b in bytes(rows[1].bitmap)) == 6001
+    assert members.count_members(merged, ["a"]).first().members == 6000 + 3 + 1
+
+
 def test_buckets_follow_the_rows(spark, tiny, monkeypatch):
     assert [handoff.buckets_for(n, 16) for n in (0, 8_000_000, 8_000_001, 216_000_000)] == [16, 16, 17, 432]
     from basketry.plans import handoff as plans
