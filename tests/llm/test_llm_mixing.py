@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +121,16 @@ def test_shards_follow_the_shares(spark):
     assert sum(r.a for r in rows) == 8000 and len({r.a for r in rows}) > 3
 
 
+def test_slots_are_never_broadcast(corpus):
+    taken = mixing.mixture(corpus[1], block=16, shard_blocks=32).taken
+    slots = {(r.shard, r.slot) for r in taken.collect()}
+    ran = taken._jdf.queryExecution().executedPlan().toString()  # as adaptive execution left it
+    final = ran.split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in final
+    joins = re.findall(r"(\w+Join)\b.*\[src#\d+L, block#\d+L\]", final)
+    assert joins == ["SortMergeJoin"] and len(slots) > 32
+
+
 def test_odd_rows(odd, nothing):
     made = mixing.mixture(odd, block=4)
     assert [s.name for s in made.sources] == ["a", "b", None]
